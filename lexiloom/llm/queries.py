@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import sharding
+from lexiloom.llm import mixing, sharding
 
 QUERIES = {
     "op5_sharding": sharding.op5_shards,
+    "op9_mixing": mixing.op9_mix,
 }
 
 ORACLES: dict[str, str] = {}
