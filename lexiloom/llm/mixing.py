@@ -70,7 +70,7 @@ def _trade(frame: pd.DataFrame, key: tuple, reserve: int) -> pd.DataFrame:
     random = np.random.Generator(np.random.Philox(key=[SEED, zlib.crc32(repr(key).encode())]))
     order = random.permutation(len(frame))
     order = order[: max(0, len(order) - reserve)]
-    draws = random.random(len(frame))
+    draws = random.random(len(order))
     mass, x = (frame["size"] * frame["m"]).to_numpy(float), frame["x"].to_numpy(float).copy()
     bit = np.full(len(frame), -9, dtype=np.int64)
     active = -1
