@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import mixing, sharding
+from lexiloom.llm import mixing, secrets, sharding
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op5_sharding": sharding.op5_shards,
     "op9_mixing": mixing.op9_mix,
 }
