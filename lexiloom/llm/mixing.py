@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; the share of all words that the mix has; the most copies of a document.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
 #: Documents of a group of the tree's leaves, and groups that meet in one of the next level.
-GROUP, FAN_IN = 16_384, 64
+GROUP, FAN_IN = 1_024, 64
 #: Documents of each source and size class that wait for the last step, where they make up for what others missed.
 RESERVE = 8
 SEED = 20_240_601
