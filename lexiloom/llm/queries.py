@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import mixing, secrets, sharding
+from lexiloom.llm import language, mixing, secrets, sharding
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op3_language": language.op3_language,
     "op5_sharding": sharding.op5_shards,
     "op9_mixing": mixing.op9_mix,
 }
