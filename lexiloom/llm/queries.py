@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import language, mixing, secrets, sharding
+from lexiloom.llm import language, mixing, secrets, sharding, telephony
 
 QUERIES = {
+    "op1_telephony": telephony.op1_telephony,
     "op2_secrets": secrets.op2_secrets,
     "op3_language": language.op3_language,
     "op5_sharding": sharding.op5_shards,
