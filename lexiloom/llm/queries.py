@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import language, mixing, secrets, sharding, telephony
+from lexiloom.llm import language, mixing, planes, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
     "op2_secrets": secrets.op2_secrets,
     "op3_language": language.op3_language,
     "op5_sharding": sharding.op5_shards,
+    "op7_planes": planes.op7_planes,
     "op9_mixing": mixing.op9_mix,
 }
 
