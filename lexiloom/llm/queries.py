@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import language, mixing, planes, secrets, sharding, telephony
+from lexiloom.llm import language, mixing, packing, planes, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
     "op2_secrets": secrets.op2_secrets,
     "op3_language": language.op3_language,
+    "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_shards,
     "op7_planes": planes.op7_planes,
     "op9_mixing": mixing.op9_mix,
