@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import language, mixing, packing, planes, secrets, sharding, telephony
+from lexiloom.llm import fingerprints, language, mixing, packing, planes, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_shards,
     "op7_planes": planes.op7_planes,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
     "op9_mixing": mixing.op9_mix,
 }
 
