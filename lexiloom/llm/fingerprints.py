@@ -24,8 +24,9 @@ from pyspark.sql import Window as W
 from lexiloom.llm.shared import documents, partitions
 
 SAMPLES = 32
-#: Bits of a place in the tables of quantiles.
-BITS = 10
+#: Bits of a place in the tables of quantiles. The tables are literals of the plan, several in each draw, and the driver
+#: holds the plan as text too: larger ones fill its memory.
+BITS = 8
 #: Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 8
 
@@ -52,7 +53,7 @@ def terms(text: Column) -> Column:
 
 def _constants(values: Sequence[float]) -> Column:
     """An array of numbers that the optimizer folds into one literal; array() would be a node for each number."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.4g}" for x in values)), ",").cast("array<double>")
 
 
 class _Draws:
