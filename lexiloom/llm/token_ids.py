@@ -32,7 +32,7 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 #: Entries of one generation of the cache; two generations are held.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 700_000
 
 
 class ChunkEncoder:
@@ -98,13 +98,13 @@ class ChunkEncoder:
                 chunks = _CHUNK.findall(text)
                 new = self._new
                 try:
-                    ids = b"".join([new[c] for c in chunks])
+                    ids = b"".join(map(new.__getitem__, chunks))
                 except KeyError:
                     if len(new) > self._limit:
                         self._old, self._new = new, {}
                         new = self._new
                     self._learn({c for c in chunks if c not in new})
-                    ids = b"".join([new[c] for c in chunks])
+                    ids = b"".join(map(new.__getitem__, chunks))
                 out.append(ids + end)
         return out
 
