@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import fingerprints, language, mixing, packing, planes, secrets, sharding, telephony
+from lexiloom.llm import fingerprints, jaccard, language, mixing, packing, planes, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_shards,
     "op7_planes": planes.op7_planes,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_mixing": mixing.op9_mix,
 }
 
