@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import fingerprints, jaccard, language, mixing, packing, planes, secrets, sharding, telephony
+from lexiloom.llm import fingerprints, jaccard, language, licences, mixing, packing, planes, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_shards,
+    "op6_licences": licences.op6_licences,
     "op7_planes": planes.op7_planes,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op8_jaccard": jaccard.op8_jaccard,
