@@ -161,7 +161,8 @@ def learn(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
                 got = bundler.bundle(texts[a:b], numbers[a:b], len(names))
                 for k, name in enumerate(names):
                     sums[name] = sums.get(name, 0) + got[k]
-        yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
     parts = labelled.select("text", "lang").where("text is not null and lang is not null").mapInPandas(run, "lang string, sums array<long>")
     total = parts.select("lang", F.posexplode("sums").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
