@@ -7,14 +7,14 @@ Similar classes are partitioned into groups, and the token-group matrix says whi
 prefixes holds. In any one order of all tokens, two linked sets have a token in common among the first
 ``n - ceil(n num / den) + 1`` of each (the prefix), so a query that shares no prefix token with a group's union can be
 linked with none of its members, and the group stays closed. The order puts rare tokens first: a passage that many
-documents share, or a common line, is in a prefix only where a document has little else. Of an opened group, members of
-a size or a part of the set that rules a link out are passed over, and the others' whole sets are compared.
+documents share, or a common line, is in a prefix only where a document has little else.
 
-Groups that need not be opened: first every query is compared with the seed of each group that it shares a token
-with, one comparison for each; connected components of these links are found; and only members of another
-component than the query's are looked at then. In a family of thousands of near copies almost all are connected
-through seeds, so the work grows with the family's size and not with its square, and no link between components
-is lost. There is no cap on groups, partners or candidates.
+First every query is compared with the seed of each group that it shares a token with, one comparison for each, and
+the connected components of these links are found. A token whose holders are all of one component then leads
+nowhere; where a family of near copies is connected through its seed, its groups stay closed. The others are opened:
+blocks of queries meet blocks of members, a task for each two blocks, and a product of their token matrices gives the
+overlaps of all pairs at once; links that add nothing to what the block has connected aren't given. So no row stands
+for a pair, and no link between components is lost. There is no cap on groups, partners or candidates.
 
 Where counts come from: a token whose hash lies in the lowest ``share`` of all hashes belongs to the counted
 universe; every document's tokens in it are counted, over all documents. Universe tokens come first in the order, by
@@ -24,8 +24,11 @@ doesn't (small sets), it goes on with the others, and the join is exact all the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,35 +125,103 @@ class _Join:
         found = self.classes.join(lists, F.col("node") == F.col("_node")).withColumn("tokens", F.slice("shared", F.lit(1), taken)["token"])
         return staged(found.where(F.size("tokens") > 0).select("node", "low", *_KEY, F.slice("sketch", F.lit(1), F.col("counted")).alias("part"), "tokens"), "prefixes")
 
-    def linked(self, pairs: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
+    def linked(self, pairs: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), each once, that are linked."""
         rule = self.rule
-        one = prefixes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.struct("low", *_KEY).alias("key_a"))
-        two = prefixes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.struct("low", *_KEY).alias("key_b"))
+        one = prefixes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
+        two = prefixes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
         sized = pairs.join(one, "a").join(two, "b")
         need = _overlap(F.col("n_a"), F.col("n_b"), rule)
         common = F.size(F.array_intersect("part_a", "part_b"))
         # universe tokens of one that the other lacks are missing from the overlap
         possible = F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b")) + common
-        keys = [F.col(f"key_{side}") for side in "ab"]
-        close = staged(sized.where((F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num) & (possible >= need)).select("a", "b", "n_a", "n_b", *keys), f"{name}-close")
-        sets = self.whole_sets(close.select(keys[0].alias("key")).unionByName(close.select(keys[1].alias("key"))).distinct(), name)
-        both = close.join(sets.select(F.col("key").alias("key_a"), F.col("_set").alias("set_a")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("_set").alias("set_b")), "key_b")
+        close = sized.where((F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num) & (possible >= need)).select("a", "b", "n_a", "n_b")
+        both = close.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        out = staged(both.withColumn("common", common).where(F.col("common") * rule.den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * rule.num).select("a", "b"), f"{name}-links")
-        forget(close)
-        return out
+        return staged(both.withColumn("common", common).where(F.col("common") * rule.den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * rule.num).select("a", "b"), "seed-links")
 
-    def whole_sets(self, keys: DataFrame, name: str) -> DataFrame:
-        """(key, _set) of these classes, from the text of their first documents."""
-        wanted = staged(keys.select("key.*").withColumnRenamed("low", "_low"), f"{name}-wanted")
-        lows = wanted.select("_low").distinct()
-        if wanted.count() <= SENT_IDS:
+    def whole_sets(self, prefixes: DataFrame) -> DataFrame:
+        """(node, _set) of these classes, from the text of their first documents."""
+        lows = prefixes.select(F.col("low").alias("_low")).distinct()
+        if prefixes.count() <= SENT_IDS:
             lows = F.broadcast(lows)
         texts = self.docs.join(lows, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi")
         # stored before it is joined: a filter on the key would be pushed into the making of the sets
-        made = staged(with_set(texts, self.rule.words).select(F.col("doc_id").alias("low"), *_keys(), "_set"), f"{name}-sets")
-        return made.select(F.struct("low", *_KEY).alias("key"), "_set").dropDuplicates(["key"])
+        made = staged(with_set(texts, self.rule.words).select(*_keys(), "_set"), "made")
+        named = prefixes.select("node", *[F.col(k).alias(f"_{k}") for k in _KEY])
+        same = F.lit(True)
+        for k in _KEY:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        # rows that repeat give a class's set more than once
+        out = staged(made.join(named, same).select("node", "_set").dropDuplicates(["node"]), "sets")
+        forget(made)
+        return out
+
+
+#: Classes of a group, and queries of it, that are compared at once; tokens of a slice of their matrix.
+BLOCK, SLICE = 256, 4_096
+
+
+def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares the queries of a block with the members of a block of the group, and gives links that connect whatever
+    is linked and not yet of one component: fewer than the rows of the block, however many pairs are linked."""
+
+    def matrix(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(tokens)), dtype=np.float32)
+        for i, x in enumerate(sets):
+            at = np.searchsorted(tokens, x)
+            at[at == len(tokens)] = 0
+            out[i, at[tokens[at] == x]] = 1.0
+        return out
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["query"].to_numpy(dtype=bool)
+        q, m = frame[asks], frame[~asks]
+        q_sets, m_sets = ([np.asarray(x, dtype=np.int64) for x in f["_set"]] for f in (q, m))
+        found: list[tuple[int, int]] = []
+        if len(q) and len(m):
+            tokens = np.intersect1d(np.concatenate(q_sets), np.concatenate(m_sets))
+            common = np.zeros((len(q), len(m)), dtype=np.float32)
+            for a in range(0, len(tokens), SLICE):
+                common += matrix(q_sets, tokens[a : a + SLICE]) @ matrix(m_sets, tokens[a : a + SLICE]).T
+            whole = np.rint(common).astype(np.int64)
+            sizes = np.array([len(x) for x in q_sets])[:, None] + np.array([len(x) for x in m_sets])[None, :]
+            linked = whole * rule.den >= (sizes - whole) * rule.num
+            roots, parent = m["root"].to_numpy(), {}
+
+            def find(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            nodes = m["node"].to_numpy()
+            for i, (node, root) in enumerate(zip(q["node"].tolist(), q["root"].tolist(), strict=True)):
+                for r, j in zip(*np.unique(roots[linked[i]], return_index=True), strict=True):
+                    one, other = find(root), find(int(r))
+                    if one != other:
+                        parent[max(one, other)] = min(one, other)
+                        found.append((node, int(nodes[linked[i]][j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between the queries (node, grp) of groups and the groups' members (node, grp, root).
+
+    A group's queries and members are dealt into blocks, and each block of queries meets each block of members in one
+    task: no task holds a whole group.
+    """
+    asked = queries.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
+    held = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
+    shape = staged(asked.join(held, "grp").select(F.col("grp").alias("_grp"), "q_blocks", "m_blocks"), "shape")
+    roots = members.select(F.col("node").alias("_node"), "root")
+    q = queries.join(roots, F.col("node") == F.col("_node")).join(shape, F.col("grp") == F.col("_grp")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("q_blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
+    m = members.join(shape, F.col("grp") == F.col("_grp")).withColumn("j", F.pmod(F.xxhash64("node"), F.col("m_blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+    columns = ["grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "root"]
+    rows = q.select(*columns, F.lit(True).alias("query")).unionByName(m.select(*columns, F.lit(False).alias("query")))
+    whole = rows.join(sets.select(F.col("node").alias("_node"), "_set"), F.col("node") == F.col("_node")).drop("_node")
+    return staged(whole.groupBy("grp", "i", "j").applyInPandas(_spanning(rule), "a long, b long"), "links-of-blocks")
 
 
 def classes_and_links(docs: DataFrame, rule: Rule) -> tuple[_Join, DataFrame]:
@@ -162,23 +233,23 @@ def classes_and_links(docs: DataFrame, rule: Rule) -> tuple[_Join, DataFrame]:
     seeds = posted.groupBy("token").agg(F.min("node").alias("seed"), F.count("*").alias("held")).where("held > 1").select(F.col("token").alias("_token"), "seed")
     near = staged(posted.join(seeds, F.col("token") == F.col("_token")).select("node", "token", "seed"), "near")
     groups = staged(near.groupBy("node").agg(F.min("seed").alias("grp")), "groups")
+    sets = join.whole_sets(prefixes.join(groups.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi"))
     # every query with the seed of each group whose union holds one of its tokens
-    star = join.linked(near.where("node <> seed").select(F.col("node").alias("a"), F.col("seed").alias("b")).distinct(), prefixes, "star")
-    roots = staged(components(star), "roots")
+    star = join.linked(near.where("node <> seed").select(F.col("node").alias("a"), F.col("seed").alias("b")).distinct(), prefixes, sets)
+    roots = components(star)
     placed = groups.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "placed")
-    # the matrix: tokens of the union of each group's members of each component, where a token leads to several components
+    # the matrix: tokens of each group's union; where all classes that hold a token are of one component, it leads nowhere
     tokens = near.select("node", "token").join(placed.select(F.col("node").alias("_node"), "grp", "root"), F.col("node") == F.col("_node")).select("node", "token", "grp", "root")
     several = tokens.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select(F.col("token").alias("_token"))
     open_ = staged(tokens.join(several, F.col("token") == F.col("_token"), "left_semi"), "open")
-    matrix = open_.select(F.col("token").alias("m_token"), F.col("grp").alias("m_grp"), F.col("root").alias("m_root")).distinct()
-    qualified = open_.join(matrix, (F.col("token") == F.col("m_token")) & (F.col("root") < F.col("m_root"))).select("node", "m_grp", "m_root").distinct()
-    opened = placed.select(F.col("node").alias("b"), F.col("grp").alias("_grp"), F.col("root").alias("_root"))
-    pairs = staged(qualified.join(opened, (F.col("m_grp") == F.col("_grp")) & (F.col("m_root") == F.col("_root"))).select(F.col("node").alias("a"), "b"), "pairs")
+    matrix = open_.select(F.col("token").alias("m_token"), F.col("grp").alias("m_grp")).distinct()
+    # groups are ordered, and of two it is the lower one's classes that ask
+    queries = staged(open_.join(matrix, (F.col("token") == F.col("m_token")) & (F.col("grp") <= F.col("m_grp"))).select("node", F.col("m_grp").alias("grp")).distinct(), "queries")
     links = star
-    if not pairs.isEmpty():
-        links = star.unionByName(join.linked(pairs, prefixes, "rest"))
-    forget(near, open_)
+    if not queries.isEmpty():
+        links = star.unionByName(_opened(queries, placed, sets, rule))
+    forget(near, open_, sets)
     return join, links
 
 
