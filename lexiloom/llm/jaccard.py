@@ -56,7 +56,7 @@ class Rule:
     @property
     def share(self) -> float:
         """The counted part of all tokens: prefixes take 1 - num / den of a set, and some slack."""
-        return min(1.0, 1.6 * (self.den - self.num) / self.den)
+        return min(1.0, 1.3 * (self.den - self.num) / self.den)
 
     @property
     def bound(self) -> int:
