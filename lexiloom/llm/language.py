@@ -25,7 +25,7 @@ from lexiloom.llm.shared import documents
 #: Signs of a vector; letters of an n-gram; seed of the letters' vectors.
 DIM, ORDER, SEED = 1024, 3, 7_919
 #: Characters of a block of documents that is counted at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: A document of a cosine below this, the standard error of unrelated vectors, is like none of the languages.
 LEAST_SCORE = DIM**-0.5
 
@@ -111,7 +111,7 @@ class Bundler:
         """A vector for each text of a block: (texts, dim), whole numbers as float32."""
         owner, ids, vectors = self.counted(texts)
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        step = max(1, 16_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
+        step = max(1, 4_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
         for a in range(0, len(texts), step):
             b = min(a + step, len(texts))
             lo, hi = np.searchsorted(owner, [a, b])

@@ -18,7 +18,7 @@ import numpy as np
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _ENDS = frozenset(".,;:!?")
-_LEADS = frozenset(["", " ", "\n"])
+_LEADS = ("", " ", "\n")
 
 
 
@@ -31,12 +31,15 @@ def _byte_chars() -> dict[int, int]:
 
 _BYTE_CHARS = _byte_chars()
 
-#: Entries of one generation of the cache; two generations are held.
-CACHE_ENTRIES = 700_000
+#: Entries of one generation of the cache; two generations are held. An entry takes about 200 bytes.
+CACHE_ENTRIES = 400_000
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; one per Python worker."""
+    """Encodes texts to little-endian unsigned 32-bit ids; one per Python worker.
+
+    Known chunks are kept by what stands before their word: nothing, a blank or a line feed.
+    """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
@@ -44,46 +47,81 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._limit = cache_entries
-        #: ids of the marks, and of what stands before a word: nothing, or a line feed
-        self._fixed: dict[str | bool, bytes] = {x: self._library([x])[0] for x in _ENDS}
-        self._fixed |= {False: b"", True: self._library(["\n"])[0]}
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        #: ids of the marks, and of what stands before a word
+        self._fixed: dict[str, bytes] = {x: self._library([x])[0] for x in (*_ENDS, "\n")} | {"": b"", " ": b""}
+        self._new: dict[str, dict[str, bytes]] = {lead: {} for lead in _LEADS}
+        self._old: dict[str, dict[str, bytes]] = {lead: {} for lead in _LEADS}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _word(self, word: str, blank: bool) -> bytes:
-        """Ids of one token of the pre-tokenizer that is letters only, with the blank before it if it has one."""
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of one token of the pre-tokenizer that is letters only, and of what stands before it."""
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array("I", [x.id for x in self._model.tokenize("\u0120" + mapped if blank else mapped)]).tobytes()
+        return self._fixed[lead] + array("I", [x.id for x in self._model.tokenize("\u0120" + mapped if lead == " " else mapped)]).tobytes()
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, lead: str, words: Iterable[str]) -> None:
         """Puts the ids of unseen chunks into the new generation; what the old one knows moves over."""
-        old, new = self._old, self._new
+        old, new = self._old[lead], self._new[lead]
         rest = []
-        for c in chunks:
-            if (known := old.get(c)) is not None:
-                new[c] = known
-                continue
-            mark = c[-1] if c[-1] in _ENDS else ""
-            head = c[:-1] if mark else c
-            word = head.lstrip(" \n")
-            lead = head[: len(head) - len(word)]
-            if not word.isalpha() or lead not in _LEADS:
-                rest.append(c)
+        for w in words:
+            if w in new:
                 continue
-            if mark:  # letters and the one mark that ends them are two tokens of the pre-tokenizer
-                ids = new.get(head) or old.get(head)
-                if ids is None:
-                    ids = self._fixed[lead == "\n"] + self._word(word, lead == " ")
-                    new[head] = ids
-                new[c] = ids + self._fixed[mark]
+            if (known := old.get(w)) is not None:
+                new[w] = known
+            elif w.isalpha():
+                new[w] = self._word(w, lead)
+            elif w[-1:] in _ENDS and w[:-1].isalpha():
+                # letters and the one mark that ends them are two tokens of the pre-tokenizer
+                head = new.get(w[:-1]) or old.get(w[:-1])
+                if head is None:
+                    head = new[w[:-1]] = self._word(w[:-1], lead)
+                new[w] = head + self._fixed[w[-1]]
             else:
-                new[c] = self._fixed[lead == "\n"] + self._word(word, lead == " ")
+                rest.append(w)
         if rest:
-            new.update(zip(rest, self._library(rest), strict=True))
+            new.update(zip(rest, self._library([lead + w for w in rest]), strict=True))
+
+    def _age(self) -> None:
+        for lead in _LEADS:
+            if len(self._new[lead]) > self._limit:
+                self._old[lead], self._new[lead] = self._new[lead], {}
+
+    def _plain(self, text: str) -> bytes:
+        """A text whose words stand apart by one blank or one line feed."""
+        lines = [line.split(" ") for line in text.split("\n")]
+        blank = self._new[" "]
+        for _ in range(2):
+            try:
+                pieces, lead = [], ""
+                for words in lines:
+                    pieces.append(self._new[lead][words[0]])
+                    pieces += map(blank.__getitem__, words[1:])
+                    lead = "\n"
+                return b"".join(pieces)
+            except KeyError:
+                self._age()
+                blank = self._new[" "]
+                self._learn("", [lines[0][0]])
+                self._learn("\n", [words[0] for words in lines[1:]])
+                self._learn(" ", {w for words in lines for w in words[1:]})
+        raise AssertionError("a chunk was learned and isn't known")
+
+    def _chunked(self, text: str) -> bytes:
+        """A text with longer runs of blanks and line feeds, too: those that lead a chunk go to the library with it."""
+        out = []
+        for c in _CHUNK.findall(text):
+            word = c.lstrip(" \n")
+            lead = c[: len(c) - len(word)]
+            if lead in _LEADS and word:
+                if word not in self._new[lead]:
+                    self._learn(lead, [word])
+                out.append(self._new[lead][word])
+            else:
+                out.append(self._library([c])[0])
+        self._age()
+        return b"".join(out)
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """Ids of each text (None: empty) as bytes, with end_id appended if given."""
@@ -94,18 +132,10 @@ class ChunkEncoder:
                 out.append(end)
             elif _OTHER_SPACE.search(text):
                 out.append(self._library([text])[0] + end)
+            elif "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+                out.append(self._chunked(text) + end)
             else:
-                chunks = _CHUNK.findall(text)
-                new = self._new
-                try:
-                    ids = b"".join(map(new.__getitem__, chunks))
-                except KeyError:
-                    if len(new) > self._limit:
-                        self._old, self._new = new, {}
-                        new = self._new
-                    self._learn({c for c in chunks if c not in new})
-                    ids = b"".join(map(new.__getitem__, chunks))
-                out.append(ids + end)
+                out.append(self._plain(text) + end)
         return out
 
 
