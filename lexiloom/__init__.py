@@ -1,0 +1 @@
+"""Retrieval analytics on Spark: chunking, ranking, evaluation, answers, policies."""
