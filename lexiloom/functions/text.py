@@ -69,7 +69,7 @@ def utc_day(moment: Column) -> Column:
 
 def client_address(forwarded: Column, peer: Column, trusted: bool) -> Column:
     """The last entry of X-Forwarded-For if it is trusted and has one, else the peer, else ``unknown``."""
-    entries = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     last = F.when(F.size(entries) > 0, F.element_at(entries, -1)) if trusted else F.lit(None).cast("string")
     return F.coalesce(last, peer, F.lit("unknown"))
 
