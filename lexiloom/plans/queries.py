@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from lexiloom.functions import metrics as M
 from lexiloom.functions import text as X
 from lexiloom.functions.analysis import analyze
-from lexiloom.operators import chunking, dense, evaluation, lexical, records
+from lexiloom.functions.embedding import HashedEmbedder, embed
+from lexiloom.operators import answers, chunking, dense, evaluation, lexical, records, retrievers, showcase
 from lexiloom.streaming import policies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,3 +294,53 @@ def verbatim_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT url_host, count(*) AS pages FROM (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS url_host FROM pages) GROUP BY 1""")
 def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("url_host")).agg(F.count("*").alias("pages"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 OR doc_id % 7 = 0 THEN 'abstained' ELSE 'ok' END AS status,
+CASE WHEN doc_id % 7 = 0 THEN 0 ELSE (CASE WHEN quality = 0 THEN 1 ELSE 0 END) + 1 END AS invalid_citations,
+CASE WHEN toxic = 1 OR doc_id % 7 = 0 THEN 'not_applicable' WHEN quality = 0 THEN 'unsupported' ELSE 'supported' END AS support, toxic = 1 AND doc_id % 7 <> 0 AS contradictory FROM labels""")
+def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made from the labels: one claim that cites passage ``quality`` of three, and one that isn't there."""
+    t = table(spark, sf_dir, "labels")
+    claim = F.format_string('{"text": "claim %d", "citations": [%d, 9]}', F.col("doc_id"), F.col("quality"))
+    payload = F.format_string('{"abstained": %s, "claims": [%s]}', F.when(F.col("toxic") == 1, "true").otherwise("false"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(claim))
+    context = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    out = answers.validate(t.select("doc_id", payload.alias("payload"), context.alias("context")))
+    return out.select("doc_id", "status", "invalid_citations", "support", "contradictory")
+
+
+@query("""SELECT role, sum(length(text) + turn)::BIGINT AS tokens_total, CASE WHEN role = 'user' THEN round(sum((length(text) * 0.10 + turn * 0.40) / 1000000), 9)::DOUBLE END AS cost_usd FROM conversations GROUP BY role""")
+def answer_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers: those of users by a model with a price, the others without one."""
+    t = table(spark, sf_dir, "conversations")
+    rows = t.select("role", F.when(F.col("role") == "user", "small").otherwise("unpriced").alias("model"), F.length("text").cast("long").alias("tokens_in"), F.col("turn").alias("tokens_out"))
+    return answers.with_cost(rows).groupBy("role").agg(F.sum("tokens_total").alias("tokens_total"), F.round(F.sum("cost_usd"), 9).cast("double").alias("cost_usd"))
+
+
+@query(r"""WITH r AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY q, role ORDER BY turn DESC, conv_id DESC) AS i FROM r) SELECT r.conv_id, r.turn, n.conv_id * 1000 + n.turn AS record_id FROM r JOIN n USING (q, role) WHERE n.i = 1""")
+def precomputed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a question, against all turns as records: the newest of the same role and normalized text."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.col("role").alias("strategy"), F.lit(10).alias("k"), F.lit("cited").alias("contract"), F.lit("h").alias("corpus_hash"))
+    rec = t.withColumn("tiers", F.array(F.lit("B"), F.lit("A"))).withColumn("recorded_at", F.col("turn")).withColumn("record_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return showcase.precomputed(rec, t.withColumn("tiers", F.array(F.lit("A"), F.lit("B")))).select("conv_id", "turn", "record_id")
+
+
+@query("""WITH d AS (SELECT conv_id, turn, length(text) AS took, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT conv_id, turn, (i - 1)::INT AS depth FROM d""")
+def span_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a trace: each turn is the parent of the next."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(order).alias("before"))
+    spans = t.select(F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").cast("string").alias("span_id"), F.col("before").cast("string").alias("parent_span_id"), F.col("turn").cast("long").alias("started"), (F.col("turn") + 1).cast("long").alias("ended"))
+    return records.span_tree(spans).select(F.col("trace_id").cast("long").alias("conv_id"), F.col("span_id").cast("long").alias("turn"), "depth")
+
+
+@query()
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three signals fused by rank over paragraphs, with the hashed embedder."""
+    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    own = HashedEmbedder()
+    vectors = chunks.select("chunk_id", F.lit(own.model_key).alias("model_key"), embed(F.col("text"), own).alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return retrievers.available(chunks, vectors, own)["hybrid"].retrieve(asked).select("qid", "position", "chunk_id", "score")
