@@ -75,7 +75,7 @@ def numbered(df: DataFrame, shard: str, order: list[Column], key: Column, parts:
     Rows are numbered in parts of a shard (a hash of the key), and the parts' counts, shards x parts numbers at
     most, give each part its first slot. No task sees a whole shard.
     """
-    df = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    df = df.withColumn("_part", (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long") % parts).cast("int"))
     counts = df.groupBy(shard, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(shard).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select(F.col(shard).alias("_shard"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
