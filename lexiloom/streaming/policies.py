@@ -88,6 +88,36 @@ def admitted(events: DataFrame, per_client: int = PER_CLIENT, per_day: int = PER
     return joined.select(*events.columns, reason.alias("reason"))
 
 
+def admitted_with_refunds(events: DataFrame, per_client: int = PER_CLIENT, per_day: int = PER_DAY, tracked: int = 4096) -> DataFrame:
+    """events (event_id, client, day, at, kind: request or refund) with ``reason`` as in ``admitted``, null for a refund. A
+    refund gives one request back to its client and its day, never below zero; of more than ``tracked`` clients the one
+    that was admitted longest ago is forgotten. Refunds couple all requests of a day: a day is one ordered fold."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        used: dict[str, int] = {}
+        total, out = 0, []
+        for r in frame.sort_values(["at", "event_id"], kind="stable").itertuples():
+            mine, reason = used.get(r.client, 0), None
+            if r.kind == "refund":
+                total -= total > 0
+                if mine:
+                    used[r.client] = mine - 1
+            elif mine >= per_client:
+                reason = "client_daily"
+            elif total >= per_day:
+                reason = "global_daily"
+            else:
+                used.pop(r.client, None)
+                used[r.client] = mine + 1
+                total += 1
+                if len(used) > tracked:
+                    del used[next(iter(used))]
+            out.append((r.event_id, r.client, r.day, r.at, r.kind, reason))
+        return pd.DataFrame(out, columns=["event_id", "client", "day", "at", "kind", "reason"])
+
+    return events.groupBy("day").applyInPandas(run, "event_id long, client string, day string, at double, kind string, reason string")
+
+
 def cached(events: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """events (event_id, key, at) with ``hit``: whether an answer younger than ttl was stored for the key; a miss stores
     one. No capacity limit: for that, ``cached_in_order``."""

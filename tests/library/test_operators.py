@@ -172,6 +172,17 @@ def test_budgets_against_a_plain_fold(spark):
             used[c, d] = used.get((c, d), 0) + 1
             total[d] = total.get(d, 0) + 1
     assert got == want
+    requests = spark.createDataFrame([(*x, "request") for x in rows], "event_id long, client string, day string, at double, kind string")
+    assert {x["event_id"]: x["reason"] for x in policies.admitted_with_refunds(requests, 6, 25).collect()} == want
+
+
+def test_refunds_and_forgotten_clients(spark):
+    kinds = [("a", "request"), ("a", "request"), ("a", "refund"), ("a", "request"), ("a", "refund"), ("a", "refund"), ("b", "request"), ("b", "request"), ("a", "request")]
+    df = spark.createDataFrame([(i, c, "d", float(i), k) for i, (c, k) in enumerate(kinds)], "event_id long, client string, day string, at double, kind string")
+    got = [r["reason"] for r in policies.admitted_with_refunds(df, 1, 9).orderBy("event_id").collect()]
+    assert got == [None, "client_daily", None, None, None, None, None, "client_daily", None]
+    forgetful = [r["reason"] for r in policies.admitted_with_refunds(df.where("kind = 'request'"), 1, 9, tracked=1).orderBy("event_id").collect()]
+    assert forgetful == [None, "client_daily", "client_daily", None, "client_daily", None]
 
 
 def test_cache_expiry_and_eviction(spark):
