@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import jaccard, secrets, sharding
+from lexiloom.llm import jaccard, licences, secrets, sharding
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -72,3 +72,26 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common * {rule.den} >= {rule.num} * (x.n + y.n - common)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
+
+
+def licences_sql() -> str:
+    model, confirm, least = licences.trained(), licences.CONFIRM, licences.LEAST
+    weights = ", ".join(f"({_quoted(f)}, {k}, {round(w, 6)!r}::DOUBLE)" for f, ws in model.weights.items() for k, w in enumerate(ws))
+    names = ", ".join(f"({k}, {_quoted(f)}, {round(b, 6)!r}::DOUBLE)" for k, (f, b) in enumerate(zip(model.families, model.bias, strict=True)))
+    pairs = ", ".join(f"({_quoted(f)}, {i}, {_quoted(p)}, {len(licences.pairs_of(t))})" for f, ts in licences.TEMPLATES.items() for i, t in enumerate(ts) for p in sorted(licences.pairs_of(t)))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH wt(f, k, w) AS (VALUES {weights}), fam(k, family, bias) AS (VALUES {names}), tp(family, t, pair, size) AS (VALUES {pairs}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+w AS (SELECT doc_id, p, regexp_extract_all(translate(line, '{upper}', '{upper.lower()}'), {_quoted(licences._WORD)}) AS w FROM l),
+x AS (SELECT doc_id, p, list_distinct(w) AS u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
+n AS (SELECT doc_id, p, sqrt(greatest(len(u) + len(b), 1)) AS root FROM x), f AS (SELECT doc_id, p, unnest(list_concat(u, b)) AS f FROM x),
+s AS (SELECT doc_id, p, k, sum(w) AS s FROM f JOIN wt USING (f) GROUP BY ALL),
+c AS (SELECT n.doc_id, n.p, family, (bias + coalesce(s, 0) / root) / {model.temperature!r}::DOUBLE AS score FROM n CROSS JOIN fam LEFT JOIN s ON s.doc_id = n.doc_id AND s.p = n.p AND s.k = fam.k),
+m AS (SELECT *, max(score) OVER (PARTITION BY doc_id, p) AS top FROM c),
+b AS (SELECT doc_id, p, arg_max(family, score) AS family, 1 / sum(exp(score - top)) AS probability FROM m GROUP BY doc_id, p),
+q AS (SELECT b.doc_id, b.p, b.family, probability, t, count(*) / max(size)::DOUBLE AS share FROM b JOIN f USING (doc_id, p) JOIN tp ON tp.family = b.family AND tp.pair = f.f WHERE probability >= {least} GROUP BY ALL),
+g AS (SELECT doc_id, p, family, probability, max(share) AS similarity FROM q GROUP BY ALL HAVING max(share) >= {confirm}),
+d AS (SELECT doc_id, count(*) AS n_licences, list_sort(list_distinct(list(family))) AS families, string_agg(family || ':' || p, ',' ORDER BY p) AS found,
+  arg_max({{'f': family, 'p': probability, 's': similarity}}, [round(probability, 12), similarity]) AS best FROM g GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN length(text) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END::BIGINT AS n_paragraphs, coalesce(n_licences, 0) AS n_licences, coalesce(array_to_string(families, ','), '') AS families, coalesce(found, '') AS found,
+coalesce(best.f, '{licences.UNKNOWN}') AS family, coalesce(round(best.p, 6), 0) AS probability, coalesce(round(best.s, 6), 0) AS similarity FROM documents LEFT JOIN d USING (doc_id)"""
