@@ -243,7 +243,10 @@ def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.admitted(e, 3, 150).select("event_id", "day", "reason")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id::VARCHAR AS client, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT client, i, event_id, s, 1.0::DOUBLE AS had FROM e WHERE i = 1 UNION ALL
+SELECT e.client, e.i, e.event_id, e.s, least(1.0::DOUBLE, CASE WHEN w.had >= 1 THEN w.had - 1 ELSE w.had END + greatest(0, e.s - w.s) * (1 / 60.0::DOUBLE)) FROM w JOIN e ON e.client = w.client AND e.i = w.i + 1)
+SELECT event_id, client, had >= 1 AS allowed, CASE WHEN had >= 1 THEN 0 ELSE greatest(1, floor((1 - had) / (1 / 60.0::DOUBLE))::INT + 1) END::INT AS retry_after FROM w""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("event_id", "client", (F.col("micros") / 1e6).alias("at"))
     return policies.token_bucket(e, 1).select("event_id", "client", "allowed", "retry_after")
