@@ -42,6 +42,8 @@ def filesystem(uri: str):
     if uri.startswith("file:"):
         uri = uri[5:]
         uri = "/" + uri.lstrip("/")
+    elif uri.startswith("s3a:"):
+        uri = "s3:" + uri[4:]
     return fs.FileSystem.from_uri(uri)
 
 
