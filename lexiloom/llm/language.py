@@ -25,7 +25,7 @@ from lexiloom.llm.shared import documents
 #: Signs of a vector; letters of an n-gram; seed of the letters' vectors.
 DIM, ORDER, SEED = 1024, 3, 7_919
 #: Characters of a block of documents that is counted at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 400_000
 #: A document of a cosine below this, the standard error of unrelated vectors, is like none of the languages.
 LEAST_SCORE = DIM**-0.5
 
@@ -67,7 +67,7 @@ class Bundler:
 
     def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the texts of a block: index of the text, number of the n-gram, as flat arrays; and the n-grams'
-        vectors (n-grams, dim), as float32."""
+        vectors (n-grams, dim), as int8."""
         joined = "".join(f" {t} " for t in texts)
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
@@ -105,13 +105,14 @@ class Bundler:
         for k in range(n - 1, -1, -1):
             vectors *= rows[k][rest % size]
             rest = rest // size
-        return owner, ids, vectors.astype(np.float32)
+        return owner, ids, vectors
 
     def documents(self, texts: list[str]) -> np.ndarray:
         """A vector for each text of a block: (texts, dim), whole numbers as float32."""
         owner, ids, vectors = self.counted(texts)
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        step = max(1, 4_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
+        vectors = vectors.astype(np.float32)
+        step = max(1, 2_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
         for a in range(0, len(texts), step):
             b = min(a + step, len(texts))
             lo, hi = np.searchsorted(owner, [a, b])
@@ -125,7 +126,8 @@ class Bundler:
         if not len(ids):
             return np.zeros((groups, self.dim), dtype=np.int64)
         counts = np.bincount(group[owner] * len(vectors) + ids, minlength=groups * len(vectors)).reshape(groups, -1)
-        return np.rint(counts.astype(np.float64) @ vectors).astype(np.int64)
+        exact = np.float32 if len(ids) < 1 << 24 else np.float64  # sums of so many signs are whole in it
+        return np.rint(counts.astype(exact) @ vectors.astype(exact)).astype(np.int64)
 
 
 def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

@@ -30,6 +30,8 @@ CAPACITY = 2048
 WIDTH = 8
 #: The linear program is solved to within this share of its bound.
 GAP = 5e-4
+#: Chunks of text in a generation of the tokenizer's cache: packing runs beside other stages in the same workers.
+CACHE_ENTRIES = 150_000
 #: Parts in which ranks are counted apart, so that no task has to hold a whole class.
 PARTS = 512
 
@@ -183,7 +185,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from lexiloom.llm.token_ids import encoder
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHE_ENTRIES).encode
         for frame in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in columns.split(", ")}
             missing = frame["doc_id"].isna().tolist()

@@ -139,14 +139,15 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder of that vocabulary file."""
-    if path not in _ENCODERS:
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> ChunkEncoder:
+    """The worker's encoder of that vocabulary file; one at a time, as its cache is large."""
+    if (path, cache_entries) not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS.clear()
+        _ENCODERS[path, cache_entries] = ChunkEncoder(path, cache_entries)
+    return _ENCODERS[path, cache_entries]
