@@ -346,6 +346,26 @@ def test_components_equal_all_pairs(spark, rule):
     assert sorted(map(tuple, got)) == brute_components(rows, rule)
 
 
+def test_blocks_of_a_family_without_a_common_seed(spark, monkeypatch):
+    """Near copies that mostly differ too much: groups are opened, in blocks of three."""
+    import random
+
+    r = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = [r.choice(vocabulary) for _ in range(90)]
+    rows = []
+    for i in range(26):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rule = jaccard.Rule(3, 80, 100)
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()))
+    want = brute_components(rows, rule)
+    assert got == want and 1 < len({c for _, _, c in want}) < 26
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
