@@ -31,7 +31,7 @@ WIDTH = 8
 #: The linear program is solved to within this share of its bound.
 GAP = 5e-4
 #: Chunks of text in a generation of the tokenizer's cache: packing runs beside other stages in the same workers.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 #: Parts in which ranks are counted apart, so that no task has to hold a whole class.
 PARTS = 512
 

@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from lexiloom.llm.shared import documents, new_folder, staged
 
 MAGIC = b"LXPL1\n"
-BLOCK_IDS, LEVEL = 65_536, 3
+#: Byte planes at the lowest level: on the test corpus 1.30 bytes an id, against 1.50 for bit planes at level 3.
+BLOCK_IDS, LEVEL, BITS = 65_536, 1, 8
+#: Chunks of text in a generation of the tokenizer's cache.
+CACHE_ENTRIES = 700_000
 _TRAILER = struct.Struct("<QQQQQB6s")
 
 
@@ -76,7 +79,7 @@ class Writer:
     """Writes one file; ids arrive document by document and leave in blocks, so that memory holds about one block and
     the documents' lengths."""
 
-    def __init__(self, stream, block_ids: int = BLOCK_IDS, bits: int = 1, level: int = LEVEL) -> None:
+    def __init__(self, stream, block_ids: int = BLOCK_IDS, bits: int = BITS, level: int = LEVEL) -> None:
         import zstandard
 
         self._stream, self._block, self._bits = stream, block_ids, bits
@@ -168,7 +171,7 @@ class Reader:
 _MANIFEST = "part int, path string, docs long, ids long, bytes long"
 
 
-def write_ids(df: DataFrame, tokenizer: str, end_id: int | None, folder: str, bits: int = 1) -> DataFrame:
+def write_ids(df: DataFrame, tokenizer: str, end_id: int | None, folder: str, bits: int = BITS) -> DataFrame:
     """Tokenizes df's texts (doc_id, text; null: empty) and writes their ids in ascending doc_id order, null first, one
     file for each range of doc_ids; gives the manifest (part, path, docs, ids, bytes), with the parts in order.
 
@@ -180,7 +183,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int | None, folder: str, bi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from lexiloom.llm.token_ids import encoder
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHE_ENTRIES).encode
         part, writer, stream, path = TaskContext.get().partitionId(), None, None, ""
         for frame in batches:
             missing = frame["doc_id"].isna().tolist()
