@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import documents
+from lexiloom.llm.workers import release
 
 #: Signs of a vector; letters of an n-gram; seed of the letters' vectors.
 DIM, ORDER, SEED = 1024, 3, 7_919
@@ -165,6 +166,7 @@ def learn(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
                     sums[name] = sums.get(name, 0) + got[k]
         if sums:
             yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
+        release()
 
     parts = labelled.select("text", "lang").where("text is not null and lang is not null").mapInPandas(run, "lang string, sums array<long>")
     total = parts.select("lang", F.posexplode("sums").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -201,6 +203,7 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, c
             frame = frame[names].copy()
             frame["lang_pred"], frame["lang_score"] = found, scores
             yield frame
+        release()
 
     return df.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInPandas(run, schema)
 

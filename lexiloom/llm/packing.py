@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiloom.llm.shared import documents, staged
+from lexiloom.llm.workers import release
 
 CAPACITY = 2048
 #: Lengths of a class. Its members count as the longest of them when patterns are made.
@@ -204,6 +205,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
                         out["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
             out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
             yield pd.DataFrame(out)
+        release()
 
     return keyed.mapInPandas(run, columns)
 

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.shared import documents
+from lexiloom.llm.workers import release
 
 # --- Boolean trigram queries ------------------------------------------------------------------------------------
 
@@ -270,6 +271,7 @@ def redact(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
                 frame["n_chars"] = [n if c is None or c == o else len(c) for n, c, o in zip(frame["n_chars"], changed, texts, strict=True)]
             frame["text"] = changed
             yield frame
+        release()
 
     return df.mapInPandas(run, df.schema)
 
