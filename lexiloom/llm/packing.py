@@ -31,7 +31,7 @@ CAPACITY = 2048
 WIDTH = 8
 #: The linear program is solved to within this share of its bound.
 GAP = 5e-4
-#: Chunks of text in a generation of the tokenizer's cache: packing runs beside other stages in the same workers.
+#: Chunks of text in a generation of the tokenizer's cache, which ends with the task: other stages run in the same workers.
 CACHE_ENTRIES = 300_000
 #: Parts in which ranks are counted apart, so that no task has to hold a whole class.
 PARTS = 512
@@ -184,7 +184,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
     keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("doc_key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from lexiloom.llm.token_ids import encoder
+        from lexiloom.llm.token_ids import encoder, forget_encoders
 
         encode = encoder(tokenizer, CACHE_ENTRIES).encode
         for frame in batches:
@@ -205,6 +205,8 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
                         out["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
             out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
             yield pd.DataFrame(out)
+        del encode
+        forget_encoders()
         release()
 
     return keyed.mapInPandas(run, columns)

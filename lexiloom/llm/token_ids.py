@@ -151,3 +151,8 @@ def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> ChunkEncoder:
         _ENCODERS.clear()
         _ENCODERS[path, cache_entries] = ChunkEncoder(path, cache_entries)
     return _ENCODERS[path, cache_entries]
+
+
+def forget_encoders() -> None:
+    """Drops the worker's encoder and its cache."""
+    _ENCODERS.clear()
