@@ -7,14 +7,13 @@ weight S there are r and c, gamma(2, 1), and b, uniform, all from a hash of the
 
 and the draw's sample is the (word, t) of least a. Two texts have the same sample with a probability that equals
 their generalised Jaccard similarity, the sum of the lesser weights over the sum of the greater ones. ln a is
-compared in place of a, and r and ln c come from tables of the gamma quantiles, so a draw costs one hash, two
-look-ups and a division.
+compared in place of a. r and c are -ln(u v) of uniform u and v, 32 bits of a hash each, so both tails are whole: long texts
+have their samples from there.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +23,7 @@ from pyspark.sql import Window as W
 from lexiloom.llm.shared import documents, partitions
 
 SAMPLES = 32
-#: Bits of a place in the tables of quantiles. The tables are literals of the plan, several in each draw, and the driver
-#: holds the plan as text too: larger ones fill its memory.
+#: Bits of a place in the quantiles by which the draws are tested.
 BITS = 8
 #: Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 8
@@ -51,31 +49,27 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
 
 
-def _constants(values: Sequence[float]) -> Column:
-    """An array of numbers that the optimizer folds into one literal; array() would be a node for each number."""
-    return F.split(F.lit(",".join(f"{x:.4g}" for x in values)), ",").cast("array<double>")
-
-
 class _Draws:
     """The draws' expressions over a term (a hash of a word) and its weight's logarithm."""
 
-    def __init__(self) -> None:
-        table = gamma_quantiles()
-        self._rs = _constants(table)
-        self._logs = _constants([math.log(x) for x in table])
+    def _uniform(self, bits: Column) -> Column:
+        """The middle of one of 2 ** 32 equal shares, from the low 32 bits."""
+        return (bits.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) / float(1 << 32)
+
+    def gamma(self, bits: Column) -> Column:
+        """gamma(2, 1) from a hash's 64 bits: minus the logarithm of the product of two uniform numbers."""
+        return -F.ln(self._uniform(bits) * self._uniform(F.shiftrightunsigned(bits, 32)))
 
     def sample(self, term: Column, log_weight: Column, k: int) -> Column:
         """ln a in the high bits, as a whole number that orders like it, and the sample's name in the low 32."""
-        bits = F.xxhash64(term, F.lit(k))
-        place = F.lit((1 << BITS) - 1).cast("long")
         low = F.lit((1 << 32) - 1)
-        r = F.get(self._rs, bits.bitwiseAND(place).cast("int"))
-        log_c = F.get(self._logs, F.shiftrightunsigned(bits, BITS).bitwiseAND(place).cast("int"))
-        b = F.shiftrightunsigned(bits, 2 * BITS).bitwiseAND(low).cast("double") / float(1 << 32)
+        r = self.gamma(F.xxhash64(term, F.lit(3 * k)))
+        log_c = F.ln(self.gamma(F.xxhash64(term, F.lit(3 * k + 1))))
+        b = self._uniform(F.xxhash64(term, F.lit(3 * k + 2)))
         t = F.floor(log_weight / r + b)
         log_a = log_c - r * (t.cast("double") - b + 1.0)
-        # ln a lies within +-64: weights are counts below 2 ** 31
-        rank = ((F.least(F.greatest(log_a, F.lit(-63.0)), F.lit(63.0)) + 64.0) * float(1 << 23)).cast("long")
+        # ln a lies within +-127: r is at most 46, ln c at least -23, and weights are counts below 2 ** 31
+        rank = ((log_a + 128.0) * float(1 << 23)).cast("long")
         name = F.shiftrightunsigned(term.bitwiseXOR(t * F.lit(0x9E3779B1)), 16).bitwiseAND(low)
         return F.shiftleft(rank, 32).bitwiseOR(name)
 

@@ -440,3 +440,27 @@ def test_fingerprints_estimate_generalised_jaccard(spark, folder, rows):
 def test_gamma_quantiles():
     q = np.array(fingerprints.gamma_quantiles())
     assert (np.diff(q) > 0).all() and q.mean() == pytest.approx(2.0, abs=0.02)
+
+
+def test_long_texts_collide_as_often_as_they_are_alike(spark):
+    # 50 words of weight 400 are shared, each text has 15000 distinct words of its own beside; and one of 50000 distinct words
+    rows = []
+    for j in range(6):
+        common = [f"c{j}x{i}" for i in range(50)] * 400
+        rows += [(2 * j + s, " ".join(common + [f"{'ab'[s]}{j}x{i}" for i in range(15_000)])) for s in (0, 1)]
+    rows += [(12, " ".join(f"w{i}" for i in range(50_000))), (13, " ".join(f"w{i}" for i in range(25_000, 75_000)))]
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    digits, n = fingerprints.DIGITS, fingerprints.SAMPLES
+    same = lambda a, b: sum(prints[a][digits * k : digits * (k + 1)] == prints[b][digits * k : digits * (k + 1)] for k in range(n)) / n
+    true = likeness(bag(rows[0][1]), bag(rows[1][1]))
+    assert true == pytest.approx(0.4)
+    assert np.mean([same(2 * j, 2 * j + 1) for j in range(6)]) == pytest.approx(true, abs=0.12)
+    assert same(12, 13) == pytest.approx(likeness(bag(rows[12][1]), bag(rows[13][1])), abs=0.3)
+
+
+def test_gamma_draws_have_both_tails(spark):
+    draws = fingerprints._Draws()
+    r = np.array([x[0] for x in spark.range(400_000).select(draws.gamma(F.xxhash64("id"))).collect()])
+    for x in (0.02, 0.05, 1.0, 2.0, 9.0, 11.0):
+        due = 1 - (1 + x) * np.exp(-x)
+        assert (r < x).mean() == pytest.approx(due, abs=5 * (due * (1 - due) / len(r)) ** 0.5)
