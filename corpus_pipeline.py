@@ -25,16 +25,19 @@ END_ID, VOCABULARY = 1, "byte_bpe_50k.json"
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: null texts, texts without letters, and those no more like a language than chance.
 
-    Prototypes are learned from the labelled documents that aren't held out. A null lang gets the prediction; with no
-    labelled document at all there is nothing to reject by, and every text with a letter stays, its lang as it was.
+    Prototypes are learned from the labelled documents that aren't held out, and so is which lengths can be judged:
+    shorter texts stay. A null lang gets the prediction if that is better than chance; with no labelled document at all there is nothing to reject by, and every text with a letter stays, its lang as it was.
     """
     docs = docs.select(*COLUMNS)
-    prototypes = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    learned = docs.where(~language.held_out(F.col("doc_id")))
+    prototypes = language.learn(learned)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, prototypes)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= language.LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    can_judge = language.judged(language.identify(learned.where("lang is not null"), prototypes, carry=[]), len(prototypes))
+    alike = F.col("lang_score") >= language.chance_score(len(prototypes))
+    kept = found.where((F.col("lang_pred") != "und") & (alike | ~can_judge(F.col("lang_size"))))
+    return kept.withColumn("lang", F.coalesce("lang", F.when(alike, F.col("lang_pred")))).select(*COLUMNS)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

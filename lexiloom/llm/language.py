@@ -12,8 +12,9 @@ starts and ends with one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,9 @@ from lexiloom.llm.workers import release
 DIM, ORDER, SEED = 1024, 3, 7_919
 #: Characters of a block of documents that is counted at once.
 BLOCK_CHARS = 400_000
-#: A document of a cosine below this, the standard error of unrelated vectors, is like none of the languages.
-LEAST_SCORE = DIM**-0.5
+#: Chance that a text of no relation to any language reaches ``chance_score``. Texts of a length are judged if the labelled ones
+#: but the share BELOW, which may be alien themselves, lie above that by MARGIN standard errors of unrelated vectors.
+CHANCE, BELOW, MARGIN = 1e-6, 0.05, 2.0
 
 _BLANK = 0x20
 
@@ -57,6 +59,8 @@ class Bundler:
     def __init__(self, dim: int = DIM, order: int = ORDER) -> None:
         self.dim, self.order = dim, order
         self._letters: dict[int, np.ndarray] = {}
+        #: N-grams of each text of the last block.
+        self.sizes = np.empty(0, np.int64)
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of these letters, for every place of an n-gram: (order, letters, dim)."""
@@ -111,6 +115,7 @@ class Bundler:
     def documents(self, texts: list[str]) -> np.ndarray:
         """A vector for each text of a block: (texts, dim), whole numbers as float32."""
         owner, ids, vectors = self.counted(texts)
+        self.sizes = np.bincount(owner, minlength=len(texts))
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         vectors = vectors.astype(np.float32)
         step = max(1, 2_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
@@ -175,15 +180,16 @@ def learn(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 
 
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, carry: list[str] | None = None) -> DataFrame:
-    """df with ``lang_pred`` and ``lang_score``: the language of the nearest prototype and its cosine, 0 to 1.
+    """df with ``lang_pred``, ``lang_score`` and ``lang_size``: the language of the nearest prototype, its cosine, 0 to 1, and
+    the number of the text's n-grams.
 
-    A text that is null or has no letter gets ``und`` and 0; so does every text if nothing was learned. Ties go to
+    A text that is null or has no letter gets ``und``, 0 and 0; so does every text if nothing was learned. Ties go to
     the language that comes first by name. Columns pass through, or those that ``carry`` names; old columns of
-    these two names are replaced.
+    these names are replaced.
     """
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "lang_score") and (carry is None or f.name in carry)]
+    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_size") and (carry is None or f.name in carry)]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, lang_score double"])
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, lang_score double, lang_size long"])
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs]).astype(np.float32) if langs else np.zeros((0, dim), np.float32)
 
@@ -191,7 +197,7 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, c
         bundler = Bundler(dim)
         for frame in batches:
             texts = [t or "" for t in frame["text"]]
-            found, scores = ["und"] * len(texts), [0.0] * len(texts)
+            found, scores, sizes = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
             for a, b in blocks(texts) if langs else ():
                 vectors = bundler.documents(texts[a:b])
                 norm = np.linalg.norm(vectors, axis=1)
@@ -200,14 +206,40 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, c
                 for i in range(b - a):
                     if any(c.isalpha() for c in texts[a + i]):
                         found[a + i], scores[a + i] = langs[best[i]], float(min(1.0, max(0.0, cosines[i, best[i]])))
+                        sizes[a + i] = int(bundler.sizes[i])
             frame = frame[names].copy()
-            frame["lang_pred"], frame["lang_score"] = found, scores
+            frame["lang_pred"], frame["lang_score"], frame["lang_size"] = found, scores, sizes
             yield frame
         release()
 
     return df.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInPandas(run, schema)
 
 
+def chance_score(languages: int, dim: int = DIM) -> float:
+    """A cosine that the greatest of so many cosines of unrelated vectors reaches with a probability of CHANCE."""
+    return NormalDist().inv_cdf(1 - CHANCE / max(1, languages)) * dim**-0.5
+
+
+def _length(size: Column) -> Column:
+    """Class of a length: the whole part of its binary logarithm."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def judged(labelled: DataFrame, languages: int) -> Callable[[Column], Column]:
+    """From identified labelled documents, which lengths can be judged: whether a text of so many n-grams that is in one of the
+    languages surely reaches ``chance_score``, by the low quantile of the labelled ones of its class of lengths.
+
+    A class without labelled documents is as the next shorter one that has some. Classes are a few dozen.
+    """
+    by = labelled.where("lang_pred <> 'und'").groupBy(_length(F.col("lang_size")).alias("length")).agg(F.percentile_approx("lang_score", BELOW, 10_000).alias("low"))
+    low = {r["length"]: r["low"] for r in by.collect()}
+    yes, last, least = [], False, chance_score(languages) + MARGIN * DIM**-0.5
+    for length in range(64):
+        last = low[length] >= least if length in low else last
+        yes += [length] * last
+    return lambda size: _length(size).isin(yes) if yes else F.lit(False)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = documents(spark, sf_dir)

@@ -27,3 +27,22 @@ def test_empty_table(spark, empty):
     for _, stage in pipeline.STAGES:
         now = staged(stage(spark, now, ""), "test-empty")
     assert now.count() == 0
+
+
+def test_language_rejects_the_alien_and_keeps_the_short(spark):
+    import random
+
+    r = random.Random(3)
+    written = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(2, 4))) for _ in range(n))
+    tongues = {"xa": ("ka", "lo", "mi", "ten", "ra"), "xb": ("zwo", "pef", "ug", "ist", "on")}
+    rows = [(1000 + i, written(tongues[lang], 30), lang) for i, lang in enumerate(["xa", "xb"] * 60)]
+    known = [(i, written(tongues[lang], 30), None) for i, lang in enumerate(["xa", "xb"] * 5)]
+    scripts = ("абвгдежзийклмнопрстуфхцчшщы", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz")
+    alien = [(100 + i, written(scripts[i % 3], 60), "xa" if i % 20 == 0 else None) for i in range(60)]
+    short = [(200, "Avec.", "xa"), (201, "да", None)]
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t)) for d, t, lang in rows + known + alien + short], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"]: x["lang"] for x in pipeline.language_stage(spark, docs, "").collect()}
+    assert {d: kept.get(d) for d, _, _ in known} == {i: ("xa", "xb")[i % 2] for i in range(10)}
+    assert not [d for d, _, _ in alien if d in kept]
+    assert all(d in kept for d, _, _ in rows)
+    assert kept.get(200) == "xa" and 201 in kept and kept[201] is None
