@@ -80,6 +80,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without permission.",
         "This software is proprietary and confidential. Unauthorized copying is prohibited.",
+        "All rights reserved.",
+        "Copyright (c). All rights reserved.",
     ),
 }
 # Sentences that share words with grants and grant nothing.

@@ -264,6 +264,20 @@ def test_licences_equal_the_plain_model(spark, docs):
     assert licences.find_licences(docs).where("doc_id = 110").first()["licences"][0]["paragraph"] == 1
 
 
+def test_bare_rights_notice_is_found(spark):
+    texts = ["All rights reserved.", "Copyright 2020 Acme Corp. All rights reserved.", "Some rights reserved.", "He had reserved all rights."]
+    got = licences.find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [[x["family"] for x in r["licences"]] for r in got] == [["proprietary"], ["proprietary"], [], []]
+
+
+def test_every_licence_line_of_the_test_tables_is_found(spark):
+    lines = ["All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r["doc_id"], i) for r in docs.collect() for i, line in enumerate((r["text"] or "").split("\n")) if line in lines}
+    got = {(r["doc_id"], x["paragraph"]) for r in licences.find_licences(docs).collect() for x in r["licences"]}
+    assert want and want <= got
+
+
 # --- 7 bit planes
 
 
