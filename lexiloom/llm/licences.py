@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -225,58 +226,145 @@ def _json(value: object) -> Column:
     return F.lit(json.dumps(value))
 
 
-def find_licences(df: DataFrame, text: str = "text", least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
-    """df with ``licences``: paragraph (number of the line), family, probability, similarity of each confirmed paragraph,
-    in order. Null and empty texts have none. Other columns pass through; an old ``licences`` is replaced."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) in which value is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs(words: Column) -> Column:
+    """A word and the next one, for each word but the last."""
+    return F.filter(F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.concat(a, F.lit(_JOIN), b)), lambda x: x.isNotNull())
+
+
+def _classified(units: Column) -> Column:
+    """(at, pairs, family, probability) of each (at, words): the most probable family of the words."""
     model = trained()
     weights = F.from_json(_json({f: [round(w, 6) for w in ws] for f, ws in model.weights.items()}), "map<string,array<double>>")
-    templates = F.from_json(_json({f: [sorted(pairs_of(t)) for t in ts] for f, ts in TEMPLATES.items()}), "map<string,array<array<string>>>")
     names = F.array(*[F.lit(f) for f in model.families])
     bias = F.array(*[F.lit(round(b, 6)) for b in model.bias])
     none = F.array(*[F.lit(0.0)] * len(model.families))
 
-    lines = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
-    worded = F.transform(F.filter(lines, lambda s: _has_anchor(s["line"])), lambda s: F.struct(s["paragraph"].alias("paragraph"), _folded_words(s["line"]).alias("words")))
-    paired = F.transform(
-        worded,
-        lambda s: F.struct(
-            s["paragraph"].alias("paragraph"),
-            F.array_distinct(s["words"]).alias("words"),
-            F.array_distinct(F.filter(F.zip_with(s["words"], F.slice(s["words"], 2, 1_000_000_000), lambda a, b: F.concat(a, F.lit(_JOIN), b)), lambda x: x.isNotNull())).alias("pairs"),
-        ),
-    )
+    paired = F.transform(units, lambda s: F.struct(s["at"].alias("at"), F.array_distinct(s["words"]).alias("words"), F.array_distinct(_pairs(s["words"])).alias("pairs")))
     summed = F.transform(
         paired,
         lambda s: F.struct(
-            s["paragraph"].alias("paragraph"),
+            s["at"].alias("at"),
             s["pairs"].alias("pairs"),
             F.aggregate(F.concat(s["words"], s["pairs"]), none, lambda acc, f: F.zip_with(acc, F.coalesce(F.element_at(weights, f), none), lambda a, b: a + b)).alias("sums"),
             F.sqrt(F.greatest(F.size(s["words"]) + F.size(s["pairs"]), F.lit(1)).cast("double")).alias("root"),
         ),
     )
-    scored = F.transform(summed, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["pairs"].alias("pairs"), F.zip_with(bias, s["sums"], lambda b, x: (b + x / s["root"]) / model.temperature).alias("scores")))
-    risen = F.transform(scored, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["pairs"].alias("pairs"), F.transform(s["scores"], lambda x: F.exp(x - F.array_max(s["scores"]))).alias("exps")))
-    chosen = F.transform(
+    scored = F.transform(summed, lambda s: F.struct(s["at"].alias("at"), s["pairs"].alias("pairs"), F.zip_with(bias, s["sums"], lambda b, x: (b + x / s["root"]) / model.temperature).alias("scores")))
+    risen = F.transform(scored, lambda s: F.struct(s["at"].alias("at"), s["pairs"].alias("pairs"), F.transform(s["scores"], lambda x: F.exp(x - F.array_max(s["scores"]))).alias("exps")))
+    return F.transform(
         risen,
         lambda s: F.struct(
-            s["paragraph"].alias("paragraph"),
+            s["at"].alias("at"),
             s["pairs"].alias("pairs"),
             F.get(names, F.array_position(s["exps"], F.lit(1.0)).cast("int") - 1).alias("family"),
             (1.0 / F.aggregate(s["exps"], F.lit(0.0), lambda a, x: a + x)).alias("probability"),
         ),
     )
+
+
+_FOUND = "array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
+
+
+def _by_lines(lines: Column, least: float, confirm: float) -> Column:
+    """Lines that are a grant as a whole; lines are (paragraph, line)."""
+    templates = F.from_json(_json({f: [sorted(pairs_of(t)) for t in ts] for f, ts in TEMPLATES.items()}), "map<string,array<array<string>>>")
+    worded = F.transform(F.filter(lines, lambda s: _has_anchor(s["line"])), lambda s: F.struct(s["paragraph"].alias("at"), _folded_words(s["line"]).alias("words")))
     compared = F.transform(
-        F.filter(chosen, lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= least)),
+        F.filter(_classified(worded), lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= least)),
         lambda s: F.struct(
-            s["paragraph"].alias("paragraph"),
+            s["at"].alias("paragraph"),
             s["family"].alias("family"),
             s["probability"].alias("probability"),
             F.array_max(F.transform(F.element_at(templates, s["family"]), lambda t: F.size(F.array_intersect(t, s["pairs"])) / F.size(t))).alias("similarity"),
         ),
     )
-    confirmed = F.filter(compared, lambda s: s["similarity"] >= confirm)
-    empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
-    return df.withColumn("licences", F.when(_has_anchor(F.coalesce(F.col(f"`{text}`"), F.lit(""))), confirmed).otherwise(empty))
+    return F.filter(compared, lambda s: s["similarity"] >= confirm).cast(_FOUND)
+
+
+def _by_windows(lines: Column, whole: Column, least: float, confirm: float) -> Column:
+    """Grants within a line.
+
+    Around each pair of a template that holds an anchor, the words that have most of the template's pairs are taken, within
+    the template's length and a quarter; these alone are classified. Of windows of a family that overlap or start in the
+    same line the most similar one counts, and none in a line of ``whole``, what was found by lines.
+    """
+    every = sorted({p for ts in TEMPLATES.values() for t in ts for p in pairs_of(t)})
+    anchored = [p for p in every if any(w in anchors() for w in p.split(_JOIN))]
+    listed = [{"family": f, "pairs": sorted(pairs_of(t)), "size": len(pairs_of(t)), "span": (5 * len(words_of(t)) + 3) // 4} for f, ts in TEMPLATES.items() for t in ts]
+    templates = F.from_json(_json(listed), "array<struct<family:string,pairs:array<string>,size:int,span:int>>")
+
+    gap = F.array_repeat(F.lit(""), max(t["span"] for t in listed))
+    tokens = F.flatten(
+        F.transform(
+            F.transform(lines, lambda s: F.struct(s["paragraph"].alias("line"), _folded_words(s["line"]).alias("words"))),
+            # after a line there are as many empty words, which no template has, as no window can span
+            lambda s: F.transform(F.concat(s["words"], gap), lambda w: F.struct(s["line"].alias("line"), w.alias("word"))),
+        )
+    )
+
+    def best(pairs: Column, pos: Column, t: Column) -> Column:
+        """The window of the template about the pair at pos: (similarity, less for more words, first, last, family)."""
+        low = F.greatest(pos - t["span"], F.lit(0))
+        near = F.transform(F.slice(pairs, low + 1, 2 * t["span"] + 1), lambda p, i: F.struct((low + i).alias("pos"), p.alias("pair")))
+
+        def window(matched: Column, start: Column) -> Column:
+            inside = F.filter(matched, lambda x: (x["pos"] >= start) & (x["pos"] < start + t["span"]))
+            return _let(
+                inside,
+                lambda m: F.struct(
+                    (F.size(F.array_distinct(m["pair"])) / t["size"]).alias("similarity"),
+                    (start - F.array_max(m["pos"])).alias("short"),
+                    start.alias("first"),
+                    F.array_max(m["pos"]).alias("last"),
+                    t["family"].alias("family"),
+                ),
+            )
+
+        matched = F.filter(near, lambda x: F.array_contains(t["pairs"], x["pair"]))
+        return _let(matched, lambda m: F.array_max(F.transform(F.filter(m, lambda x: x["pos"] <= pos), lambda x: window(m, x["pos"]))))
+
+    def searched(words: Column, at: Column, pairs: Column) -> Column:
+        places = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p.alias("pair"))), lambda x: x["pair"].isin(anchored))
+        opened = F.flatten(F.transform(places, lambda a: F.transform(F.filter(templates, lambda t: F.array_contains(t["pairs"], a["pair"])), lambda t: best(pairs, a["pos"], t))))
+        likely = F.array_distinct(F.filter(opened, lambda c: c["similarity"] >= confirm))
+        units = F.transform(likely, lambda c: F.struct(c.alias("at"), F.slice(words, c["first"] + 1, c["last"] - c["first"] + 2).alias("words")))
+        sure = F.filter(_classified(units), lambda s: (s["family"] == s["at"]["family"]) & (s["probability"] >= least))
+        kept = F.transform(
+            sure,
+            lambda s: F.struct(
+                s["at"]["similarity"].alias("similarity"),
+                s["probability"].alias("probability"),
+                s["at"]["first"].alias("first"),
+                s["at"]["last"].alias("last"),
+                F.element_at(at, s["at"]["first"] + 1).alias("line"),
+                F.element_at(at, s["at"]["last"] + 2).alias("to"),
+                s["family"].alias("family"),
+            ),
+        )
+        new = F.filter(kept, lambda s: ~F.exists(whole, lambda o: (o["family"] == s["family"]) & (o["paragraph"] >= s["line"]) & (o["paragraph"] <= s["to"])))
+        ranked = F.sort_array(new, asc=False)
+        clash = lambda x, y: (x["family"] == y["family"]) & ((x["line"] == y["line"]) | ((x["first"] <= y["last"] + 1) & (y["first"] <= x["last"] + 1)))
+        none = F.slice(ranked, 1, 0)
+        chosen = F.aggregate(ranked, none, lambda acc, s: F.when(F.exists(acc, lambda o: clash(o, s)), acc).otherwise(F.concat(acc, F.array(s))))
+        return F.transform(chosen, lambda s: F.struct(s["line"].alias("paragraph"), s["family"].alias("family"), s["probability"].alias("probability"), s["similarity"].alias("similarity")))
+
+    split = _let(tokens, lambda x: F.struct(x["word"].alias("words"), x["line"].alias("at")))
+    return _let(split, lambda x: _let(_pairs(x["words"]), lambda p: searched(x["words"], x["at"], p))).cast(_FOUND)
+
+
+def find_licences(df: DataFrame, text: str = "text", least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
+    """df with ``licences``: paragraph (number of the line in which the grant starts), family, probability, similarity of each
+    confirmed grant, in order: lines that are one as a whole, and windows of a line.
+    Null and empty texts have none. Other columns pass through; an old ``licences`` is replaced."""
+    numbered = lambda t: F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
+    found = _let(_by_lines(numbered(F.col(f"`{text}`")), least, confirm), lambda whole: F.sort_array(F.concat(whole, _by_windows(numbered(F.col(f"`{text}`")), whole, least, confirm))))
+    empty = F.array().cast(_FOUND)
+    return df.withColumn("licences", F.when(_has_anchor(F.coalesce(F.col(f"`{text}`"), F.lit(""))), found).otherwise(empty))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

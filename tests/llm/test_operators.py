@@ -278,6 +278,21 @@ def test_every_licence_line_of_the_test_tables_is_found(spark):
     assert want and want <= got
 
 
+PROSE = " ".join(a + b for a in "bal cor dun fel gar hol jin kam lor mun nel pos".split() for b in "ado ewin ilth otter umb yrs anth eek ifo ool usk arn".split()) + ". "
+
+
+def test_licences_within_long_paragraphs(spark):
+    cases = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    df = spark.createDataFrame([(i, f"First.\n{PROSE}{t} {PROSE}") for i, (_, t) in enumerate(cases)] + [(len(cases), "\n".join([PROSE, *licences.UNLIKE]))], "doc_id int, text string")
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"]] for r in licences.find_licences(df).collect()}
+    assert got == {**{i: [(1, f)] for i, (f, _) in enumerate(cases)}, len(cases): []}
+
+
+def test_several_licences_in_a_line(spark):
+    df = spark.createDataFrame([("Released under the MIT License. Licensed under CC BY 4.0. Released under the BSD License.",)], "text string")
+    assert [(x["paragraph"], x["family"]) for x in licences.find_licences(df).first()["licences"]] == [(0, "bsd"), (0, "cc-by"), (0, "mit")]
+
+
 # --- 7 bit planes
 
 
