@@ -108,6 +108,8 @@ UNLIKE = (
 #: A word: a run of letters, digits, dots and hyphens that starts and ends with a letter or digit.
 _WORD = r"[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?"
 _JOIN = " "
+#: A hyphen at the end of a line, what comments begin the next line with, and the rest of the word.
+_CUT = r"([A-Za-z0-9]-)[\x20\t\r]*\n([^A-Za-z0-9\n]*)([A-Za-z0-9.\-]+)"
 
 
 def words_of(text: str) -> list[str]:
@@ -287,7 +289,7 @@ def _by_lines(lines: Column, least: float, confirm: float) -> Column:
 
 
 def _by_windows(lines: Column, whole: Column, least: float, confirm: float) -> Column:
-    """Grants within a line.
+    """Grants within a line or over the lines of a paragraph, which ends at a line without words.
 
     Around each pair of a template that holds an anchor, the words that have most of the template's pairs are taken, within
     the template's length and a quarter; these alone are classified. Of windows of a family that overlap or start in the
@@ -302,8 +304,8 @@ def _by_windows(lines: Column, whole: Column, least: float, confirm: float) -> C
     tokens = F.flatten(
         F.transform(
             F.transform(lines, lambda s: F.struct(s["paragraph"].alias("line"), _folded_words(s["line"]).alias("words"))),
-            # after a line there are as many empty words, which no template has, as no window can span
-            lambda s: F.transform(F.concat(s["words"], gap), lambda w: F.struct(s["line"].alias("line"), w.alias("word"))),
+            # a line without words is as many empty words, which no template has, as no window can span
+            lambda s: F.transform(F.when(F.size(s["words"]) > 0, s["words"]).otherwise(gap), lambda w: F.struct(s["line"].alias("line"), w.alias("word"))),
         )
     )
 
@@ -359,10 +361,12 @@ def _by_windows(lines: Column, whole: Column, least: float, confirm: float) -> C
 
 def find_licences(df: DataFrame, text: str = "text", least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
     """df with ``licences``: paragraph (number of the line in which the grant starts), family, probability, similarity of each
-    confirmed grant, in order: lines that are one as a whole, and windows of a line.
+    confirmed grant, in order: lines that are one as a whole, and windows of a line or of the lines of a paragraph.
     Null and empty texts have none. Other columns pass through; an old ``licences`` is replaced."""
     numbered = lambda t: F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
-    found = _let(_by_lines(numbered(F.col(f"`{text}`")), least, confirm), lambda whole: F.sort_array(F.concat(whole, _by_windows(numbered(F.col(f"`{text}`")), whole, least, confirm))))
+    # a word that a line ends after a hyphen of is read as a part of that line
+    joined = F.regexp_replace(F.col(f"`{text}`"), _CUT, "$1$3\n$2")
+    found = _let(_by_lines(numbered(F.col(f"`{text}`")), least, confirm), lambda whole: F.sort_array(F.concat(whole, _by_windows(numbered(joined), whole, least, confirm))))
     empty = F.array().cast(_FOUND)
     return df.withColumn("licences", F.when(_has_anchor(F.coalesce(F.col(f"`{text}`"), F.lit(""))), found).otherwise(empty))
 

@@ -293,6 +293,22 @@ def test_several_licences_in_a_line(spark):
     assert [(x["paragraph"], x["family"]) for x in licences.find_licences(df).first()["licences"]] == [(0, "bsd"), (0, "cc-by"), (0, "mit")]
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    cases = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 60]
+    wrap = lambda t, n: textwrap.fill(f"{PROSE}{t} {PROSE}", n, initial_indent="# ", subsequent_indent="# ")
+    df = spark.createDataFrame([(i, n, f"#\n# Head.\n#\n{wrap(t, n)}\n#\nEnd.") for i, (_, t) in enumerate(cases) for n in (40, 76)], "doc_id int, width int, text string")
+    for r in df.transform(licences.find_licences).collect():
+        family, template = cases[r["doc_id"]]
+        assert {x["family"] for x in r["licences"]} == {family}, template  # two lines may each be found as a whole
+        place = r["licences"][0]["paragraph"]
+        assert any(w in r["text"].split("\n")[place] for w in template.split(" ")[:9])
+    # a blank line ends a paragraph
+    apart = spark.createDataFrame([("Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met",)], "text string")
+    assert apart.transform(licences.find_licences).first()["licences"] == []
+
+
 # --- 7 bit planes
 
 
