@@ -43,12 +43,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one of the least doc_id.
 
-    Rows of equal doc_id and text count once. A row without doc_id stands behind those that have one. Documents
+    Rows of equal doc_id and text count once; rows of equal doc_id and other texts are documents of their own, of which the
+    one of the least text hash has the doc_id as its key. A row without doc_id stands behind those that have one. Documents
     without words are linked with nothing and stay.
     """
     surrogate = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", surrogate).alias("_row"))
+    texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.xxhash64("text")).alias("_least"), F.max(F.xxhash64("text")).alias("_most"))
+    shared = staged(texts.where("_least <> _most").select("_id", "_least"), "shared_ids")
+    repeated = not shared.isEmpty()
+    if repeated:
+        other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+        keyed = keyed.join(shared, F.col("doc_id") == F.col("_id"), "left").withColumn("_row", F.when(F.xxhash64("text") != F.col("_least"), other).otherwise(F.col("_row"))).drop("_id", "_least")
     groups = staged(jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), RULE), "duplicates")
+    if repeated:
+        # the least doc_id of a group isn't always its least key
+        ids = keyed.select(F.col("_row").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+        named = groups.join(ids, F.col("doc_id") == F.col("_key")).select("doc_id", "component_id", "_id")
+        first = named.groupBy(F.col("component_id").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id"))["doc_id"].alias("_first"))
+        groups = staged(groups.join(first, F.col("component_id") == F.col("_group")).select("doc_id", F.col("_first").alias("component_id")), "groups")
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if gone.count() <= jaccard.SENT_IDS:
         gone = F.broadcast(gone)

@@ -46,3 +46,11 @@ def test_language_rejects_the_alien_and_keeps_the_short(spark):
     assert not [d for d, _, _ in alien if d in kept]
     assert all(d in kept for d, _, _ in rows)
     assert kept.get(200) == "xa" and 201 in kept and kept[201] is None
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (5, one), (5, two), (5, two), (7, two), (9, three), (9, one), (None, three)]
+    docs = spark.createDataFrame([(d, t, "xa", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in pipeline.duplicates_stage(spark, docs, "").collect()]
+    assert sorted(left) == [(1, one), (5, two), (9, three)]
