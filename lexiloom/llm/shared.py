@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset (tests on one machine), one of our own."""
+    """The folder that spark.checkpoint.dir names; where that is unset and all runs on one machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
         named = spark.sparkContext.getCheckpointDir()
@@ -41,6 +44,20 @@ def forget(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every stored intermediate of the shared folder, those of results that may still be read included."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexiloom")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_prefix(names: Iterable[str], wanted: str) -> str:
+    """A prefix that none of the names begins with, whatever their case."""
+    prefix, low = f"{wanted}_", [n.lower() for n in names]
+    while any(n.startswith(prefix) for n in low):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
