@@ -39,7 +39,7 @@ def sharding_sql() -> str:
     return f"""WITH t AS (SELECT {_crc_table()} AS tbl), d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, encode(coalesce(text, '')) AS raw FROM documents),
 b AS (SELECT doc_id, key, octet_length(raw) + 1 AS size, list_transform(regexp_extract_all(hex(raw), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM d),
 c AS (SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, tbl[1 + xor(c & 255, v)])), 4294967295) AS text_crc32 FROM b, t),
-s AS (SELECT *, ({shard(sharding.laid_out(n), '')})::INT AS shard, ({shard(sharding.laid_out(n + 1), '')})::INT AS grown_shard, ('0x' || substr(md5(key), 1, 6))::BIGINT % {sharding.PARTS} AS part FROM c)
+s AS (SELECT *, ({shard(sharding.laid_out(n), '')})::INT AS shard, ({shard(sharding.laid_out(n + 1), '')})::INT AS grown_shard, ('0x' || substr(md5(key || '/' || size || '/' || text_crc32), 1, 12))::BIGINT % (SELECT greatest(1, ceil(count(*) / {sharding.PART_ROWS * n}.0))::BIGINT FROM documents) AS part FROM c)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 
 

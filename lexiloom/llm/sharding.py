@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiloom.llm.shared import documents, hex_unit
+from lexiloom.llm.shared import documents, free_prefix, hex_unit
 
 #: region -> rack -> shard -> weight
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
 #: Shards of the fleet as first laid out: regions of two racks of four. Each later shard has a region of its own.
 BASE_SHARDS, PER_RACK, RACKS = 16, 4, 2
-#: Parts of a shard that are numbered apart, so that no task has to hold a whole shard.
-PARTS = 1024
+#: Rows of a part of a shard, about: parts are numbered apart, so that no task has to hold a whole shard.
+PART_ROWS = 20_000
 
 
 def laid_out(shards: int) -> dict[str, dict[str, dict[int, float]]]:
@@ -63,42 +63,53 @@ def shard_of(key: Column, tree: Tree) -> Column:
             return inner(names[0])
         draws = [(-F.ln(hex_unit(F.concat(named, F.lit(f"{path}/{n}")))) / _weight(below[n])).alias("draw") for n in names]
         won = F.array_min(F.array(*[F.struct(d, F.lit(i).alias("child")) for i, d in enumerate(draws)]))["child"]
-        chosen = F.element_at(F.array(*[inner(n) for n in names]), won + 1)
-        return chosen
+        # branches of a CASE are lazy: a row is hashed at the nodes on its way only
+        chosen = F.when(won == 0, inner(names[0]))
+        for i, n in enumerate(names[1:-1], 1):
+            chosen = chosen.when(won == i, inner(n))
+        return chosen.otherwise(inner(names[-1]))
 
     return descend(tree, "").cast("int")
 
 
-def numbered(df: DataFrame, shard: str, order: list[Column], key: Column, parts: int = PARTS) -> DataFrame:
-    """df with ``slot``: 0, 1, 2 ... in each shard.
+def numbered(df: DataFrame, shard: str, order: list[str], parts: int) -> DataFrame:
+    """df with ``slot``: 0, 1, 2 ... in each shard; an old column of that name is replaced.
 
-    Rows are numbered in parts of a shard (a hash of the key), and the parts' counts, shards x parts numbers at
-    most, give each part its first slot. No task sees a whole shard.
+    Rows are numbered in parts of a shard (a hash of the columns of order, which also order a part), and the parts'
+    counts, a row for each, give each part its first slot. No task sees a whole shard, nor the rows of one key unless
+    they are equal in all these columns.
     """
-    df = df.withColumn("_part", (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long") % parts).cast("int"))
-    counts = df.groupBy(shard, "_part").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(shard).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(F.col(shard).alias("_shard"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = F.row_number().over(W.partitionBy(shard, "_part").orderBy(*order)) - 1
-    # bounded: one row for each shard and part
-    joined = df.withColumn("_own", own).join(F.broadcast(first), (F.col(shard) == F.col("_shard")) & (F.col("_part") == F.col("_of")))
-    return joined.withColumn("slot", F.col("_first") + F.col("_own")).drop("_part", "_own", "_shard", "_of", "_first")
+    p = free_prefix(df.columns, "_slot")
+    key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+    df = df.withColumn(f"{p}part", F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long") % parts)
+    counts = df.groupBy(F.col(shard).alias(f"{p}shard"), F.col(f"{p}part").alias(f"{p}of")).agg(F.count("*").alias(f"{p}n"))
+    before = W.partitionBy(f"{p}shard").orderBy(f"{p}of").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.withColumn(f"{p}first", F.coalesce(F.sum(f"{p}n").over(before), F.lit(0))).drop(f"{p}n")
+    own = F.row_number().over(W.partitionBy(shard, f"{p}part").orderBy(*order)) - 1
+    joined = df.withColumn(f"{p}own", own).join(first, (F.col(shard) == F.col(f"{p}shard")) & (F.col(f"{p}part") == F.col(f"{p}of")))
+    return joined.withColumn("slot", F.col(f"{p}first") + F.col(f"{p}own")).drop(*[f"{p}{c}" for c in ("part", "own", "shard", "of", "first")])
 
 
 def assign_shards(df: DataFrame, shards: int = BASE_SHARDS, tree: Tree | None = None, key: str = "doc_id") -> DataFrame:
     """df with ``shard`` and, where the tree is the usual one, ``grown_shard`` (with one shard more).
 
     Only the key and the tree decide: rows of equal key go together, a null key is a key like any other, the
-    text may be null, empty or of any length. df must not have these two columns; its others pass through.
+    text may be null, empty or of any length. Old columns of these two names are replaced; others pass through.
     """
     name = F.col(key).cast("string")
     out = df.withColumn("shard", shard_of(name, tree or laid_out(shards)))
     return out if tree else out.withColumn("grown_shard", shard_of(name, laid_out(shards + 1)))
 
 
+def parts_of(rows: int, shards: int) -> int:
+    """Parts of each shard for a table of so many rows."""
+    return -(-rows // (PART_ROWS * shards)) or 1
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 15 by the law ``key``; slots are gapless in each shard."""
+    """All documents into shards 0 to 15 by the law ``key``; slots are gapless in each shard. A null or empty text has size 1
+    and crc32 0; a null doc_id is the key of an empty name; rows that repeat are rows, in the same shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("size_text"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = numbered(assign_shards(rows), "shard", [F.col("doc_id"), F.col("size_text"), F.col("text_crc32")], F.col("doc_id"))
-    return placed.select("doc_id", (F.col("size_text") + 1).alias("size"), "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = numbered(assign_shards(rows), "shard", ["doc_id", "size", "text_crc32"], parts_of(rows.count(), BASE_SHARDS))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
