@@ -18,16 +18,19 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiloom.llm.shared import documents
-from lexiloom.llm.workers import release
+from lexiloom.llm.shared import documents, free_prefix
+from lexiloom.llm.workers import blocks, release
 
 #: Signs of a vector; letters of an n-gram; seed of the letters' vectors.
 DIM, ORDER, SEED = 1024, 3, 7_919
-#: Characters of a block of documents that is counted at once.
-BLOCK_CHARS = 400_000
+#: Characters and texts of a block that is counted at once; n-grams whose vectors are held at once; letters that are kept.
+BLOCK_CHARS, BLOCK_TEXTS, GRAMS, LETTERS = 400_000, 4_000, 8_192, 20_000
 #: Chance that a text of no relation to any language reaches ``chance_score``. Texts of a length are judged if the labelled ones
 #: but the share BELOW, which may be alien themselves, lie above that by MARGIN standard errors of unrelated vectors.
 CHANCE, BELOW, MARGIN = 1e-6, 0.05, 2.0
@@ -54,7 +57,8 @@ def letter_vector(code: int, dim: int = DIM) -> np.ndarray:
 
 
 class Bundler:
-    """Turns texts into vectors; keeps the vectors of letters and n-grams that it has met."""
+    """Turns texts into vectors; keeps the vectors of letters that it has met. What it holds at once is bounded by
+    BLOCK_CHARS, GRAMS and the number of texts of a block, however long a text is."""
 
     def __init__(self, dim: int = DIM, order: int = ORDER) -> None:
         self.dim, self.order = dim, order
@@ -63,89 +67,100 @@ class Bundler:
         self.sizes = np.empty(0, np.int64)
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors of these letters, for every place of an n-gram: (order, letters, dim)."""
+        """Vectors of these letters: (letters, dim)."""
+        if len(self._letters) > LETTERS:
+            self._letters.clear()
         for c in codes.tolist():
             if c not in self._letters:
                 self._letters[c] = letter_vector(c, self.dim)
-        plain = np.stack([self._letters[c] for c in codes.tolist()])
-        return np.stack([np.roll(plain, self.order - 1 - place, axis=1) for place in range(self.order)])
-
-    def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the texts of a block: index of the text, number of the n-gram, as flat arrays; and the n-grams'
-        vectors (n-grams, dim), as int8."""
-        joined = "".join(f" {t} " for t in texts)
-        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-        low = _case_table()[raw]
-        keep = np.ones(len(low), dtype=bool)
-        keep[1:] = (low[1:] != _BLANK) | (low[:-1] != _BLANK) | (owner[1:] != owner[:-1])
-        low, owner = low[keep], owner[keep]
+        return np.stack([self._letters[c] for c in codes.tolist()])
+
+    def _letters_of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Letters and the index of their text, as flat arrays, in parts: a part goes on with the last letters of the one
+        before where a text goes on, so that each n-gram lies in one part."""
+        if sum(map(len, texts)) <= BLOCK_CHARS:
+            yield _collapsed("".join(f" {t} " for t in texts), np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts]))
+            return
+        for i, t in enumerate(texts):
+            held = np.empty(0, np.uint32)
+            for a in range(0, len(t) + 2, BLOCK_CHARS):
+                part = ("" if a else " ") + t[max(0, a - 1) : a - 1 + BLOCK_CHARS] + (" " if a + BLOCK_CHARS >= len(t) + 2 else "")
+                low, _ = _collapsed(part, np.zeros(len(part), np.int64))
+                if len(held) and len(low) and held[-1] == low[0] == _BLANK:
+                    low = low[1:]
+                low = np.concatenate([held, low])
+                yield low, np.full(len(low), i)
+                held = low[max(0, len(low) - self.order + 1) :]
+
+    def counted(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The n-grams of the texts of a block, in parts of at most GRAMS different ones: index of the text, number of the
+        n-gram, as flat arrays by text; and the n-grams' vectors (n-grams, dim), as int8."""
         n = self.order
-        if len(low) < n:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, self.dim), np.float32)
-        present = np.zeros(0x110000, dtype=bool)
-        present[low] = True
-        alphabet = np.flatnonzero(present)
-        place = np.zeros(0x110000, dtype=np.int64)
-        place[alphabet] = np.arange(len(alphabet))
-        letters = place[low]
-        size = len(alphabet)
-        ids = np.zeros(len(low) - n + 1, dtype=np.int64)
-        for k in range(n):
-            ids = ids * size + letters[k : len(letters) - n + 1 + k]
-        inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
-        ids, owner = ids[inside], owner[: len(owner) - n + 1][inside]
-        if size**n <= 4_000_000:
-            hit = np.zeros(size**n, dtype=bool)
-            hit[ids] = True
-            grams = np.flatnonzero(hit)
-            number = np.zeros(size**n, dtype=np.int64)
-            number[grams] = np.arange(len(grams))
-            ids = number[ids]
-        else:
-            grams, ids = np.unique(ids, return_inverse=True)
-        rows = self._rows(alphabet)
-        vectors = np.ones((len(grams), self.dim), dtype=np.int8)
-        rest = grams
-        for k in range(n - 1, -1, -1):
-            vectors *= rows[k][rest % size]
-            rest = rest // size
-        return owner, ids, vectors
+        self.sizes = np.zeros(len(texts), np.int64)
+        for low, owner in self._letters_of(texts):
+            if len(low) < n:
+                continue
+            alphabet, letters = np.unique(low, return_inverse=True)
+            size = len(alphabet)
+            ids = np.zeros(len(low) - n + 1, dtype=np.int64)
+            for k in range(n):
+                ids = ids * size + letters[k : len(letters) - n + 1 + k]
+            inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
+            ids, owner = ids[inside], owner[: len(owner) - n + 1][inside]
+            self.sizes += np.bincount(owner, minlength=len(texts))
+            if size**n <= 4_000_000:
+                hit = np.zeros(size**n, dtype=bool)
+                hit[ids] = True
+                grams = np.flatnonzero(hit)
+                number = np.zeros(size**n, dtype=np.int64)
+                number[grams] = np.arange(len(grams))
+                ids = number[ids]
+            else:
+                grams, ids = np.unique(ids, return_inverse=True)
+            for first in range(0, len(grams), GRAMS):
+                rest = grams[first : first + GRAMS]
+                some = slice(None) if len(grams) <= GRAMS else (ids >= first) & (ids < first + GRAMS)
+                vectors = np.ones((len(rest), self.dim), dtype=np.int8)
+                for k in range(n - 1, -1, -1):
+                    used, which = np.unique(rest % size, return_inverse=True)
+                    vectors *= np.roll(self._rows(alphabet[used]), n - 1 - k, axis=1)[which]
+                    rest = rest // size
+                yield owner[some], ids[some] - first, vectors
 
     def documents(self, texts: list[str]) -> np.ndarray:
-        """A vector for each text of a block: (texts, dim), whole numbers as float32."""
-        owner, ids, vectors = self.counted(texts)
-        self.sizes = np.bincount(owner, minlength=len(texts))
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        vectors = vectors.astype(np.float32)
-        step = max(1, 2_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
-        for a in range(0, len(texts), step):
-            b = min(a + step, len(texts))
-            lo, hi = np.searchsorted(owner, [a, b])
-            counts = np.bincount((owner[lo:hi] - a) * len(vectors) + ids[lo:hi], minlength=(b - a) * len(vectors))
-            out[a:b] = counts.reshape(b - a, -1).astype(np.float32) @ vectors
+        """A vector for each text of a block: (texts, dim), whole numbers."""
+        out = np.zeros((len(texts), self.dim))
+        for owner, ids, vectors in self.counted(texts):
+            vectors = vectors.astype(np.float32)  # sums of a part are whole in it: BLOCK_CHARS is below 2 ** 24
+            step = max(1, 2_000_000 // max(1, len(vectors)))  # rows of the count matrix that are held at once
+            for a in range(0, len(texts), step):
+                b = min(a + step, len(texts))
+                lo, hi = np.searchsorted(owner, [a, b])
+                if hi > lo:
+                    counts = np.bincount((owner[lo:hi] - a) * len(vectors) + ids[lo:hi], minlength=(b - a) * len(vectors))
+                    out[a:b] += counts.reshape(b - a, -1).astype(np.float32) @ vectors
         return out
 
     def bundle(self, texts: list[str], group: np.ndarray, groups: int) -> np.ndarray:
         """The sum of the texts' vectors for each group number: (groups, dim), int64."""
-        owner, ids, vectors = self.counted(texts)
-        if not len(ids):
-            return np.zeros((groups, self.dim), dtype=np.int64)
-        counts = np.bincount(group[owner] * len(vectors) + ids, minlength=groups * len(vectors)).reshape(groups, -1)
-        exact = np.float32 if len(ids) < 1 << 24 else np.float64  # sums of so many signs are whole in it
-        return np.rint(counts.astype(exact) @ vectors.astype(exact)).astype(np.int64)
-
-
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts whose characters together are at most ``most``, or single longer ones."""
-    first, chars = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and chars + len(t) > most:
-            yield first, i
-            first, chars = i, 0
-        chars += len(t)
-    if len(texts) > first:
-        yield first, len(texts)
+        out = np.zeros((groups, self.dim), dtype=np.int64)
+        for owner, ids, vectors in self.counted(texts):
+            counts = np.bincount(group[owner] * len(vectors) + ids, minlength=groups * len(vectors)).reshape(groups, -1)
+            out += np.rint(counts.astype(np.float32) @ vectors.astype(np.float32)).astype(np.int64)
+        return out
+
+
+def _collapsed(joined: str, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters in lower case, one blank for each run of anything else, and whose they are."""
+    low = _case_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    keep = np.ones(len(low), dtype=bool)
+    keep[1:] = (low[1:] != _BLANK) | (low[:-1] != _BLANK) | (owner[1:] != owner[:-1])
+    return low[keep], owner[keep]
+
+
+def text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are counted together: of BLOCK_CHARS and BLOCK_TEXTS at most, or single longer ones."""
+    return blocks([len(t) + 2 for t in texts], BLOCK_CHARS, BLOCK_TEXTS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,7 +180,7 @@ def learn(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
         for frame in batches:
             texts = frame["text"].tolist()
             names, numbers = np.unique(frame["lang"].to_numpy(dtype=object).astype(str), return_inverse=True)
-            for a, b in blocks(texts):
+            for a, b in text_blocks(texts):
                 got = bundler.bundle(texts[a:b], numbers[a:b], len(names))
                 for k, name in enumerate(names):
                     sums[name] = sums.get(name, 0) + got[k]
@@ -189,16 +204,17 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, c
     """
     kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_size") and (carry is None or f.name in carry)]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, lang_score double, lang_size long"])
+    found_here = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_size", T.LongType())]
     langs = sorted(prototypes)
-    matrix = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs]).astype(np.float32) if langs else np.zeros((0, dim), np.float32)
+    matrix = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs]) if langs else np.zeros((0, dim))
+    source = free_prefix(names, "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler = Bundler(dim)
-        for frame in batches:
-            texts = [t or "" for t in frame["text"]]
+        for batch in batches:
+            texts = pc.fill_null(batch.column(source), "").to_pylist()
             found, scores, sizes = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
-            for a, b in blocks(texts) if langs else ():
+            for a, b in text_blocks(texts) if langs else ():
                 vectors = bundler.documents(texts[a:b])
                 norm = np.linalg.norm(vectors, axis=1)
                 cosines = (vectors @ matrix.T) / np.maximum(norm, 1e-9)[:, None]
@@ -207,12 +223,12 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, c
                     if any(c.isalpha() for c in texts[a + i]):
                         found[a + i], scores[a + i] = langs[best[i]], float(min(1.0, max(0.0, cosines[i, best[i]])))
                         sizes[a + i] = int(bundler.sizes[i])
-            frame = frame[names].copy()
-            frame["lang_pred"], frame["lang_score"], frame["lang_size"] = found, scores, sizes
-            yield frame
+            columns = [*batch.select(names).columns, pa.array(found), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in found_here)])
         release()
 
-    return df.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInPandas(run, schema)
+    named = [F.col(f"`{n}`") for n in names]
+    return df.select(*named, F.col("text").cast("string").alias(source)).mapInArrow(run, T.StructType([*kept, *found_here]))
 
 
 def chance_score(languages: int, dim: int = DIM) -> float:
@@ -241,7 +257,8 @@ def judged(labelled: DataFrame, languages: int) -> Callable[[Column], Column]:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from those that are not held out."""
+    """The language of every document, learned from those that are not held out. A null or empty text, or one without a
+    letter, is ``und`` with a score of 0; rows that repeat are rows; a null doc_id stays null and is learned from."""
     docs = documents(spark, sf_dir)
     prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
     found = identify(docs.select("doc_id", "text"), prototypes, carry=["doc_id"])
