@@ -17,10 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import documents, new_folder
+from lexiloom.llm.workers import blocks
 
 MULAW, ALAW, ADPCM = 7, 6, 0x11
 #: Samples a second of telephony, and of the PCM that is made from it.
@@ -232,21 +235,26 @@ def decoded_blocks(payloads: Sequence[bytes], block: int = BLOCK) -> Iterator[np
 
 
 def features(media: Sequence[bytes]) -> list[str]:
-    """What is heard in each file: samples, peak, root mean square, sign changes and the crc32 of its PCM at
-    PCM_RATE; and the crc32 of the same bytes' PCM when taken as A-law and as ADPCM blocks."""
+    """What is heard in each file: samples, peak, root mean square and sign changes; and the crc32 of the same bytes' PCM
+    when taken as A-law and as ADPCM blocks."""
     data = [read_wav(m)[3] for m in media]
     out = []
     for m, payload, coded in zip(media, data, decoded_blocks(data), strict=True):
-        rate, pcm = pcm_of(m)
-        wide = resample(pcm, rate, PCM_RATE)
+        pcm = pcm_of(m)[1]
         x = pcm.astype(np.int64)
         rms = math.isqrt(int((x * x).sum()) // max(1, len(x)))
         turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
         other = expand(np.frombuffer(payload, dtype=np.uint8), ALAW)
-        out.append(f"n={len(pcm)};peak={int(np.abs(x).max(initial=0))};rms={rms};turns={turns};pcm16k={zlib.crc32(wide.tobytes()):08x};alaw={zlib.crc32(other.tobytes()):08x};adpcm={zlib.crc32(coded.tobytes()):08x}")
+        out.append(f"n={len(pcm)};peak={int(np.abs(x).max(initial=0))};rms={rms};turns={turns};alaw={zlib.crc32(other.tobytes()):08x};adpcm={zlib.crc32(coded.tobytes()):08x}")
     return out
 
 
+def pcm_file(media: bytes, rate: int = PCM_RATE) -> bytes:
+    """The PCM of a file of any of the known formats, resampled, as a WAVE file of 16-bit samples."""
+    own, pcm = pcm_of(media)
+    return wav(resample(pcm, own, rate).astype("<i2").tobytes(), 1, rate)
+
+
 def with_media(df: DataFrame, payload: str, tag: int = MULAW, media: str = "media") -> DataFrame:
     """df with a media column of WAVE files whose data is the binary payload column as it is; null stays null."""
     return df.withColumn(media, F.pandas_udf(_maker(tag), "binary")(F.col(f"`{payload}`")))
@@ -261,21 +269,20 @@ def _maker(tag: int):
 
 def store_pcm(df: DataFrame, path: str, media: str = "media", rate: int = PCM_RATE) -> DataFrame:
     """Writes df with ``pcm`` (16-bit little-endian samples at that rate, as a WAVE file) in place of the media column
-    as Parquet at path, and gives the table there. Files of any of the known formats may be mixed; null stays null."""
+    as Parquet at path, and gives the table there. Files of any of the known formats may be mixed; null stays null; an old
+    ``pcm`` is replaced."""
 
     @F.pandas_udf("binary")
     def make(column: pd.Series) -> pd.Series:
-        def one(m: bytes | None) -> bytes | None:
-            if m is None:
-                return None
-            own, pcm = pcm_of(bytes(m))
-            return wav(resample(pcm, own, rate).astype("<i2").tobytes(), 1, rate)
+        return pd.Series([None if m is None else pcm_file(bytes(m), rate) for m in column], dtype=object)
+
+    out = df.withColumn("pcm", make(F.col(f"`{media}`"))).drop(media)
+    return _stored(out, path)
 
-        return pd.Series([one(m) for m in column], dtype=object)
 
-    out = df.withColumn("pcm", make(F.col(media))).drop(media)
-    out.write.parquet(path)
-    return df.sparkSession.read.schema(out.schema).parquet(path)
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def padded(text: str = "text") -> Column:
@@ -286,29 +293,44 @@ def padded(text: str = "text") -> Column:
     return F.concat(raw, F.substring(F.lit(bytes(PAD)), F.lit(1), zeros))
 
 
-def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as mu-law audio: stored as media files, read back, expanded and measured."""
-    payloads = documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded().alias("payload"))
-    path = new_folder(spark, "media")
-    stored = with_media(payloads, "payload").drop("payload")
-    stored.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(stored.schema).parquet(path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            media = [bytes(m) for m in frame["media"]]
-            data = [read_wav(m)[3] for m in media]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_bytes": frame["n_bytes"],
-                    "payload_bytes": [len(x) for x in data],
+_HEARD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, heard string, pcm binary"
+#: Media whose PCM leaves a worker at once, in bytes.
+SENT_BYTES = 8_000_000
+
+
+def heard(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """Digests and features of media files (doc_id, n_bytes, media) and their PCM at that rate. A null doc_id is kept as such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in blocks(pc.binary_length(whole.column("media")).to_numpy(zero_copy_only=False), SENT_BYTES):
+                batch = whole.slice(a, b - a)
+                media = batch.column("media").to_pylist()
+                data = [read_wav(m)[3] for m in media]
+                columns = {
+                    "doc_id": batch.column("doc_id"),
+                    "n_bytes": batch.column("n_bytes"),
+                    "payload_bytes": pa.array(map(len, data), pa.int64()),
                     "payload_sha256": [hashlib.sha256(x).hexdigest() for x in data],
-                    "tail_crc32": [zlib.crc32(x[-PAD:]) for x in data],
-                    "media_bytes": [len(m) for m in media],
+                    "tail_crc32": pa.array([zlib.crc32(x[-PAD:]) for x in data], pa.int64()),
+                    "media_bytes": pa.array(map(len, media), pa.int64()),
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                    "feature": features(media),
+                    "heard": features(media),
+                    "pcm": pa.array([pcm_file(m, rate) for m in media], pa.binary()),
                 }
-            )
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return stored.mapInArrow(run, _HEARD)
 
-    return back.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as mu-law audio: stored as media files, read back, expanded and measured; their resampled PCM
+    is stored too, and its size and crc32, of what was read back, end the feature.
+
+    A null or empty text is a payload of 64 zeros; rows that repeat are rows; a null doc_id stays null.
+    """
+    payloads = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded().alias("payload"))
+    media = _stored(with_media(payloads, "payload").drop("payload"), new_folder(spark, "media"))
+    stored = _stored(heard(media), new_folder(spark, "pcm"))
+    feature = F.concat("heard", F.lit(";pcm="), F.octet_length("pcm").cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0"))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
