@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,10 +31,10 @@ CAPACITY = 2048
 WIDTH = 8
 #: The linear program is solved to within this share of its bound.
 GAP = 5e-4
-#: Chunks of text in a generation of the tokenizer's cache, which ends with the task: other stages run in the same workers.
-CACHE_ENTRIES = 300_000
-#: Parts in which ranks are counted apart, so that no task has to hold a whole class.
-PARTS = 512
+#: Rows of a part of a class, about: ranks are counted apart in parts, so that no task has to hold a whole class.
+PART_ROWS = 20_000
+#: Tokens of the pieces that leave a worker at once when their ids go with them.
+KEPT_IDS = 2_000_000
 
 
 def knapsack(prices: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
@@ -126,16 +126,17 @@ def plan(demand: Mapping[int, int], room: int) -> list[tuple[dict[int, int], int
     return out
 
 
-def ranked(df: DataFrame, group: str, key: Column, order: list[Column], amount: Column, parts: int = PARTS) -> DataFrame:
-    """df with ``rank``: the sum of ``amount`` over the rows before it in its group. Counted in parts (a hash of the key),
-    whose sums, groups x parts numbers at most, give each part its first rank: no task holds a whole group."""
-    df = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_amount", amount)
-    sums = df.groupBy(group, "_part").agg(F.sum("_amount").alias("_sum"))
+def ranked(df: DataFrame, group: str, key: Column, order: list[Column], most: int) -> DataFrame:
+    """df with ``rank``: the number of rows before it in its group, of which none has more than ``most`` rows. Counted in
+    parts (a hash of the key) of about PART_ROWS rows, whose counts give each part its first rank: no task holds a whole
+    group. The counts, a row for each part, are joined as their size asks for."""
+    df = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(-(-most // PART_ROWS) or 1)))
+    sums = df.groupBy(group, "_part").agg(F.count("*").alias("_sum"))
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     first = staged(sums.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first")), "ranks")
-    own = F.coalesce(F.sum("_amount").over(W.partitionBy(group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    joined = df.withColumn("_own", own).join(F.broadcast(first), (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_of")))
-    return joined.withColumn("rank", F.col("_first") + F.col("_own")).drop("_part", "_amount", "_own", "_group", "_of", "_first")
+    own = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
+    joined = df.withColumn("_own", own).join(first, (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("rank", F.col("_first") + F.col("_own")).drop("_part", "_own", "_group", "_of", "_first")
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY, width: int = WIDTH) -> DataFrame:
@@ -148,9 +149,10 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, width: int = WIDTH) -> D
     spark = pieces.sparkSession
     order = [F.col("doc_key"), F.col("start")]
     room = capacity // width
-    rests = pieces.where(F.col("length") < capacity).withColumn("class", F.ceil(F.col("length") / width).cast("int"))
-    histogram = {r["class"]: r["n"] for r in rests.groupBy("class").agg(F.count("*").alias("n")).collect()}  # room + 1 rows at most
-    # a rest of the longest class fills a sequence alone
+    # full pieces are class 0; a rest of the longest class fills a sequence alone
+    classed = pieces.withColumn("class", F.when(F.col("length") < capacity, F.ceil(F.col("length") / width)).otherwise(0).cast("int"))
+    histogram = {r["class"]: r["n"] for r in classed.groupBy("class").agg(F.count("*").alias("n")).collect()}  # room + 1 rows at most
+    filled_whole, rests = histogram.pop(0, 0), classed.where("class > 0")
     uses = plan(histogram, room)
     base, filled, rows = 0, Counter(), []
     for number, (pattern, whole) in enumerate(uses):
@@ -162,13 +164,13 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, width: int = WIDTH) -> D
         base += whole
     # bounded: a row for each class of each pattern, of which there are about as many as classes
     places = spark.createDataFrame(rows, "p_class int, first long, last long, each int, base long, spot int")
-    ranks = ranked(rests, "class", F.col("doc_key"), order, F.lit(1).cast("long"))
+    ranks = ranked(rests, "class", F.col("doc_key"), order, max(histogram.values(), default=0))
     dealt = ranks.join(F.broadcast(places), (F.col("class") == F.col("p_class")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     nth = F.col("rank") - F.col("first")
     dealt = dealt.withColumn("sequence_id", F.col("base") + F.floor(nth / F.col("each"))).withColumn("_spot", F.col("spot") + nth % F.col("each"))
     before = W.partitionBy("sequence_id").orderBy("_spot").rowsBetween(W.unboundedPreceding, -1)  # capacity rows at most
     dealt = dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    full = ranked(pieces.where(F.col("length") >= capacity).withColumn("class", F.lit(0)), "class", F.concat_ws(" ", F.col("doc_key").cast("string"), F.col("start").cast("string")), order, F.lit(1).cast("long"))
+    full = ranked(classed.where("class = 0"), "class", F.struct("doc_key", "start"), order, filled_whole)
     full = full.withColumn("sequence_id", F.lit(base).cast("long") + F.col("rank")).withColumn("offset", F.lit(0).cast("long"))
     kept = [F.col(f"`{c}`") for c in pieces.columns] + [F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset")]
     return dealt.select(*kept).unionByName(full.select(*kept))
@@ -181,35 +183,38 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
     the row's place in its task, so pieces have to be stored before they are used twice.
     """
     columns = "doc_id long, doc_key long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("doc_key"))
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("doc_key"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from lexiloom.llm.token_ids import encoder, forget_encoders
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lexiloom.llm.token_ids import encoder
 
-        encode = encoder(tokenizer, CACHE_ENTRIES).encode
-        for frame in batches:
-            out: dict[str, list] = {c.split()[0]: [] for c in columns.split(", ")}
-            missing = frame["doc_id"].isna().tolist()
-            for doc, gone, key, text in zip(frame["doc_id"].tolist(), missing, frame["doc_key"].tolist(), frame["text"].tolist(), strict=True):
-                ids = encode([text], end_id)[0]
+        kept = pa.schema([("ids", pa.list_(pa.int32()))] if keep_ids else [])
+
+        def made(batch: pa.RecordBatch, rows: list[tuple[int, int, int, int, int]], ids: list[bytes]) -> pa.RecordBatch:
+            row, start, length, crc, tokens = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+            named = batch.select(["doc_id", "doc_key"]).take(row)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))] if keep_ids else []
+            names = ["doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens", *kept.names]
+            return pa.RecordBatch.from_arrays([*named.columns, start, length, crc, tokens, *lists], names)
+
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, int]] = []
+            held: list[bytes] = []
+            for row, ids in enumerate(encoder(tokenizer).encode(batch.column("text"), end_id)):
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     part = ids[at * 4 : (at + capacity) * 4]
-                    out["doc_id"].append(None if gone else int(doc))
-                    out["doc_key"].append(key)
-                    out["start"].append(at)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    out["doc_tokens"].append(n)
+                    rows.append((row, at, len(part) // 4, zlib.crc32(part), n))
                     if keep_ids:
-                        out["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield pd.DataFrame(out)
-        del encode
-        forget_encoders()
+                        held.append(part)
+                        if len(held) * capacity >= KEPT_IDS:
+                            yield made(batch, rows, held)
+                            rows, held = [], []
+            if rows:
+                yield made(batch, rows, held)
         release()
 
-    return keyed.mapInPandas(run, columns)
+    return keyed.mapInArrow(run, columns)
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, width: int = WIDTH, keep_ids: bool = False) -> DataFrame:

@@ -24,17 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import documents, new_folder, staged
+from lexiloom.llm.workers import release
 
 MAGIC = b"LXPL1\n"
 #: Byte planes at the lowest level: on the test corpus 1.30 bytes an id, against 1.50 for bit planes at level 3.
 BLOCK_IDS, LEVEL, BITS = 65_536, 1, 8
-#: Chunks of text in a generation of the tokenizer's cache.
-CACHE_ENTRIES = 700_000
 _TRAILER = struct.Struct("<QQQQQB6s")
 
 
@@ -175,32 +175,33 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int | None, folder: str, bi
     """Tokenizes df's texts (doc_id, text; null: empty) and writes their ids in ascending doc_id order, null first, one
     file for each range of doc_ids; gives the manifest (part, path, docs, ids, bytes), with the parts in order.
 
-    Rows of equal doc_id are ordered by text. A task that runs again writes a file of another name, and the
-    manifest, written once, names the files of the tasks that counted.
+    Rows of equal doc_id, which may lie in several files, are ordered by a hash of the text. A task that runs again
+    writes a file of another name, and the manifest, written once, names the files of the tasks that counted.
     """
-    ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = ["doc_id", "_hash", "_row"]  # the row's own number deals equal rows to several files
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lexiloom.llm.token_ids import encoder
 
-        encode = encoder(tokenizer, CACHE_ENTRIES).encode
         part, writer, stream, path = TaskContext.get().partitionId(), None, None, ""
-        for frame in batches:
-            missing = frame["doc_id"].isna().tolist()
-            for doc, gone, text in zip(frame["doc_id"].tolist(), missing, frame["text"].tolist(), strict=True):
+        for batch in batches:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text"), end_id), strict=True):
                 if writer is None:
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.lxpl"
                     fs, inner = filesystem(path)
                     fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                     stream = fs.open_output_stream(inner)
                     writer = Writer(stream, bits=bits)
-                writer.add(None if gone else int(doc), encode([text], end_id)[0])
+                writer.add(doc, ids)
         if writer is not None:
             size = writer.close()
             stream.close()
-            yield pd.DataFrame({"part": [part], "path": [path], "docs": [len(writer._docs)], "ids": [writer.ids], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "docs": [len(writer._docs)], "ids": [writer.ids], "bytes": [size]})
+        release()
 
-    return staged(ordered.mapInPandas(run, _MANIFEST), "manifest")
+    return staged(ordered.mapInArrow(run, _MANIFEST), "manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
