@@ -37,6 +37,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "Released under the zlib License.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ),
+    "agpl": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU AGPL v3.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Released under the Eclipse Public License, version 2.0.",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -103,6 +125,12 @@ UNLIKE = (
     "The of and to in is was that with by the.",
     "This work is a study of the sea and of the people by the sea.",
     "They were licensed to sell drinks under the arches.",
+    "The eclipse was seen by the public from the terms office in town.",
+    "The accompanying materials were made available to the program of the school.",
+    "A notice of the sale shall be included in all copies of the paper.",
+    "Anyone may use the park for any purpose, including commercial fairs.",
+    "The town was released into the care of the public domain office.",
+    "The rights to publish and sell copies of the book were merged.",
 )
 
 #: A word: a run of letters, digits, dots and hyphens that starts and ends with a letter or digit.
@@ -134,10 +162,11 @@ class Model:
         self.families, self.weights, self.bias, self.temperature = families, weights, bias, temperature
 
     def scores(self, text: str) -> list[float]:
-        out = list(self.bias)
-        for f in features_of(text):
+        features = features_of(text)
+        scale, out = 1 / math.sqrt(len(features) or 1), list(self.bias)
+        for f in features:
             for k, w in enumerate(self.weights.get(f, ())):
-                out[k] += w
+                out[k] += scale * w
         return out
 
     def probabilities(self, text: str) -> list[float]:
@@ -189,18 +218,20 @@ def trained() -> Model:
 
 
 @lru_cache
-def anchors() -> tuple[str, ...]:
+def anchors(confirm: float = CONFIRM) -> tuple[str, ...]:
     """Words of which every confirmed paragraph has one.
 
-    A paragraph with CONFIRM of a template's word pairs has one of any set of them that is more than the rest; for each
+    A paragraph with the share ``confirm`` of a template's word pairs has one of any set of them that is more than the rest; for each
     template, words are taken until the pairs that hold one of them are more than that.
     """
     chosen: list[str] = []
     for template in sorted(t for ts in TEMPLATES.values() for t in ts):
         pairs = sorted(pairs_of(template))
         touched = lambda words: sum(any(w in p.split(_JOIN) for w in words) for p in pairs)  # noqa: E731, B023
-        while touched(chosen) <= (1 - CONFIRM) * len(pairs):
-            rest = [w for w in words_of(template) if w not in chosen and len(w) > 2 and w not in _COMMON]
+        while touched(chosen) <= (1 - confirm) * len(pairs):
+            rest = [w for w in words_of(template) if w not in chosen and len(w) > 2 and w not in _COMMON] or [w for w in words_of(template) if w not in chosen]
+            if not rest:
+                break
             chosen.append(max(rest, key=lambda w: (touched([*chosen, w]), len(w), w)))
     return tuple(sorted(chosen))
 
@@ -209,10 +240,10 @@ def anchors() -> tuple[str, ...]:
 _COMMON = frozenset("the and for with that this under from without you may any are not was free can work all all use part terms software".split())
 
 
-def _has_anchor(text: Column) -> Column:
+def _has_anchor(text: Column, confirm: float) -> Column:
     low = F.lower(text)
     found = F.lit(False)
-    for a in anchors():
+    for a in anchors(confirm):
         found = found | F.contains(low, F.lit(a))
     return found
 
@@ -275,7 +306,7 @@ _FOUND = "array<struct<paragraph:int,family:string,probability:double,similarity
 def _by_lines(lines: Column, least: float, confirm: float) -> Column:
     """Lines that are a grant as a whole; lines are (paragraph, line)."""
     templates = F.from_json(_json({f: [sorted(pairs_of(t)) for t in ts] for f, ts in TEMPLATES.items()}), "map<string,array<array<string>>>")
-    worded = F.transform(F.filter(lines, lambda s: _has_anchor(s["line"])), lambda s: F.struct(s["paragraph"].alias("at"), _folded_words(s["line"]).alias("words")))
+    worded = F.transform(F.filter(lines, lambda s: _has_anchor(s["line"], confirm)), lambda s: F.struct(s["paragraph"].alias("at"), _folded_words(s["line"]).alias("words")))
     compared = F.transform(
         F.filter(_classified(worded), lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= least)),
         lambda s: F.struct(
@@ -296,7 +327,7 @@ def _by_windows(lines: Column, whole: Column, least: float, confirm: float) -> C
     same line the most similar one counts, and none in a line of ``whole``, what was found by lines.
     """
     every = sorted({p for ts in TEMPLATES.values() for t in ts for p in pairs_of(t)})
-    anchored = [p for p in every if any(w in anchors() for w in p.split(_JOIN))]
+    anchored = [p for p in every if any(w in anchors(confirm) for w in p.split(_JOIN))]
     listed = [{"family": f, "pairs": sorted(pairs_of(t)), "size": len(pairs_of(t)), "span": (5 * len(words_of(t)) + 3) // 4} for f, ts in TEMPLATES.items() for t in ts]
     templates = F.from_json(_json(listed), "array<struct<family:string,pairs:array<string>,size:int,span:int>>")
 
@@ -368,11 +399,12 @@ def find_licences(df: DataFrame, text: str = "text", least: float = LEAST, confi
     joined = F.regexp_replace(F.col(f"`{text}`"), _CUT, "$1$3\n$2")
     found = _let(_by_lines(numbered(F.col(f"`{text}`")), least, confirm), lambda whole: F.sort_array(F.concat(whole, _by_windows(numbered(joined), whole, least, confirm))))
     empty = F.array().cast(_FOUND)
-    return df.withColumn("licences", F.when(_has_anchor(F.coalesce(F.col(f"`{text}`"), F.lit(""))), found).otherwise(empty))
+    return df.withColumn("licences", F.when(_has_anchor(F.coalesce(F.col(f"`{text}`"), F.lit("")), confirm), found).otherwise(empty))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licences of every document: how many paragraphs grant one, which families, and the surest one."""
+    """The licences of every document: how many paragraphs grant one, which families, and the surest one. A null or empty text
+    has no paragraph and no licence; rows that repeat are rows; a null doc_id stays null."""
     found = find_licences(documents(spark, sf_dir).select("doc_id", "text"))
     best = F.array_max(F.transform("licences", lambda s: F.struct(s["probability"].alias("probability"), s["similarity"].alias("similarity"), s["family"].alias("family"))))
     return found.select(
