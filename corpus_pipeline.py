@@ -63,8 +63,6 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         first = named.groupBy(F.col("component_id").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id"))["doc_id"].alias("_first"))
         groups = staged(groups.join(first, F.col("component_id") == F.col("_group")).select("doc_id", F.col("_first").alias("component_id")), "groups")
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= jaccard.SENT_IDS:
-        gone = F.broadcast(gone)
     kept = keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
     if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_row", "text"])

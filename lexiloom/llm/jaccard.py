@@ -3,27 +3,32 @@
 A document is the set of its distinct word shingles, as 64-bit hashes. Documents of equal sets form a class, and only
 classes are compared. Two classes are linked when the Jaccard similarity of their sets is at least num / den.
 
-Similar classes are partitioned into groups, and the token-group matrix says which tokens the union of each group's
-prefixes holds. In any one order of all tokens, two linked sets have a token in common among the first
-``n - ceil(n num / den) + 1`` of each (the prefix), so a query that shares no prefix token with a group's union can be
-linked with none of its members, and the group stays closed. The order puts rare tokens first: a passage that many
-documents share, or a common line, is in a prefix only where a document has little else.
-
-First every query is compared with the seed of each group that it shares a token with, one comparison for each, and
-the connected components of these links are found. A token whose holders are all of one component then leads
-nowhere; where a family of near copies is connected through its seed, its groups stay closed. The others are opened:
-blocks of queries meet blocks of members, a task for each two blocks, and a product of their token matrices gives the
-overlaps of all pairs at once; links that add nothing to what the block has connected aren't given. So no row stands
-for a pair, and no link between components is lost. There is no cap on groups, partners or candidates.
+In any one order of all tokens, two linked sets have a token in common among the first ``n - ceil(n num / den) + 1`` of
+each (the prefix), and their sizes lie in the same size class or in neighbouring ones. The order puts rare tokens first:
+a passage that many documents share, or a common line, is in a prefix only where a document has little else. Similar
+classes are partitioned into groups around seeds: a group is of one size class, and its members share prefix tokens.
+
+First every query is compared with the seeds of its prefix tokens, one comparison for each, and the connected components
+of these links are found. A token whose holders are all of one component then leads nowhere; where a family of near
+copies is connected through its seed, its groups stay closed. For the others the token-group matrix holds the union
+of each group's counted tokens. Of a query's counted tokens, those that the union lacks are in no member of the group; if
+they are more than a linked set may lack, the group stays closed to the query. What still qualifies is opened: blocks of
+queries meet blocks of members, a task for each two blocks, and a product of their token matrices gives the overlaps of
+all pairs at once; links that add nothing to what the block has connected aren't given. So no row stands for a pair, and
+no link between components is lost. There is no cap on groups, partners or candidates. Whole sets are made anew from
+the texts, of only those classes that are compared.
 
 Where counts come from: a token whose hash lies in the lowest ``share`` of all hashes belongs to the counted
 universe; every document's tokens in it are counted, over all documents. Universe tokens come first in the order, by
 count and then hash, and the others follow by hash. Prefixes nearly always lie inside the universe; where one
 doesn't (small sets), it goes on with the others, and the join is exact all the same.
+
+Joins on a token or a seed that many classes have are of many rows to one, which Spark's adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,9 +45,9 @@ _SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What identifies a class: the size of its set, the set's hash, and its least and greatest token.
 _KEY = ["n", "h", "lo", "hi"]
-#: Up to so many ids (of 8 bytes each) a list of documents whose text is read again is sent to all executors;
-#: beyond, it is joined by a shuffle.
-SENT_IDS = 2_000_000
+#: Up to so many classes (four numbers each, a relation of about 40 MB) are sent to all executors to find their texts;
+#: beyond, these are found by a shuffle.
+SENT_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -56,13 +61,17 @@ class Rule:
     @property
     def share(self) -> float:
         """The counted part of all tokens: prefixes take 1 - num / den of a set, and some slack."""
-        return min(1.0, 1.3 * (self.den - self.num) / self.den)
+        return min(1.0, 1.6 * (self.den - self.num) / self.den)
 
     @property
     def bound(self) -> int:
         """Hashes below this are in the counted universe."""
         return -(1 << 63) + min((1 << 64) - 1, int(self.share * (1 << 64)))
 
+    def size_class(self, n: Column) -> Column:
+        """Linked sets are of one class or of neighbouring ones; classes are a hair wider than num / den asks for."""
+        return F.floor(F.ln(n.cast("double")) / (math.log(self.den / self.num) * (1 + 1e-9))).cast("int")
+
     @property
     def least(self) -> int:
         """The size below which a set is linked with no other."""
@@ -125,41 +134,43 @@ class _Join:
         found = self.classes.join(lists, F.col("node") == F.col("_node")).withColumn("tokens", F.slice("shared", F.lit(1), taken)["token"])
         return staged(found.where(F.size("tokens") > 0).select("node", "low", *_KEY, F.slice("sketch", F.lit(1), F.col("counted")).alias("part"), "tokens"), "prefixes")
 
-    def linked(self, pairs: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), each once, that are linked."""
         rule = self.rule
         one = prefixes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
         two = prefixes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-        sized = pairs.join(one, "a").join(two, "b")
+        # sizes first, without the parts
+        sizes = [x.drop("part_a", "part_b") for x in (one, two)]
+        sized = pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num)
+        sized = sized.join(one.select("a", "part_a"), "a").join(two.select("b", "part_b"), "b")
         need = _overlap(F.col("n_a"), F.col("n_b"), rule)
         common = F.size(F.array_intersect("part_a", "part_b"))
         # universe tokens of one that the other lacks are missing from the overlap
         possible = F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b")) + common
-        close = sized.where((F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num) & (possible >= need)).select("a", "b", "n_a", "n_b")
-        both = close.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("set_b")), "b")
+        close = staged(sized.where(possible >= need).select("a", "b", "n_a", "n_b"), "close")
+        sets = self.whole_sets(prefixes, close.select(F.explode(F.array("a", "b")).alias("node")))
+        # sets are never small: merged at every size
+        both = close.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("set_a")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("set_b")).hint("merge"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        return staged(both.withColumn("common", common).where(F.col("common") * rule.den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * rule.num).select("a", "b"), "seed-links")
-
-    def whole_sets(self, prefixes: DataFrame) -> DataFrame:
-        """(node, _set) of these classes, from the text of their first documents."""
-        lows = prefixes.select(F.col("low").alias("_low")).distinct()
-        if prefixes.count() <= SENT_IDS:
-            lows = F.broadcast(lows)
-        texts = self.docs.join(lows, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi")
-        # stored before it is joined: a filter on the key would be pushed into the making of the sets
-        made = staged(with_set(texts, self.rule.words).select(*_keys(), "_set"), "made")
-        named = prefixes.select("node", *[F.col(k).alias(f"_{k}") for k in _KEY])
-        same = F.lit(True)
-        for k in _KEY:
-            same = same & (F.col(k) == F.col(f"_{k}"))
-        # rows that repeat give a class's set more than once
-        out = staged(made.join(named, same).select("node", "_set").dropDuplicates(["node"]), "sets")
-        forget(made)
+        out = staged(both.withColumn("common", common).where(F.col("common") * rule.den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * rule.num).select("a", "b"), "seed-links")
+        forget(close, sets)
         return out
 
+    def whole_sets(self, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, _set) of these nodes, from the text of their first documents; repeats among the nodes don't matter."""
+        wanted = nodes.select(F.col("node").alias("_node")).distinct()
+        named = staged(prefixes.join(wanted, F.col("node") == F.col("_node"), "left_semi").select("node", "low", F.col("n").alias("_n"), F.col("h").alias("_h")), "wanted")
+        few = F.broadcast(named) if named.count() <= SENT_ROWS else named
+        # stored before it is filtered: a filter on the key would be pushed into the making of the sets
+        made = staged(with_set(self.docs.join(few, F.col("doc_id").eqNullSafe(F.col("low"))), self.rule.words).select("node", "_set", *_keys()[:2], "_n", "_h"), "sets")
+        out = made.where((F.col("n") == F.col("_n")) & (F.col("h") == F.col("_h"))).select("node", "_set")
+        # rows that repeat give a class's set more than once
+        found = out.agg(F.count("*"), F.count_distinct("node")).first()
+        return out if found[0] == found[1] else out.dropDuplicates(["node"])
 
-#: Classes of a group, and queries of it, that are compared at once; tokens of a slice of their matrix.
-BLOCK, SLICE = 256, 4_096
+
+#: Tokens of the members of a group, and of its queries, that are compared at once; tokens of a slice of their matrix.
+BLOCK_TOKENS, SLICE = 400_000, 2_048
 
 
 def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -207,49 +218,72 @@ def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between the queries (node, grp) of groups and the groups' members (node, grp, root).
+    """Links between the queries (node, grp, root, n) of groups and the groups' members (node, grp, root, n).
 
-    A group's queries and members are dealt into blocks, and each block of queries meets each block of members in one
-    task: no task holds a whole group.
+    A group's queries and members are dealt into blocks of about BLOCK_TOKENS, and each block of queries meets each block
+    of members in one task: no task holds a whole group.
     """
-    asked = queries.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    held = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
+    asked = queries.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("q_blocks"))
+    held = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("m_blocks"))
     shape = staged(asked.join(held, "grp").select(F.col("grp").alias("_grp"), "q_blocks", "m_blocks"), "shape")
-    roots = members.select(F.col("node").alias("_node"), "root")
-    q = queries.join(roots, F.col("node") == F.col("_node")).join(shape, F.col("grp") == F.col("_grp")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("q_blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
+    q = queries.join(shape, F.col("grp") == F.col("_grp")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("q_blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
     m = members.join(shape, F.col("grp") == F.col("_grp")).withColumn("j", F.pmod(F.xxhash64("node"), F.col("m_blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     columns = ["grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "root"]
     rows = q.select(*columns, F.lit(True).alias("query")).unionByName(m.select(*columns, F.lit(False).alias("query")))
-    whole = rows.join(sets.select(F.col("node").alias("_node"), "_set"), F.col("node") == F.col("_node")).drop("_node")
+    whole = rows.join(sets.select(F.col("node").alias("_node"), "_set").hint("merge"), F.col("node") == F.col("_node")).drop("_node")
     return staged(whole.groupBy("grp", "i", "j").applyInPandas(_spanning(rule), "a long, b long"), "links-of-blocks")
 
 
+def _qualified(queries: DataFrame, placed: DataFrame, prefixes: DataFrame, rule: Rule) -> DataFrame:
+    """The queries (node, grp) that can reach, with what the union of the group's counted tokens has, the overlap that a link
+    needs; with root and n."""
+    parts = prefixes.select(F.col("node").alias("_node"), "part", "n")
+    asked = queries.select(F.col("grp").alias("_grp")).distinct()
+    members = placed.join(asked, F.col("grp") == F.col("_grp"), "left_semi")
+    union = members.join(parts, F.col("node") == F.col("_node")).select(F.col("grp").alias("u_grp"), F.explode("part").alias("u_token")).distinct()
+    held = queries.join(parts, F.col("node") == F.col("_node")).select("node", "grp", F.explode("part").alias("token"))
+    found = held.join(union, (F.col("grp") == F.col("u_grp")) & (F.col("token") == F.col("u_token"))).groupBy(F.col("node").alias("f_node"), F.col("grp").alias("f_grp")).agg(F.count("*").alias("common"))
+    counted = queries.join(found, (F.col("node") == F.col("f_node")) & (F.col("grp") == F.col("f_grp")), "left")
+    roots = placed.select(F.col("node").alias("r_node"), "root")
+    whole = counted.join(prefixes.select(F.col("node").alias("_node"), "n", F.size("part").alias("counted")), F.col("node") == F.col("_node")).join(roots, F.col("node") == F.col("r_node"))
+    lacking = F.col("counted") - F.coalesce("common", F.lit(0))
+    return staged(whole.where(lacking <= F.col("n") - _needed(F.col("n"), rule)).select("node", "grp", "root", "n"), "qualified")
+
+
 def classes_and_links(docs: DataFrame, rule: Rule) -> tuple[_Join, DataFrame]:
     """The classes, and links (a, b) between classes that connect all that are connected."""
     join = _Join(docs, rule)
     prefixes = join.postings()
-    posted = prefixes.select("node", F.explode("tokens").alias("token"))
-    # the group of a class: that of the least class with which it shares a prefix token, the group's seed
-    seeds = posted.groupBy("token").agg(F.min("node").alias("seed"), F.count("*").alias("held")).where("held > 1").select(F.col("token").alias("_token"), "seed")
-    near = staged(posted.join(seeds, F.col("token") == F.col("_token")).select("node", "token", "seed"), "near")
-    groups = staged(near.groupBy("node").agg(F.min("seed").alias("grp")), "groups")
-    sets = join.whole_sets(prefixes.join(groups.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi"))
-    # every query with the seed of each group whose union holds one of its tokens
-    star = join.linked(near.where("node <> seed").select(F.col("node").alias("a"), F.col("seed").alias("b")).distinct(), prefixes, sets)
+    posted = prefixes.select("node", rule.size_class(F.col("n")).alias("own"), F.explode("tokens").alias("token"))
+    # a class is at home in its own size class and looks into the next one
+    looks = posted.select("node", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("size"), "own").withColumn("home", F.col("own") == F.col("size")).drop("own")
+    seeds = looks.groupBy("token", "size").agg(F.min(F.when(F.col("home"), F.col("node"))).alias("seed"), F.count("*").alias("held")).where("held > 1 and seed is not null")
+    seeds = seeds.select(F.col("token").alias("_token"), F.col("size").alias("_size"), "seed")
+    near = staged(looks.join(seeds, (F.col("token") == F.col("_token")) & (F.col("size") == F.col("_size"))).select("node", "token", "size", "home", "seed"), "near")
+    # the group of a class: that of the least class of its size with which it shares a prefix token, the group's seed
+    groups = near.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("home"), F.col("seed"))), F.col("node")).alias("grp"))
+    # every query with the seeds of its tokens
+    star = join.linked(staged(near.where("node <> seed").select(F.col("node").alias("a"), F.col("seed").alias("b")).distinct(), "pairs"), prefixes)
     roots = components(star)
-    placed = groups.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
-    placed = staged(placed, "placed")
-    # the matrix: tokens of each group's union; where all classes that hold a token are of one component, it leads nowhere
-    tokens = near.select("node", "token").join(placed.select(F.col("node").alias("_node"), "grp", "root"), F.col("node") == F.col("_node")).select("node", "token", "grp", "root")
-    several = tokens.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select(F.col("token").alias("_token"))
-    open_ = staged(tokens.join(several, F.col("token") == F.col("_token"), "left_semi"), "open")
-    matrix = open_.select(F.col("token").alias("m_token"), F.col("grp").alias("m_grp")).distinct()
-    # groups are ordered, and of two it is the lower one's classes that ask
-    queries = staged(open_.join(matrix, (F.col("token") == F.col("m_token")) & (F.col("grp") <= F.col("m_grp"))).select("node", F.col("m_grp").alias("grp")).distinct(), "queries")
+    placed = staged(groups.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("node", "grp", F.coalesce("root", "node").alias("root")), "placed")
+    # where all classes that hold a token are of one component, it leads nowhere
+    tokens = near.select("node", "token", "size", "home").join(placed.select(F.col("node").alias("_node"), "grp", "root"), F.col("node") == F.col("_node")).drop("_node")
+    several = tokens.groupBy("token", "size").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select(F.col("token").alias("_token"), F.col("size").alias("_size"))
+    open_ = staged(tokens.join(several, (F.col("token") == F.col("_token")) & (F.col("size") == F.col("_size")), "left_semi"), "open")
+    matrix = open_.where("home").select(F.col("token").alias("m_token"), F.col("size").alias("m_size"), F.col("grp").alias("m_grp")).distinct()
+    # groups of a size are ordered, and of two it is the lower one's classes that ask; those of the size below ask all
+    met = open_.join(matrix, (F.col("token") == F.col("m_token")) & (F.col("size") == F.col("m_size"))).where((F.col("grp") <= F.col("m_grp")) | ~F.col("home"))
+    queries = staged(met.select("node", F.col("m_grp").alias("grp")).distinct(), "queries")
+    forget(near, open_)
     links = star
     if not queries.isEmpty():
-        links = star.unionByName(_opened(queries, placed, sets, rule))
-    forget(near, open_, sets)
+        asking = _qualified(queries, placed, prefixes, rule)
+        sizes = prefixes.select(F.col("node").alias("_node"), "n")
+        asked = asking.select(F.col("grp").alias("_grp")).distinct()
+        members = staged(placed.join(asked, F.col("grp") == F.col("_grp"), "left_semi").join(sizes, F.col("node") == F.col("_node")).select("node", "grp", "root", "n"), "members")
+        sets = join.whole_sets(prefixes, asking.select("node").unionByName(members.select("node")))
+        links = star.unionByName(_opened(asking, members, sets, rule))
+        forget(sets)
     return join, links
 
 
