@@ -120,7 +120,7 @@ def test_feature_is_of_what_was_stored(spark, folder, rows):
         raw = np.frombuffer(payload, dtype=np.uint8)
         media = telephony.to_media(payload)
         pcm = telephony.mulaw_table()[raw].astype(int)
-        file = telephony.wav(np.array(brute_resample(pcm, 8000, telephony.QUERY_RATE), "<i2").tobytes(), 1, telephony.QUERY_RATE)
+        file = telephony.wav(np.array(brute_resample(pcm, 8000, telephony.PCM_RATE), "<i2").tobytes(), 1, telephony.PCM_RATE)
         alaw = zlib.crc32(telephony.alaw_table()[raw].tobytes())
         adpcm = zlib.crc32(b"".join(telephony.decode_adpcm(raw[i : i + 64].reshape(1, -1)).tobytes() for i in range(0, len(raw), 64)))
         turns = sum((a < 0) != (b < 0) for a, b in zip(pcm.tolist(), pcm[1:].tolist()))
