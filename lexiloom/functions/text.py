@@ -35,10 +35,17 @@ def fold_exact(texts: pd.Series) -> pd.Series:
 
 
 def normalize_question(text: Column) -> Column:
-    """Lower case, white space collapsed to single blanks, none at the ends; accents stay."""
+    """Lower case, white space collapsed to single blanks, none at the ends; accents stay. Composed letters only;
+    ``normalize_question_exact`` composes and folds all of Unicode."""
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\x{85}\x{A0}]+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def normalize_question_exact(texts: pd.Series) -> pd.Series:
+    """Composed (NFC), case-folded, white space collapsed; null stays null."""
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFC", t).casefold().split()), na_action="ignore")
+
+
 def tokens(text: Column) -> Column:
     """Folded words between white space; punctuation stays attached."""
     return F.filter(F.split(fold(text), r"\s+"), lambda w: w != "")
@@ -50,9 +57,10 @@ def numbers(text: Column) -> Column:
 
 
 def value_matches(expected: Column, text: Column, tolerance: Column) -> Column:
-    """Whether the text holds the expected value: with a tolerance, a number within it; without, the folded string."""
+    """Whether the text holds the expected value: with a tolerance, a number within it; without, the folded string. A
+    tolerance on what is no number is an error."""
     wanted = F.try_to_number(F.replace(F.trim(expected), F.lit(","), F.lit(".")), F.lit("999999999999.999999")).cast("double")
-    near = F.exists(numbers(text), lambda n: F.abs(n - wanted) <= tolerance)
+    near = F.when(wanted.isNull() & expected.isNotNull(), F.raise_error(F.concat(F.lit("a tolerance needs a number, not "), expected)).cast("boolean")).otherwise(F.exists(numbers(text), lambda n: F.abs(n - wanted) <= tolerance))
     return F.when(tolerance.isNotNull(), F.coalesce(near, F.lit(False))).otherwise(F.contains(fold(text), fold(expected)))
 
 

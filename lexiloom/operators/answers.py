@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Price of a million tokens, in and out, by model; a stated price list may replace it.
-PRICES = {"small": (0.10, 0.40), "large": (1.25, 10.00)}
-
 
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -86,10 +83,10 @@ def _by_position():
     return W.partitionBy("qid").orderBy("position")
 
 
-def with_cost(answers: DataFrame, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def with_cost(answers: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
     """answers (model, tokens_in, tokens_out) with tokens_total and cost_usd, exact decimals; null for an unknown model;
-    missing and negative counts are 0."""
-    table = answers.sparkSession.createDataFrame([(m, f"{i}", f"{o}") for m, (i, o) in (prices or PRICES).items()], "model string, p_in string, p_out string")
+    missing and negative counts are 0. Prices are those of a million tokens, in and out, by model."""
+    table = answers.sparkSession.createDataFrame([(m, f"{i}", f"{o}") for m, (i, o) in prices.items()], "model string, p_in string, p_out string")
     count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("decimal(18,0)")
     price = lambda c: F.col(c).cast("decimal(12,6)")
     cost = ((count("tokens_in") * price("p_in") + count("tokens_out") * price("p_out")) / F.lit(1_000_000).cast("decimal(12,0)")).cast("decimal(38,12)")

@@ -28,14 +28,19 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.groupBy("chunk_id", F.col("w.lexeme").alias("lexeme")).agg(F.sort_array(F.collect_list("w.pos")).alias("positions"))
 
 
-def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, chunk_id, lexical): of each question (qid, question) the chunks that hold all its lexemes, or, where no chunk
-    does, those that hold one; with their cover density. A question of stop words has none."""
-    lexemes = questions.select("qid", F.explode(F.array_distinct(analyze(F.coalesce("question", F.lit("")))["lexeme"])).alias("lexeme"))
+def matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, chunk_id, lists, held, wanted, strict): of questions' distinct lexemes (qid, lexeme) and an index (chunk_id,
+    lexeme, positions) the chunks that hold all of a question's, or, where no chunk does, those that hold one."""
     wanted = lexemes.groupBy("qid").agg(F.count("*").alias("wanted"))
     hits = lexemes.join(index, "lexeme").groupBy("qid", "chunk_id").agg(F.collect_list("positions").alias("lists"), F.count("*").alias("held"))
     hits = hits.join(wanted, "qid").withColumn("strict", F.max((F.col("held") == F.col("wanted")).cast("int")).over(W.partitionBy("qid")) == 1)
-    hits = hits.where(~F.col("strict") | (F.col("held") == F.col("wanted")))
+    return hits.where(~F.col("strict") | (F.col("held") == F.col("wanted")))
+
+
+def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, chunk_id, lexical): the chunks that match each question (qid, question), with their cover density. A question of
+    stop words has none."""
+    hits = matches(questions.select("qid", F.explode(F.array_distinct(analyze(F.coalesce("question", F.lit("")))["lexeme"])).alias("lexeme")), index)
     loose = (0.1 * F.aggregate("lists", F.lit(0), lambda a, p: a + F.size(p))).cast("float")
     return hits.select("qid", "chunk_id", F.when(F.col("strict"), cover_density("lists")).otherwise(loose).alias("lexical"))
 

@@ -56,16 +56,15 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def span_tree(spans: DataFrame) -> DataFrame:
+def span_tree(spans: DataFrame, deepest: int = 1_000) -> DataFrame:
     """Spans (trace_id, span_id, parent_span_id, started, ended) with their depth (roots: 0) and ``offset``: the time that
-    earlier siblings took."""
+    earlier siblings took. A tree deeper than ``deepest`` is an error."""
     siblings = W.partitionBy("trace_id", "parent_span_id").orderBy("started", "span_id").rowsBetween(W.unboundedPreceding, -1)
     timed = spans.withColumn("duration", F.col("ended") - F.col("started")).withColumn("offset", F.coalesce(F.sum("duration").over(siblings), F.lit(0)))
-    spark = spans.sparkSession
-    spans.select("trace_id", "span_id", "parent_span_id").createOrReplaceTempView("_spans")
-    depth = spark.sql(
-        "WITH RECURSIVE tree(trace_id, span_id, depth) AS (SELECT trace_id, span_id, 0 FROM _spans WHERE parent_span_id IS NULL "
-        "UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM tree t JOIN _spans s ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id) SELECT * FROM tree"
+    depth = spans.sparkSession.sql(
+        f"WITH RECURSIVE tree(trace_id, span_id, depth) MAX RECURSION LEVEL {int(deepest)} AS (SELECT trace_id, span_id, 0 FROM {{own}} WHERE parent_span_id IS NULL "
+        "UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM tree t JOIN {own} s ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id) SELECT * FROM tree",
+        own=spans.select("trace_id", "span_id", "parent_span_id"),
     )
     return timed.join(depth, ["trace_id", "span_id"])
 

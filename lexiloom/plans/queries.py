@@ -131,13 +131,26 @@ m AS (SELECT h.*, n, max((held = n)::INT) OVER (PARTITION BY item_id) AS strict
 SELECT item_id, strict, count(*) AS documents, max(held) AS most FROM m WHERE strict = 0 OR held = n GROUP BY item_id, strict""")
 def strict_or_loose_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every benchmark text the documents that hold all its words, or one of them where none holds all."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("w"))
-    n = asked.groupBy("item_id").agg(F.count("*").alias("n"))
-    held = asked.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("held")).join(n, "item_id")
-    strict = F.max((F.col("held") == F.col("n")).cast("int")).over(W.partitionBy("item_id"))
-    return held.withColumn("strict", strict).where("strict = 0 or held = n").groupBy("item_id", "strict").agg(F.count("*").alias("documents"), F.max("held").alias("most"))
+    return _word_matches(spark, sf_dir).groupBy(F.col("qid").alias("item_id"), F.col("strict").cast("int").alias("strict")).agg(F.count("*").alias("documents"), F.max("held").alias("most"))
+
+
+def _word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lexical.matches`` of benchmark and document texts, with plain words as lexemes and without places."""
+    words = lambda t: F.explode(F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))).alias("lexeme")
+    index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), words(F.col("text"))).withColumn("positions", F.array().cast("array<int>"))
+    return lexical.matches(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text"))), index)
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents), q AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), h AS (SELECT item_id, doc_id, count(*) AS held FROM q JOIN d USING (w) GROUP BY ALL),
+m AS (SELECT h.*, n, max((held = n)::INT) OVER (PARTITION BY item_id) AS strict FROM h JOIN n USING (item_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY held DESC) AS l, CASE WHEN held / n >= 0.6 THEN rank() OVER (PARTITION BY item_id ORDER BY held / n DESC) END AS t FROM m WHERE strict = 0 OR held = n),
+s AS (SELECT *, round(0.7::DOUBLE / (60 + l) + coalesce(0.3::DOUBLE / (60 + t), 0), 12) AS score FROM r)
+SELECT item_id, doc_id, l::INT AS lexical_rank, coalesce(t, 0)::INT AS trigram_rank, score, p::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS p FROM s) WHERE p <= 10""")
+def fused_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retriever's fusion of two signals of a match: the words held, and their share of the words asked for; a rank of 0 is none."""
+    signals = _word_matches(spark, sf_dir).select("qid", "chunk_id", F.col("held").cast("double").alias("lexical"), (F.col("held") / F.col("wanted")).alias("trigram"))
+    return lexical.fuse(signals).select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), "lexical_rank", F.coalesce("trigram_rank", F.lit(0)).alias("trigram_rank"), "score", "position")
 
 
 @query("""WITH s AS (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS a, length(text) - length(replace(text, ',', '')) AS b FROM documents),
@@ -174,6 +187,22 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "chunk_id", "kind", "text")
 
 
+_TERMS = ["valve", "licensed", "model", "data", "river", "training"]
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, ordinal::INT AS ordinal, array_to_string(list_filter({_TERMS}, lambda t: regexp_matches(strip_accents(lower(own)), '\\b' || t || '\\b')), ',') AS jargon_terms FROM o")
+def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a vocabulary that each chunk's own text uses."""
+    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents"))
+    return chunks.select("doc_id", "ordinal", F.array_join(X.detect_terms(F.col("own"), _TERMS), ",").alias("jargon_terms"))
+
+
+@query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
+def joined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct languages of each source as one text, in order."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.listagg_distinct("lang", F.lit(",")).alias("langs")).withColumn("langs", F.array_join(F.array_sort(F.split("langs", ",")), ","))
+
+
 @query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
@@ -317,7 +346,7 @@ def answer_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as answers: those of users by a model with a price, the others without one."""
     t = table(spark, sf_dir, "conversations")
     rows = t.select("role", F.when(F.col("role") == "user", "small").otherwise("unpriced").alias("model"), F.length("text").cast("long").alias("tokens_in"), F.col("turn").alias("tokens_out"))
-    return answers.with_cost(rows).groupBy("role").agg(F.sum("tokens_total").alias("tokens_total"), F.round(F.sum("cost_usd"), 9).cast("double").alias("cost_usd"))
+    return answers.with_cost(rows, {"small": (0.10, 0.40)}).groupBy("role").agg(F.sum("tokens_total").alias("tokens_total"), F.round(F.sum("cost_usd"), 9).cast("double").alias("cost_usd"))
 
 
 @query(r"""WITH r AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM conversations),

@@ -97,3 +97,10 @@ def test_common_runs_against_tables():
                 run[i, j] = run[i - 1, j - 1] + 1 if x == y else 0
                 sub[i, j] = sub[i - 1, j - 1] + 1 if x == y else max(sub[i - 1, j], sub[i, j - 1])
         assert (common_run(a, b), common_subsequence(a, b)) == (run.max(), sub[-1, -1])
+
+
+def test_exact_question_and_tolerance_on_words(spark):
+    df = spark.createDataFrame([("  C\u0327a\u00a0STRASSE \u00df ", "x 3"), (None, "y")], "a string, b string")
+    assert [r[0] for r in df.select(X.normalize_question_exact("a")).collect()] == ["\u00e7a strasse ss", None]
+    with pytest.raises(Exception, match="a tolerance needs a number"):
+        df.select(X.value_matches(F.lit("three"), F.col("b"), F.lit(0.5))).collect()

@@ -48,6 +48,20 @@ def test_markdown_chunks(spark):
     assert [r["chunk_id"] for r in got] == [f"d#{i:04d}" for i in range(8)]
 
 
+def test_chunks_keep_signs_and_find_terms(spark):
+    text = "## Wiring in C#\n| a | b |\n|---|:-:|\n| 1 |\n|  |  |\n\n| 2 | 3 | 4 |\n# Other\n| 5 |\n  x\n1. One\n\ttwo\nthree\n\n  2. Own\n"
+    got = chunking.chunk_documents(spark.createDataFrame([("d", text)], "doc_id string, text string"), ["own", "two"]).orderBy("ordinal").collect()
+    assert [(r["kind"], r["text"], r["jargon_terms"]) for r in got] == [
+        ("spec", "Wiring in C# — a: 1", []),
+        ("spec", "Wiring in C# — a: 2; b: 3; 4", []),
+        ("spec", "Other — 5", []),
+        ("prose", "x", []),
+        ("procedure", "Other — step 1: One two", ["two"]),
+        ("prose", "three", []),
+        ("procedure", "Other — step 2: Own", ["own"]),
+    ]
+
+
 def test_dense_ties_and_limits(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, None)]
     v = spark.createDataFrame(rows, "id long, vector array<double>")
@@ -105,6 +119,12 @@ def test_span_tree(spark):
     assert {r["span_id"]: (r["depth"], r["offset"]) for r in records.span_tree(spans).collect()} == {"a": (0, 0), "b": (1, 0), "c": (1, 3), "d": (2, 0)}
 
 
+def test_span_tree_of_a_long_chain(spark):
+    chain = [("t", i, i - 1 if i else None, i, i + 1) for i in range(130)]
+    got = records.span_tree(spark.createDataFrame(chain, "trace_id string, span_id int, parent_span_id int, started long, ended long"))
+    assert sorted((r["span_id"], r["depth"]) for r in got.collect()) == [(i, i) for i in range(130)]
+
+
 @pytest.mark.parametrize(
     "payload, status, support, invalid",
     [
@@ -131,7 +151,7 @@ def test_citations_and_cost(spark):
     df = answers.validate(spark.createDataFrame([(1, payload, ["c1", "c2"])], "answer_id int, payload string, context array<string>"))
     assert df.first()["claims"][0]["citations"][0]["chunk_id"] == "c2"
     assert answers.citation_violations(df).first()[1:] == (0, 0)
-    cost = answers.with_cost(spark.createDataFrame([("small", 1_000_000, -5), ("none", 1, 1)], "model string, tokens_in long, tokens_out long"))
+    cost = answers.with_cost(spark.createDataFrame([("small", 1_000_000, -5), ("none", 1, 1)], "model string, tokens_in long, tokens_out long"), {"small": (0.10, 0.40)})
     got = {r["model"]: (r["tokens_total"], None if r["cost_usd"] is None else float(r["cost_usd"])) for r in cost.collect()}
     assert got == {"small": (1_000_000, 0.1), "none": (2, None)}
 
