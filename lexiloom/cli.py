@@ -70,17 +70,18 @@ def evaluate(args: argparse.Namespace) -> int:
 
     spark = _session()
     artifact, embedder = corpus.Artifact(spark, args.artifact), embedder_for(args.embedder)
-    facts = corpus.load_facts(spark, args.facts).select(F.col("fact_id").alias("qid"), "question", "phrasing", F.col("chunk_ids").alias("relevant"))
+    facts = corpus.load_facts(spark, args.facts).select(F.col("fact_id").alias("qid"), "question", "phrasing", "expected_value", "tolerance", F.col("chunk_ids").alias("relevant"))
     chunks = artifact.table("chunks")
-    lost = facts.select(F.explode("relevant").alias("chunk_id")).join(chunks, "chunk_id", "left_anti").collect()
+    lost = facts.select(F.explode("relevant").alias("chunk_id")).join(chunks, "chunk_id", "left_anti").distinct().collect()
     if lost:
-        print(f"chunks that aren't stored: {', '.join(r['chunk_id'] for r in lost)}", file=sys.stderr)
+        print(f"chunks that aren't stored: {', '.join(sorted(r['chunk_id'] for r in lost))}", file=sys.stderr)
         return 1
     out = []
     for name, retriever in available(chunks, artifact.table("embeddings") if embedder else None, embedder).items():
         ranking = retriever.retrieve(facts.select("qid", "question")).select("qid", "position", F.col("chunk_id").alias("id"))
-        means = evaluation.aggregate(evaluation.per_question(evaluation.ranked_lists(ranking, facts))).first().asDict()
-        out += [{"strategy": name, "metric": m, "value": v} for m, v in sorted(means.items())]
+        items = evaluation.per_question(evaluation.ranked_lists(ranking, facts))
+        found = evaluation.measured(evaluation.with_value_match(items, chunks.select(F.col("chunk_id").alias("id"), "text"))).collect()
+        out += [{"strategy": name, "metric": r["metric"], "value": r["value"]} for r in sorted(found)]
     print(json.dumps(out, indent=2, sort_keys=True))
     return 0
 
@@ -98,7 +99,7 @@ def gate(args: argparse.Namespace) -> int:
 
 
 def query(args: argparse.Namespace) -> int:
-    from lexiloom.plans.queries import QUERIES
+    from lexiloom.plans import QUERIES
 
     QUERIES[args.name](_session(), args.folder).show(args.rows, truncate=False)
     return 0

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries of a block: their vectors are sent to all tasks together.
-BLOCK = 4_096
+#: Queries of a block: their vectors are sent to all tasks together. Vectors whose cosines with a block are held at once.
+BLOCK, ROWS = 4_096, 1_024
 DECIMALS = 5
 
 
@@ -22,6 +22,15 @@ def clamped(k: int, most: int = 50) -> int:
     return min(k, most)
 
 
+def _first(query: np.ndarray, ids: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query by cosine, then id."""
+    order = np.lexsort((ids, -cosines, query))
+    query = query[order]
+    starts = np.searchsorted(query, query)
+    kept = order[np.arange(len(query)) - starts < k]
+    return query[np.arange(len(query)) - starts < k], ids[kept], cosines[kept]
+
+
 def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
     """(qid, id, cosine, rank): for each query (id, vector) the k nearest of vectors (id, vector), exactly.
 
@@ -31,7 +40,7 @@ def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bo
     """
     spark = vectors.sparkSession
     k = clamped(k)
-    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).where("vector is not null").orderBy("id").toLocalIterator(prefetchPartitions=True)
+    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).where("size(vector) > 0").orderBy("id").toLocalIterator(prefetchPartitions=True)
     out: DataFrame | None = None
     block: list = []
 
@@ -41,17 +50,21 @@ def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bo
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             for frame in batches:
-                x = np.array(frame["vector"].tolist(), dtype=np.float64)
-                cosines = np.round(x @ matrix.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), DECIMALS)
-                own = frame["id"].to_numpy()
-                for q in range(len(ids)):
-                    c = cosines[:, q]
-                    may = np.ones(len(c), dtype=bool) if keep_self else own != ids[q]
-                    order = np.lexsort((own[may], -c[may]))[:k]
-                    yield pd.DataFrame({"qid": ids[q], "id": own[may][order], "cosine": c[may][order]})
+                for first in range(0, len(frame), ROWS):
+                    part = frame.iloc[first : first + ROWS]
+                    x = np.array(part["vector"].tolist(), dtype=np.float64)
+                    cosines = np.round(x @ matrix.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), DECIMALS)
+                    own = part["id"].to_numpy(dtype=np.int64)
+                    if not keep_self:
+                        cosines[own[:, None] == ids[None, :]] = -np.inf
+                    least = np.partition(cosines, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -2.0)
+                    row, q = np.nonzero((cosines >= least) & (cosines > -np.inf))
+                    best = _first(*(np.concatenate(pair) for pair in zip(best, (q, own[row], cosines[row, q]), strict=True)), k)
+            yield pd.DataFrame({"qid": ids[best[0]], "id": best[1], "cosine": best[2]})
 
-        near = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null").mapInPandas(run, "qid long, id long, cosine double")
+        near = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("size(vector) > 0").mapInPandas(run, "qid long, id long, cosine double")
         first = W.partitionBy("qid").orderBy(F.desc("cosine"), "id")
         tied = W.partitionBy("qid").orderBy(F.desc("cosine"))
         return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).withColumn("rank", F.rank().over(tied)).drop("_place")

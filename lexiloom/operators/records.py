@@ -52,6 +52,19 @@ def hydrate(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(stored.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def recorded_arm(recorded: DataFrame, stored: DataFrame) -> DataFrame:
+    """A recorded ranking (record_id, position, chunk_id) with the text that is stored now (chunk_id, text): the recorded places
+    stay, nothing is ranked again, and the text of a chunk that is gone is null with ``absent`` true."""
+    now = stored.select("chunk_id", F.col("text").alias("text"), F.lit(False).alias("absent"))
+    return recorded.select("record_id", "position", "chunk_id").join(now, "chunk_id", "left").withColumn("absent", F.coalesce("absent", F.lit(True)))
+
+
+def absent_chunks(arm: DataFrame) -> DataFrame:
+    """(record_id, chunks, absent): how many places a recorded arm has, and the chunks that are gone, in the recorded order."""
+    gone = F.array_sort(F.collect_list(F.when(F.col("absent"), F.struct("position", "chunk_id"))))
+    return arm.groupBy("record_id").agg(F.count("*").alias("chunks"), gone.alias("_gone")).select("record_id", "chunks", F.col("_gone.chunk_id").alias("absent"))
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
 

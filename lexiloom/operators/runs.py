@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexiloom.functions.analysis import ANALYZER_VERSION
 
@@ -88,6 +89,32 @@ def broken_rules(arms: Iterable[dict]) -> list[str]:
     return wrong
 
 
+def rule_violations(arms: DataFrame, verbatim_limit: int = 25) -> DataFrame:
+    """(record_id, strategy, rule) for each rule that an arm of recorded runs breaks.
+
+    Arms are (record_id, strategy, gated, metrics: arrays of names; samples: array of indexes; spread_sizes: array;
+    displayed; chunk_ids: array; worst_verbatim). A record has one arm for each strategy and as many samples in each; gated
+    metrics are measured; samples are numbered from 0, every spread has as many values, the displayed one is there; the
+    chunks of an arm are distinct; no claim repeats more than the limit of a source.
+    """
+    record = W.partitionBy("record_id")
+    n = F.size("samples")
+    seen = arms.withColumn("_same", F.count(F.lit(1)).over(W.partitionBy("record_id", "strategy"))).withColumn("_least", F.min(n).over(record)).withColumn("_most", F.max(n).over(record))
+    numbered = F.transform("samples", lambda _, i: i)
+    rules = {
+        "more than one arm": F.col("_same") > 1,
+        "gated and not measured": F.size(F.array_except("gated", "metrics")) > 0,
+        "samples not numbered from 0": ~(F.col("samples") == numbered),
+        "spread of another size": F.exists("spread_sizes", lambda s: s != n),
+        "no displayed sample": (n > 0) & ~F.coalesce(F.col("displayed").between(0, n - 1), F.lit(False)),
+        "arms of different samples": F.col("_least") != F.col("_most"),
+        "chunk more than once": F.size(F.array_distinct("chunk_ids")) < F.size("chunk_ids"),
+        "source repeated": F.col("worst_verbatim") > verbatim_limit,
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(name)) for name, v in rules.items()]), lambda r: r.isNotNull())
+    return seen.select("record_id", "strategy", F.explode(broken).alias("rule")).distinct()
+
+
 def sample_metrics(draws: DataFrame) -> DataFrame:
     """(strategy, qid, sample, metric, value) of validated draws: counts of claims, unsupported ones and invalid citations,
     tokens, cost and times; null where a draw has none."""

@@ -8,9 +8,10 @@ nature: ``admitted`` solves it by counting, ``cached`` folds keys apart, since e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,18 +39,41 @@ def _folded(frame: pd.DataFrame, tokens: float, updated: float | None, per_minut
     return pd.DataFrame(out, columns=[c.split()[0] for c in BUCKET.split(", ")]).astype({"retry_after": "int32"}), tokens, updated or 0.0
 
 
+def in_order(events: DataFrame, key: str, fold: Callable, schema: str, types: dict[str, pa.DataType]) -> DataFrame:
+    """(event_id, key, at) and what ``fold(state, at)`` gives for each event, a tuple of the new state and the columns of
+    ``types``; the first event of a key has the state None.
+
+    Keys are dealt to tasks, and a task reads its events in order of key, time and event: all it holds is a batch of rows
+    and the state of one key, however many events a key has. A null key is a key like any other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, None, False
+        for batch in batches:
+            out: list[list] = [[] for _ in types]
+            for k, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != now:
+                    now, state, begun = k, None, True
+                state, found = fold(state, at)
+                for column, value in zip(out, found, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(out, types.values(), strict=True))], ["event_id", key, "at", *types])
+
+    rows = events.select(F.col("event_id").cast("long").alias("event_id"), F.col(key).cast("string").alias(key), F.col("at").cast("double").alias("at"))
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, "at", "event_id").mapInArrow(run, schema)
+
+
 def token_bucket(events: DataFrame, per_minute: int = PER_MINUTE) -> DataFrame:
     """events (event_id, client, at seconds) with the bucket's decision for each; 0 a minute admits all."""
     if per_minute <= 0:
         return events.select(F.col("event_id").cast("long").alias("event_id"), F.col("client").cast("string").alias("client"), F.col("at").cast("double").alias("at"), F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"), F.lit(0.0).alias("tokens"))
-    return events.groupBy("client").applyInPandas(_bucket(per_minute), BUCKET)
 
+    def fold(state: tuple[float, float] | None, at: float) -> tuple[tuple[float, float], tuple]:
+        tokens, updated = state or (float(per_minute), at)
+        tokens, ok, wait = step(tokens, updated, at, per_minute)
+        return (tokens, at), (ok, wait, tokens)
 
-def _bucket(per_minute: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _folded(frame, float(per_minute), None, per_minute)[0]
-
-    return run
+    return in_order(events, "client", fold, BUCKET, {"allowed": pa.bool_(), "retry_after": pa.int32(), "tokens": pa.float64()})
 
 
 def token_bucket_stream(events: DataFrame, per_minute: int = PER_MINUTE) -> DataFrame:
@@ -122,15 +146,11 @@ def cached(events: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """events (event_id, key, at) with ``hit``: whether an answer younger than ttl was stored for the key; a miss stores
     one. No capacity limit: for that, ``cached_in_order``."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        stored, out = None, []
-        for r in frame.sort_values(["at", "event_id"], kind="stable").itertuples():
-            hit = stored is not None and r.at - stored < ttl
-            stored = stored if hit else r.at
-            out.append((r.event_id, r.key, r.at, hit))
-        return pd.DataFrame(out, columns=["event_id", "key", "at", "hit"])
+    def fold(stored: float | None, at: float) -> tuple[float, tuple[bool]]:
+        hit = stored is not None and at - stored < ttl
+        return (stored if hit else at), (hit,)
 
-    return events.groupBy("key").applyInPandas(run, "event_id long, key string, at double, hit boolean")
+    return in_order(events, "key", fold, "event_id long, key string, at double, hit boolean", {"hit": pa.bool_()})
 
 
 def cached_in_order(events: DataFrame, capacity: int = 512, ttl: float = TTL_SECONDS, shard: str = "shard") -> DataFrame:
