@@ -1,4 +1,4 @@
-"""Command line: ``python -m lexiloom.cli validate|ingest|evaluate|gate|query``."""
+"""Command line: ``python -m lexiloom.cli validate|ingest|evaluate|gate|promote|embedder|query``."""
 
 from __future__ import annotations
 
@@ -37,6 +37,7 @@ def ingest(args: argparse.Namespace) -> int:
     from lexiloom.functions.embedding import embed, embedder_for
     from lexiloom.operators import chunking
     from lexiloom.operators.lexical import postings
+    from lexiloom.operators.measure import wrong_dimensions
     from lexiloom.sources import corpus
 
     if validate(args):
@@ -51,7 +52,11 @@ def ingest(args: argparse.Namespace) -> int:
         from pyspark.sql import functions as F
 
         tables["embeddings"] = chunks.select("chunk_id", F.lit(embedder.model_key).alias("model_key"), embed(F.col("text"), embedder).alias("embedding"))
-        meta["embedder"] = embedder.fingerprint
+        meta |= {"model_key": embedder.model_key, "embedder": embedder.fingerprint, "dimension": embedder.dimension}
+    wrong = wrong_dimensions(tables["embeddings"], embedder.dimension) if embedder else []
+    if wrong:
+        print("\n".join(wrong), file=sys.stderr)
+        return 1
     broken = [r["rule"] for r in corpus.violations(docs, chunks).collect() if r["n"]]
     if broken:
         print(f"constraints broken: {', '.join(broken)}", file=sys.stderr)
@@ -60,42 +65,76 @@ def ingest(args: argparse.Namespace) -> int:
     return 0
 
 
-def evaluate(args: argparse.Namespace) -> int:
-    from pyspark.sql import functions as F
+def _measured(args: argparse.Namespace):
+    """The session and the record of a run of the arguments' artifact, facts, embedder and corpus."""
+    import datetime as dt
 
     from lexiloom.functions.embedding import embedder_for
-    from lexiloom.operators import evaluation
-    from lexiloom.operators.retrievers import available
+    from lexiloom.operators import measure
     from lexiloom.sources import corpus
 
     spark = _session()
-    artifact, embedder = corpus.Artifact(spark, args.artifact), embedder_for(args.embedder)
-    facts = corpus.load_facts(spark, args.facts).select(F.col("fact_id").alias("qid"), "question", "phrasing", "expected_value", "tolerance", F.col("chunk_ids").alias("relevant"))
-    chunks = artifact.table("chunks")
-    lost = facts.select(F.explode("relevant").alias("chunk_id")).join(chunks, "chunk_id", "left_anti").distinct().collect()
-    if lost:
-        print(f"chunks that aren't stored: {', '.join(sorted(r['chunk_id'] for r in lost))}", file=sys.stderr)
+    expected = corpus.corpus_hash(_manifest(spark, args.corpus)[0]) if args.corpus else None
+    return spark, measure.measured_run(spark, corpus.Artifact(spark, args.artifact), args.facts, embedder_for(args.embedder), dt.datetime.now(dt.UTC), expected)
+
+
+def evaluate(args: argparse.Namespace) -> int:
+    from lexiloom.operators import runs
+    from lexiloom.sources.corpus import CorpusError
+
+    try:
+        spark, record = _measured(args)
+    except CorpusError as wrong:
+        print(wrong, file=sys.stderr)
         return 1
-    out = []
-    for name, retriever in available(chunks, artifact.table("embeddings") if embedder else None, embedder).items():
-        ranking = retriever.retrieve(facts.select("qid", "question")).select("qid", "position", F.col("chunk_id").alias("id"))
-        items = evaluation.per_question(evaluation.ranked_lists(ranking, facts))
-        found = evaluation.measured(evaluation.with_value_match(items, chunks.select(F.col("chunk_id").alias("id"), "text"))).collect()
-        out += [{"strategy": name, "metric": r["metric"], "value": r["value"]} for r in sorted(found)]
-    print(json.dumps(out, indent=2, sort_keys=True))
+    if args.runs:
+        runs.write_record(spark, args.runs, record["run_id"], record)
+    print(json.dumps({"run_id": record["run_id"], "arms": {a["configuration"]["strategy"]: a["metrics"] for a in record["arms"]}}, indent=2, sort_keys=True))
     return 0
 
 
 def gate(args: argparse.Namespace) -> int:
-    from lexiloom.operators import evaluation
+    from lexiloom.operators import measure
+    from lexiloom.sources.corpus import CorpusError
+
+    try:
+        spark, record = _measured(args)
+        failures, notes = measure.gate_problems(spark, record, args.runs, args.baselines)
+    except (CorpusError, LookupError, ValueError) as wrong:
+        failures, notes = [str(wrong)], []
+    print("\n".join([*(f"note: {n}" for n in notes), f"gate: {'failed' if failures else 'pass'}"]))
+    for f in failures:
+        print(f, file=sys.stderr)
+    return int(bool(failures))
+
+
+def promote(args: argparse.Namespace) -> int:
+    import datetime as dt
+
+    from lexiloom.operators import measure, runs
+    from lexiloom.sources.corpus import Artifact
 
     spark = _session()
-    read = lambda path, schema: spark.read.schema(schema).option("multiLine", True).json(path)
-    verdicts = evaluation.gate(read(args.baseline, "strategy string, metric string, value double, gated boolean"), read(args.run, "strategy string, metric string, value double"), args.tolerance).collect()
-    bad = [v.asDict() for v in verdicts if v["verdict"] in ("failed", "missing")]
-    for v in bad:
-        print(f"{v['strategy']} {v['metric']}: {v['verdict']}, {v['measured']} against {v['promoted']}", file=sys.stderr)
-    return int(bool(bad))
+    record = runs.read_record(spark, args.runs, args.run_id, measure.RUN_FIELDS)
+    held = Artifact(spark, args.baselines).has("")
+    previous = runs.read_record(spark, args.baselines, fields=measure.BASELINE_FIELDS) if held else None
+    baseline = measure.promoted(record, previous, args.tolerance)
+    runs.write_record(spark, args.baselines, runs.compact(dt.datetime.now(dt.UTC)), baseline)
+    print(json.dumps({a["configuration"]["strategy"]: a["gated_metrics"] for a in baseline["arms"]}, sort_keys=True))
+    return 0
+
+
+def embedder(args: argparse.Namespace) -> int:
+    from lexiloom.functions.embedding import embedder_for
+    from lexiloom.sources.corpus import Artifact
+
+    own = embedder_for(args.name)
+    out = {"model_key": own.model_key, "dimension": own.dimension, "fingerprint": own.fingerprint} if own else {}
+    if args.artifact:
+        meta = Artifact(_session(), args.artifact).current()[1]
+        out["stored"] = {k: meta.get(k) for k in ("model_key", "dimension", "embedder")}
+    print(json.dumps(out, indent=2, sort_keys=True))
+    return 0
 
 
 def query(args: argparse.Namespace) -> int:
@@ -119,8 +158,11 @@ def parser() -> argparse.ArgumentParser:
 
     command(validate, "corpus")
     command(ingest, "corpus", "artifact", embedder={"default": "none"})
-    command(evaluate, "artifact", "facts", embedder={"default": "none"})
-    command(gate, "baseline", "run", tolerance={"type": float, "default": 0.014})
+    measured = {"embedder": {"default": "none"}, "corpus": {"default": None}}
+    command(evaluate, "artifact", "facts", runs={"default": None}, **measured)
+    command(gate, "artifact", "facts", "runs", "baselines", **measured)
+    command(promote, "run_id", "runs", "baselines", tolerance={"type": float, "default": 0.014})
+    command(embedder, "name", artifact={"default": None})
     command(query, "name", "folder", rows={"type": int, "default": 20})
     return top
 

@@ -50,8 +50,9 @@ def write_record(spark: SparkSession, folder: str, run_id: str, record: dict[str
     spark.createDataFrame([(run_id, canonical({"record_version": RECORD_VERSION, **record}))], "run_id string, record string").coalesce(1).write.mode("append").parquet(folder)
 
 
-def read_record(spark: SparkSession, folder: str, run_id: str | None = None) -> dict[str, object]:
-    """The record of that id, or the latest. A record of another version is an error."""
+def read_record(spark: SparkSession, folder: str, run_id: str | None = None, fields: frozenset[str] | None = None) -> dict[str, object]:
+    """The record of that id, or the latest. A record of another version is an error, and so is one of other fields than those
+    that are asked for."""
     rows = spark.read.parquet(folder)
     row = (rows.where(F.col("run_id") == run_id) if run_id else rows.orderBy(F.desc("run_id"))).first()
     if row is None:
@@ -59,6 +60,8 @@ def read_record(spark: SparkSession, folder: str, run_id: str | None = None) ->
     found = json.loads(row["record"])
     if found.get("record_version") != RECORD_VERSION:
         raise ValueError(f"record {row['run_id']} is of version {found.get('record_version')}")
+    if fields is not None and set(found) != fields:
+        raise ValueError(f"record {row['run_id']}: fields that are missing or not known: {', '.join(sorted(set(found) ^ fields))}")
     return found
 
 

@@ -58,9 +58,23 @@ def manifest_table(spark: SparkSession, manifest: dict) -> DataFrame:
     return spark.createDataFrame([tuple(d[n] for n in names) for d in manifest["documents"]], DOCUMENT)
 
 
+def _folder(spark: SparkSession, folder: str) -> tuple[object, object]:
+    """A folder's qualified path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path), system
+
+
+def _files(spark: SparkSession, sources: str) -> DataFrame:
+    """(_file, content) of all files below a folder, by their path from there."""
+    start = len(_folder(spark, sources)[0].toString()) + 2
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sources).select(F.substr("path", F.lit(start)).alias("_file"), "content")
+
+
 def verify_digests(documents: DataFrame, sources: str) -> DataFrame:
-    """(doc_id, filename, problem) of every document whose file is missing or of another sha256; none if all is well."""
-    files = documents.sparkSession.read.format("binaryFile").load(sources).select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.sha2("content", 256).alias("_digest"))
+    """(doc_id, filename, problem) of every document whose file is missing or of another sha256; none if all is well. File
+    names are paths from the folder of sources."""
+    files = _files(documents.sparkSession, sources).select("_file", F.sha2("content", 256).alias("_digest"))
     joined = documents.join(files, F.col("filename") == F.col("_file"), "left")
     problem = F.when(F.col("_digest").isNull(), "missing").when(F.col("_digest") != F.col("sha256"), "mismatch")
     return joined.select("doc_id", "filename", problem.alias("problem")).where("problem is not null")
@@ -68,7 +82,7 @@ def verify_digests(documents: DataFrame, sources: str) -> DataFrame:
 
 def source_texts(documents: DataFrame, sources: str) -> DataFrame:
     """documents with the text of their files."""
-    files = documents.sparkSession.read.text(sources, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), F.col("value").alias("text"))
+    files = _files(documents.sparkSession, sources).select("_file", F.col("content").cast("string").alias("text"))
     return documents.join(files, F.col("filename") == F.col("_file")).drop("_file")
 
 
@@ -144,6 +158,22 @@ class Artifact:
         pointer.withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/CURRENT")
         return name
 
+    def has(self, name: str) -> bool:
+        """Whether the folder, or something of that name in it, is there."""
+        path, system = _folder(self.spark, f"{self.folder}/{name}")
+        return system.exists(path)
+
+    def verified(self, expected: dict[str, object]) -> dict[str, str]:
+        """The current build's meta if it holds what is expected, value by value; else an error that names all that differ. What
+        is expected to be null is not looked at."""
+        if not self.has("CURRENT"):
+            raise CorpusError(f"nothing was ever built in {self.folder}")
+        meta = self.current()[1]
+        wrong = [f"{k}: built with {meta.get(k)}, expected {v}" for k, v in expected.items() if v is not None and meta.get(k) != v]
+        if wrong:
+            raise CorpusError("\n".join(wrong))
+        return meta
+
     def current(self) -> tuple[str, dict[str, str]]:
         row = self.spark.read.parquet(f"{self.folder}/CURRENT").orderBy(F.desc("built_at"), F.desc("build")).first()
         return row["build"], json.loads(row["meta"])
