@@ -30,9 +30,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, chunk_id, lists, held, wanted, strict): of questions' distinct lexemes (qid, lexeme) and an index (chunk_id,
-    lexeme, positions) the chunks that hold all of a question's, or, where no chunk does, those that hold one."""
+    lexeme, positions) the chunks that hold all of a question's, or, where no chunk does, those that hold one. An index without
+    positions gives no lists: then lexemes are only counted, before anything is shuffled."""
     wanted = lexemes.groupBy("qid").agg(F.count("*").alias("wanted"))
-    hits = lexemes.join(index, "lexeme").groupBy("qid", "chunk_id").agg(F.collect_list("positions").alias("lists"), F.count("*").alias("held"))
+    lists = [F.collect_list("positions").alias("lists")] if "positions" in index.columns else []
+    hits = lexemes.join(index, "lexeme").groupBy("qid", "chunk_id").agg(*lists, F.count("*").alias("held"))
     hits = hits.join(wanted, "qid").withColumn("strict", F.max((F.col("held") == F.col("wanted")).cast("int")).over(W.partitionBy("qid")) == 1)
     return hits.where(~F.col("strict") | (F.col("held") == F.col("wanted")))
 

@@ -116,9 +116,9 @@ def strict_or_loose_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lexical.matches`` of benchmark and document texts, with plain words as lexemes and without places."""
+    """``lexical.matches`` of benchmark and document texts, with plain words as lexemes and without positions."""
     words = lambda t: F.explode(F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))).alias("lexeme")
-    index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), words(F.col("text"))).withColumn("positions", F.array().cast("array<int>"))
+    index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), words(F.col("text")))
     return lexical.matches(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text"))), index)
 
 
