@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import jaccard, licences, secrets, sharding
+from lexiloom.llm import decontamination, jaccard, licences, ranking, secrets, sharding, words
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -95,3 +95,41 @@ d AS (SELECT doc_id, count(*) AS n_licences, list_sort(list_distinct(list(family
   arg_max({{'f': family, 'p': probability, 's': similarity}}, [round(probability, 12), similarity]) AS best FROM g GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN length(text) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END::BIGINT AS n_paragraphs, coalesce(n_licences, 0) AS n_licences, coalesce(array_to_string(families, ','), '') AS families, coalesce(found, '') AS found,
 coalesce(best.f, '{licences.UNKNOWN}') AS family, coalesce(round(best.p, 6), 0) AS probability, coalesce(round(best.s, 6), 0) AS similarity FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+def negatives_sql() -> str:
+    return """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS anchor_label, b.r AS b, b.vec_id AS id, b.label AS label, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT a, anchor_id, anchor_label, b AS p, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS n FROM s WHERE label = anchor_label) WHERE n <= 5),
+m AS (SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON s.a = p.a AND s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 10"""
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{words._UPPER}', '{words._LOWER}'), {_quoted(words.PATTERN)})"
+
+
+def decontamination_sql() -> str:
+    w = decontamination.WINDOW
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents), i AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= {w} THEN list_transform(range(1, len(w) - {w - 2}), lambda k: array_to_string(w[k:k + {w - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS win FROM i),
+n AS (SELECT DISTINCT len(string_split(win, ' ')) AS n FROM v),
+p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS win FROM d, n WHERE len(w) >= n),
+o AS (SELECT r, n, pos, item_id FROM p JOIN v USING (win)),
+h AS (SELECT r, count(DISTINCT pos + k) AS n_hit FROM (SELECT r, pos, unnest(range(0, n)) AS k FROM o) GROUP BY r),
+g AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM o GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
+
+
+def search_sql() -> str:
+    share, scale = ranking.SHARE, ranking.SCALE
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents), n AS (SELECT * FROM d WHERE len(w) > 0), g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM n),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM n) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (SELECT row_number() OVER () AS i, item_id, {_words_sql('text')} AS w FROM benchmark), q AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM i) GROUP BY ALL),
+x AS (SELECT q.i, q.term, times * floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM q JOIN f USING (term), g),
+m AS (SELECT r, doc_id, {100 - share} + (({share} * len(w) * g.n) // g.l) AS m FROM n, g),
+s AS (SELECT x.i, m.doc_id, sum(x.w * (({scale} * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM x JOIN t USING (term) JOIN m USING (r) GROUP BY x.i, m.r, m.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o JOIN i USING (i) WHERE rank <= {ranking.FIRST}"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import fingerprints, jaccard, language, licences, mixing, oracles, packing, planes, secrets, sharding, telephony
+from lexiloom.llm import decontamination, fingerprints, jaccard, language, licences, mixing, negatives, oracles, packing, planes, ranking, secrets, sharding, telephony
 
 QUERIES = {
     "op1_telephony": telephony.op1_telephony,
@@ -15,6 +15,9 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_mixing": mixing.op9_mix,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_decontamination": decontamination.op12_decontaminate,
+    "op13_search": ranking.op13_search,
 }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": oracles.sharding_sql(),
         "op6_licences": oracles.licences_sql(),
         "op8_jaccard": oracles.jaccard_sql(),
+        "op11_negatives": oracles.negatives_sql(),
+        "op12_decontamination": oracles.decontamination_sql(),
+        "op13_search": oracles.search_sql(),
     }
