@@ -110,13 +110,15 @@ class _Join:
         self.docs, self.rule = docs, rule
         counted = F.size(F.filter("_set", lambda x: x < F.lit(rule.bound)))
         prefix = F.col("n") - _needed(F.col("n"), rule) + 1
-        keyed = with_set(docs, rule.words).select("doc_id", "_set", *_keys()).withColumn("_counted", counted)
+        keyed = with_set(docs, rule.words).select("doc_id", F.xxhash64("text").alias("t"), "_set", *_keys()).withColumn("_counted", counted)
         linkable = F.when(F.col("n") >= rule.least, F.slice("_set", F.lit(1), F.greatest(F.col("_counted"), prefix.cast("int"))))
-        first = staged(keyed.select("doc_id", *_KEY, "_counted", linkable.alias("sketch")), "sketches")
+        first = staged(keyed.select("doc_id", "t", *_KEY, "_counted", linkable.alias("sketch")), "sketches")
         self.members = staged(first.select("doc_id", *_KEY), "members")
         # a class for each set; copies are merged before they are shuffled
-        merged = first.where("n > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("low"), F.first("_counted").alias("counted"), F.first("sketch").alias("sketch"))
-        self.classes = staged(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
+        # the class's text is known by its least doc_id and its hash: doc_ids may be null or repeat with other texts
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+        merged = first.where("n > 0").groupBy(*_KEY).agg(least.alias("least"), F.first("_counted").alias("counted"), F.first("sketch").alias("sketch"))
+        self.classes = staged(merged.select(*_KEY, F.col("least.doc_id").alias("low"), F.col("least.t").alias("t"), "counted", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
         forget(first)
 
     def postings(self) -> DataFrame:
@@ -132,7 +134,7 @@ class _Join:
         alone = F.size("sketch") - F.size("shared")  # tokens of one class only come first, and lead nowhere
         taken = F.when(F.col("counted") <= prefix, F.size("shared")).otherwise(F.greatest(F.lit(0), prefix - alone)).cast("int")
         found = self.classes.join(lists, F.col("node") == F.col("_node")).withColumn("tokens", F.slice("shared", F.lit(1), taken)["token"])
-        return staged(found.where(F.size("tokens") > 0).select("node", "low", *_KEY, F.slice("sketch", F.lit(1), F.col("counted")).alias("part"), "tokens"), "prefixes")
+        return staged(found.where(F.size("tokens") > 0).select("node", "low", "t", *_KEY, F.slice("sketch", F.lit(1), F.col("counted")).alias("part"), "tokens"), "prefixes")
 
     def linked(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), each once, that are linked."""
@@ -159,10 +161,10 @@ class _Join:
     def whole_sets(self, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, _set) of these nodes, from the text of their first documents; repeats among the nodes don't matter."""
         wanted = nodes.select(F.col("node").alias("_node")).distinct()
-        named = staged(prefixes.join(wanted, F.col("node") == F.col("_node"), "left_semi").select("node", "low", F.col("n").alias("_n"), F.col("h").alias("_h")), "wanted")
+        named = staged(prefixes.join(wanted, F.col("node") == F.col("_node"), "left_semi").select("node", "low", "t", F.col("n").alias("_n"), F.col("h").alias("_h")), "wanted")
         few = F.broadcast(named) if named.count() <= SENT_ROWS else named
         # stored before it is filtered: a filter on the key would be pushed into the making of the sets
-        made = staged(with_set(self.docs.join(few, F.col("doc_id").eqNullSafe(F.col("low"))), self.rule.words).select("node", "_set", *_keys()[:2], "_n", "_h"), "sets")
+        made = staged(with_set(self.docs.join(few, F.col("doc_id").eqNullSafe(F.col("low")) & (F.xxhash64("text") == F.col("t"))), self.rule.words).select("node", "_set", *_keys()[:2], "_n", "_h"), "sets")
         out = made.where((F.col("n") == F.col("_n")) & (F.col("h") == F.col("_h"))).select("node", "_set")
         # rows that repeat give a class's set more than once
         found = out.agg(F.count("*"), F.count_distinct("node")).first()

@@ -44,18 +44,56 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+VECTORS, ITEMS = "vec_id long, embedding array<float>, label int, part string", "item_id long, text string, score long"
+
+
+@pytest.fixture(scope="session")
+def vectors():
+    """Nulls in every column and in components, components that aren't finite, ties, repeated rows, lengths that differ."""
+    r = random.Random(1)
+    some = [(i, [r.uniform(-1, 1) for _ in range(6)], r.randint(0, 3), "p") for i in range(320)]
+    same = [(400 + i, [0.5] * 6, i % 3, None) for i in range(40)]
+    odd = [(500, None, 1, "x"), (600, [0.5] * 6, None, "x"), (None, [0.75] * 6, 2, "x"), (None, [0.75] * 6, 2, "x"), (700, [0.5, None, 0.5], 1, "x"), (800, [float("nan")] * 6, 1, "x"), (900, [float("inf")] * 6, 1, "x"), (1000, [], 1, "x"), (1100, [0.9, 0.9], 9, "x"), (200, [0.25] * 6, 3, "x"), (200, [0.25] * 6, 3, "x")]
+    return some + same + odd
+
+
+@pytest.fixture(scope="session")
+def items(rows):
+    """Passages of documents, whole and cut, short items, nulls, items that repeat, and none that occurs."""
+    words = rows[9][1].split()
+    return [
+        (1, " ".join(words[5:30]), 1),
+        (2, " ".join(words[20:34]), 1),
+        (3, "\u00dcn\u00efc\u00f6d\u00e9 TAB", None),
+        (4, words[3].upper(), 1),
+        (5, None, 1),
+        (6, "", 1),
+        (7, "--- !!", 1),
+        (8, "nothing like this stands anywhere in all of the documents at hand", 1),
+        (None, " ".join(words[40:52]), 1),
+        (1, " ".join(rows[12][1].split()[0:11]), 1),
+        (9, " ".join([words[7]] * 3 + words[7:9]), 1),
+        (10, "ka ka ka ka ka ka ka ka ka ka ka", 1),
+        (2, " ".join(words[20:34]), 1),
+    ]
+
+
 @pytest.fixture(scope="session")
-def folder(tmp_path_factory, docs):
-    """A data folder whose documents table is the fixture."""
+def folder(spark, tmp_path_factory, docs, vectors, items):
+    """A data folder whose tables are the fixtures."""
     path = str(tmp_path_factory.mktemp("data"))
     docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(vectors, VECTORS).coalesce(2).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(items, ITEMS).coalesce(2).write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
 @pytest.fixture(scope="session")
-def empty_folder(tmp_path_factory, empty):
+def empty_folder(spark, tmp_path_factory, empty):
     path = str(tmp_path_factory.mktemp("none"))
     empty.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([], ITEMS).write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
