@@ -12,6 +12,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,29 +134,30 @@ def analyze(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"lexeme": w, "pos": p} for w, p in analyzed(t)] if t else [] for t in texts])
 
 
-@F.pandas_udf(T.FloatType())
-def cover_density(positions: pd.Series) -> pd.Series:
+def cover_density(positions: Column) -> Column:
     """Density of the covers of all lexemes: positions is, for each lexeme of the query, the array of its positions.
 
     A cover is a shortest run of positions with every lexeme; it adds a tenth, divided by one more than the number of
-    positions in it that are not the query's. Of one lexeme every occurrence is a cover.
+    positions in it that are not the query's. Of one lexeme every occurrence is a cover. No lexeme, or one without a
+    position, has none. One sweep over the merged positions keeps each lexeme's last occurrence: when all have one, the
+    earliest of them starts a cover, and is forgotten.
     """
+    marked = F.transform(positions, lambda places, k: F.transform(places, lambda p: F.struct(p.cast("int").alias("p"), k.alias("k"))))
+    none = F.lit(None).cast("struct<i:int,p:int>")
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(none, F.size(positions)).alias("last"), F.lit(0.0).alias("total"))
 
-    def one(lists) -> float:
-        groups = [list(x) for x in lists] if lists is not None else []
-        if not groups or any(not g for g in groups):
-            return 0.0
-        places = sorted((p, k) for k, g in enumerate(groups) for p in g)
-        total, last = 0.0, {}
-        for i, (p, k) in enumerate(places):
-            last[k] = i
-            if len(last) == len(groups):
-                first = min(last.values())
-                del last[places[first][1]]
-                for j in range(first + 1, i + 1):  # what stands behind the cover's start stays in view
-                    last[places[j][1]] = j
-                inside = i - first + 1
-                total += 0.1 / (1 + max(0, p - places[first][0] + 1 - inside))
-        return total
-
-    return pd.Series([one(x) for x in positions], dtype="float32")
+    def step(acc: Column, x: Column) -> Column:
+        here = F.transform(acc["last"], lambda old, k: F.when(k == x["k"], F.struct(acc["i"].alias("i"), x["p"].alias("p"))).otherwise(old))
+
+        def closed(last: Column) -> Column:
+            first = F.when(F.forall(last, lambda o: o.isNotNull()), F.array_min(last))
+            strangers = x["p"] - first["p"] - (acc["i"] - first["i"])
+            left = F.transform(last, lambda o: F.when(o["i"] == first["i"], none).otherwise(o))
+            adds = F.when(first.isNotNull(), 0.1 / (1 + F.greatest(strangers, F.lit(0)))).otherwise(0.0)
+            return F.struct((acc["i"] + 1).alias("i"), F.when(first.isNull(), last).otherwise(left).alias("last"), (acc["total"] + adds).alias("total"))
+
+        return F.get(F.transform(F.array(here), closed), F.lit(0))
+
+    swept = F.aggregate(F.array_sort(F.flatten(marked)), start, step, lambda acc: acc["total"])
+    known = (F.size(positions) > 0) & F.forall(positions, lambda p: F.size(p) > 0)
+    return F.when(known, swept).otherwise(0.0).cast("float")

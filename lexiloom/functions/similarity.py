@@ -1,16 +1,28 @@
-"""Similarities that need a walk over a sequence, as Arrow functions: trigram extents and common token runs."""
+"""Similarities of texts: trigrams as arrays in the JVM, and what needs a walk over a sequence as Arrow functions: trigram extents
+and common token runs."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _RUN = re.compile(r"[^\W_]+")
+#: The same in a regular expression of the JVM.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def trigram_array(text: Column) -> Column:
+    """What ``trigrams`` gives, in order and with repeats; null has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
 
 
 def trigrams(text: str) -> list[str]:
@@ -95,6 +107,28 @@ def word_similarity_of(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if q is None or t is None else word_similarity(q, t) for q, t in zip(query, text, strict=True)], dtype="float32")
 
 
+def word_similarity_at(floor: float) -> Callable[..., Column]:
+    """The same with a floor: 0 where it isn't reached, which is told far sooner. The trigrams of a text that comes again are
+    those of before."""
+
+    def run(query: pd.Series, text: pd.Series) -> pd.Series:
+        of_query: dict[str, frozenset[str]] = {}
+        out, last, found, held = [], None, [], frozenset()
+        for q, t in zip(query, text, strict=True):
+            if q is None or t is None:
+                out.append(None)
+                continue
+            if t != last:
+                last, found = t, trigrams(t)
+                held = frozenset(found)
+            if q not in of_query:
+                of_query[q] = frozenset(trigrams(q))
+            out.append(extent_similarity(of_query[q], found, held, floor))
+        return pd.Series(out, dtype="float32")
+
+    return F.pandas_udf(run, T.FloatType())
+
+
 def common_run(left: list[str], right: list[str]) -> int:
     """Length of the longest run of tokens that both hold: one row of the table for each token of the shorter one."""
     short, long_ = sorted((left, right), key=len)

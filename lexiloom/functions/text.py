@@ -58,8 +58,9 @@ def numbers(text: Column) -> Column:
 
 def value_matches(expected: Column, text: Column, tolerance: Column) -> Column:
     """Whether the text holds the expected value: with a tolerance, a number within it; without, the folded string. A
-    tolerance on what is no number is an error."""
-    wanted = F.try_to_number(F.replace(F.trim(expected), F.lit(","), F.lit(".")), F.lit("999999999999.999999")).cast("double")
+    tolerance on what is no number as a whole (digits, and digits after a point or comma) is an error."""
+    digits = F.regexp_extract(expected, rf"^\s*({_NUMBER})\s*$", 1)
+    wanted = F.when(digits != "", F.replace(digits, F.lit(","), F.lit(".")).cast("double"))
     near = F.when(wanted.isNull() & expected.isNotNull(), F.raise_error(F.concat(F.lit("a tolerance needs a number, not "), expected)).cast("boolean")).otherwise(F.exists(numbers(text), lambda n: F.abs(n - wanted) <= tolerance))
     return F.when(tolerance.isNotNull(), F.coalesce(near, F.lit(False))).otherwise(F.contains(fold(text), fold(expected)))
 

@@ -1,17 +1,24 @@
-"""Exact dense ranking: rounded cosine, rank with ties, the first k of each query."""
+"""Exact dense ranking over cells: rounded cosine, rank with ties, the first k of each query.
+
+Vectors lie in the cell of their nearest centre, and a cell knows the greatest angle between its centre and one of its
+vectors. By the triangle inequality no vector of a cell is nearer to a query than the query's angle to the centre less that
+radius. A query first meets its nearest cell alone, which gives its k-th cosine at least; then the cells whose bound reaches
+that. Queries and cells are joined, in blocks and slices of bounded sizes; the driver holds centres and radii, CELLS of
+them at most.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries of a block: their vectors are sent to all tasks together. Vectors whose cosines with a block are held at once.
-BLOCK, ROWS = 4_096, 1_024
+#: Queries that meet a slice of a cell together, vectors of a slice, vectors that a cell has on the average, cells at most.
+BLOCK, SLICE, CELL, CELLS = 4_096, 8_192, 2_048, 1_024
 DECIMALS = 5
 
 
@@ -22,59 +29,117 @@ def clamped(k: int, most: int = 50) -> int:
     return min(k, most)
 
 
-def _first(query: np.ndarray, ids: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of each query by cosine, then id."""
-    order = np.lexsort((ids, -cosines, query))
-    query = query[order]
-    starts = np.searchsorted(query, query)
-    kept = order[np.arange(len(query)) - starts < k]
-    return query[np.arange(len(query)) - starts < k], ids[kept], cosines[kept]
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as rows of length 1."""
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
-    """(qid, id, cosine, rank): for each query (id, vector) the k nearest of vectors (id, vector), exactly.
-
-    Cosines are rounded to DECIMALS, then ranked with ties; of equal ones the lower id comes first. Queries are taken
-    in blocks of BLOCK, and every task keeps k candidates for each of them before anything is shuffled. A query's own
-    id is passed over unless ``keep_self``. Vectors of length 0 or null are passed over.
-    """
-    spark = vectors.sparkSession
-    k = clamped(k)
-    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).where("size(vector) > 0").orderBy("id").toLocalIterator(prefetchPartitions=True)
-    out: DataFrame | None = None
-    block: list = []
-
-    def ranked(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block], dtype=np.int64)
-        matrix = np.array([r[1] for r in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            for frame in batches:
-                for first in range(0, len(frame), ROWS):
-                    part = frame.iloc[first : first + ROWS]
-                    x = np.array(part["vector"].tolist(), dtype=np.float64)
-                    cosines = np.round(x @ matrix.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), DECIMALS)
-                    own = part["id"].to_numpy(dtype=np.int64)
-                    if not keep_self:
-                        cosines[own[:, None] == ids[None, :]] = -np.inf
-                    least = np.partition(cosines, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -2.0)
-                    row, q = np.nonzero((cosines >= least) & (cosines > -np.inf))
-                    best = _first(*(np.concatenate(pair) for pair in zip(best, (q, own[row], cosines[row, q]), strict=True)), k)
-            yield pd.DataFrame({"qid": ids[best[0]], "id": best[1], "cosine": best[2]})
-
-        near = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("size(vector) > 0").mapInPandas(run, "qid long, id long, cosine double")
-        first = W.partitionBy("qid").orderBy(F.desc("cosine"), "id")
-        tied = W.partitionBy("qid").orderBy(F.desc("cosine"))
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
+
+
+def _searching(k: int, keep_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The first k rows of a slice (id, vector) for each query (qid, vector), by rounded cosine and then id."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(rows) or not len(asked):
+            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        rows = rows.sort_by("id")
+        ids, qids = rows["id"].to_numpy(), asked["qid"].to_numpy()
+        cosines = np.round(_unit(asked["vector"]) @ _unit(rows["vector"]).T, DECIMALS)
+        if not keep_self:
+            cosines[qids[:, None] == ids[None, :]] = -np.inf
+        if len(ids) > k:  # what ties with the k-th stays, until ids are compared
+            cosines[cosines < np.partition(cosines, len(ids) - k, axis=1)[:, len(ids) - k][:, None]] = -np.inf
+        q, row = np.nonzero(cosines > -np.inf)
+        order = np.lexsort((row, -cosines[q, row], q))
+        q, row = q[order], row[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, row = q[kept], row[kept]
+        return pa.table({"qid": qids[q], "id": ids[row], "cosine": cosines[q, row]})
+
+    return run
+
+
+class VectorIndex:
+    """Cells over vectors (id, vector); those of length 0 or null are passed over."""
+
+    def __init__(self, vectors: DataFrame, cells: int | None = None) -> None:
+        """Centres are the vectors of the least hashes of their ids, as many as ``cells`` (one for each CELL vectors, CELLS at most):
+        which they are changes how many cells a query meets, and no result."""
+        rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("size(vector) > 0")
+        n = rows.count()
+        wanted = min(CELLS, cells or max(1, n // CELL))
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
+        self.centres = _unit(some["vector"]) if len(some) else np.zeros((1, 1))
+        centres = self.centres
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                angles = _angles(_unit(batch.column("vector")), centres) if len(batch) else np.zeros((0, 1))
+                own = angles.argmin(axis=1) if len(batch) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], ["id", "vector", "cell", "angle"])
+
+        placed = rows.mapInArrow(dealt, "id long, vector array<double>, cell int, angle double")
+        found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+        self.radii, self.slices = np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64)
+        for r in found:
+            self.radii[r["cell"]], self.slices[r["cell"]] = r["radius"], -(-r["n"] // SLICE)
+        slices = F.get(F.array(*[F.lit(int(s)) for s in np.maximum(1, self.slices)]), F.col("cell"))
+        self.rows = placed.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), slices).alias("slice"))
+
+    def _visits(self, asked: DataFrame, blocks: int, nearest: int | None) -> DataFrame:
+        """(qid, vector, cell, slice, block) of the cells that a query (qid, vector, kth, block) meets: the ``nearest``, or all whose
+        bound reaches kth."""
+        centres, radii, slices = self.centres, self.radii, self.slices
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                angles = _angles(_unit(batch.column("vector")), centres)
+                if nearest is None:
+                    bound = np.cos(np.clip(angles - radii[None, :], 0.0, np.pi))
+                    met = np.round(bound + 1e-9, DECIMALS) >= batch.column("kth").to_numpy()[:, None]
+                else:
+                    near = np.argsort(np.where(slices > 0, angles, np.inf), axis=1, kind="stable")[:, :nearest]
+                    met = np.zeros(angles.shape, dtype=bool)
+                    np.put_along_axis(met, near, True, axis=1)
+                q, cell = np.nonzero(met & (slices > 0))
+                times = slices[cell]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                q, cell = np.repeat(q, times), np.repeat(cell, times)
+                kept = batch.select(["qid", "vector", "block"]).take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32)), pa.array(part)], ["qid", "vector", "block", "cell", "slice"])
+
+        return asked.mapInArrow(run, "qid long, vector array<double>, block int, cell int, slice long")
+
+    def search(self, queries: DataFrame, k: int = 10, keep_self: bool = False, probes: int | None = None) -> DataFrame:
+        """(qid, id, cosine, rank): for each query (id, vector) the k nearest, exactly; or, with ``probes``, those that its so
+        many nearest cells hold, which may miss some.
+
+        Cosines are rounded to DECIMALS, then ranked with ties; of equal ones the lower id comes first. A query's own
+        id is passed over unless ``keep_self``. Queries of length 0 or null are passed over.
+        """
+        k = clamped(k)
+        given = queries.select(F.col("id").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).where("size(vector) > 0")
+        blocks = max(1, -(-given.count() // BLOCK))
+        asked = given.withColumn("kth", F.lit(-2.0)).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        held = self.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        keys = ["cell", "slice", "block"]
+        meet = lambda visits: held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_searching(k, keep_self), "qid long, id long, cosine double")
+        if probes is None and len(self.centres) > 1:
+            order = W.partitionBy("qid").orderBy(F.desc("cosine"))
+            first = meet(self._visits(asked, blocks, 1)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k)
+            kth = first.select(F.col("qid").alias("_qid"), F.col("cosine").alias("_kth"))
+            asked = asked.join(kth, F.col("qid") == F.col("_qid"), "left").withColumn("kth", F.coalesce("_kth", "kth")).drop("_qid", "_kth")
+        near = meet(self._visits(asked, blocks, probes))
+        first, tied = W.partitionBy("qid").orderBy(F.desc("cosine"), "id"), W.partitionBy("qid").orderBy(F.desc("cosine"))
         return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).withColumn("rank", F.rank().over(tied)).drop("_place")
 
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            out = ranked(block) if out is None else out.unionByName(ranked(block))
-            block = []
-    if block or out is None:
-        part = ranked(block) if block else spark.createDataFrame([], "qid long, id long, cosine double, rank int")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
+    """``VectorIndex.search`` over an index of these vectors alone."""
+    return VectorIndex(vectors).search(queries, k, keep_self)

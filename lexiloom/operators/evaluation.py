@@ -28,6 +28,30 @@ def per_question(lists: DataFrame, k: int = 10) -> DataFrame:
     return lists.select("*", *recalls, *rest)
 
 
+def per_flagged(ranking: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    """The same metrics for facts (qid, n_relevant, ...) of which only the number of relevant ids is known, from a ranking (qid, id,
+    position, hit) of which each row says whether its id is relevant: no list of all that is relevant is made. A question without
+    any result keeps an empty ``ranked``."""
+    lists = ranking.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("position", "id", "hit"))).alias("_all")).select(F.col("qid").alias("_qid"), F.col("_all.id").alias("ranked"), F.transform("_all", lambda x: F.coalesce(x["hit"], F.lit(False))).alias("_hits"))
+    kind = ranking.schema["id"].dataType.simpleString()
+    joined = facts.join(lists, F.col("qid") == F.col("_qid"), "left").drop("_qid").withColumn("ranked", F.coalesce("ranked", F.array().cast(f"array<{kind}>"))).withColumn("_hits", F.coalesce("_hits", F.array().cast("array<boolean>")))
+    places = F.filter(F.transform(F.slice("_hits", 1, k), lambda h, i: F.when(h, i + 1)), lambda p: p.isNotNull())
+    n = F.col("n_relevant")
+    gain = lambda p: 1.0 / F.log2(p.cast("double") + 1.0)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, p: a + gain(p))
+    ideal = total(F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(k)).cast("int"))).otherwise(F.array().cast("array<int>")))
+    within = lambda c: lambda p: p <= c
+    recalls = [F.try_divide(F.size(F.filter("_places", within(c))).cast("double"), n).alias(f"recall_{c}") for c in CUTS]
+    rest = [
+        F.round(F.coalesce(1.0 / F.array_min("_places"), F.lit(0.0)), 6).alias("rr"),
+        F.round(F.when(ideal > 0, total(F.col("_places")) / ideal).otherwise(0.0), 6).alias("ndcg"),
+        F.array_min("_places").alias("hit_rank"),
+        (F.size("_places") / F.lit(float(k))).alias("precision"),
+        F.size(F.slice("ranked", 1, k)).alias("candidates"),
+    ]
+    return joined.withColumn("_places", places).select("*", *recalls, *rest).drop("_hits", "_places")
+
+
 def with_value_match(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """items (ranked, expected_value, tolerance) with ``value_matched``: whether the text of the first result, and of no other,
     states the expected value. A question without results, or whose first one is not in chunks (id, text), does not match."""

@@ -1,25 +1,29 @@
 """Lexical ranking of many questions in one job: strict match with a loose fallback, cover density, trigram word
 similarity, weighted reciprocal-rank fusion.
 
-Questions and chunks meet through an inverted index (lexeme, chunk, positions), not in a cross join; only the
-trigram signal looks at every pair, and it does so inside the tasks that hold the chunks.
+Questions and chunks meet through inverted indexes only: lexeme and positions for full text, trigrams with a count filter for
+word similarity. Ranks come from counts of the values of a signal, so no task sorts all that a question hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiloom.functions.analysis import analyze, cover_density
 from lexiloom.functions.metrics import fused
-from lexiloom.functions.similarity import extent_similarity, trigrams, word_similarity_of
+from lexiloom.functions.similarity import trigram_array, word_similarity_at, word_similarity_of
 from lexiloom.operators.dense import clamped
 
 LEXICAL_WEIGHT, TRIGRAM_WEIGHT, DAMPING, FLOOR = 0.7, 0.3, 60, 0.6
+#: Rows of a question index that are sent to all executors, after they have been counted; larger ones are shuffled.
+SENT_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with the hint to send it to all executors if it has SENT_ROWS at most."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -34,9 +38,10 @@ def matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
     positions gives no lists: then lexemes are only counted, before anything is shuffled."""
     wanted = lexemes.groupBy("qid").agg(F.count("*").alias("wanted"))
     lists = [F.collect_list("positions").alias("lists")] if "positions" in index.columns else []
-    hits = lexemes.join(index, "lexeme").groupBy("qid", "chunk_id").agg(*lists, F.count("*").alias("held"))
-    hits = hits.join(wanted, "qid").withColumn("strict", F.max((F.col("held") == F.col("wanted")).cast("int")).over(W.partitionBy("qid")) == 1)
-    return hits.where(~F.col("strict") | (F.col("held") == F.col("wanted")))
+    hits = sized(lexemes).join(index, "lexeme").groupBy("qid", "chunk_id").agg(*lists, F.count("*").alias("held"))
+    hits = hits.join(wanted, "qid")
+    strict = hits.groupBy(F.col("qid").alias("_qid")).agg((F.max(F.col("held") - F.col("wanted")) == 0).alias("strict"))
+    return hits.join(strict, F.col("qid") == F.col("_qid")).drop("_qid").where(~F.col("strict") | (F.col("held") == F.col("wanted")))
 
 
 def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
@@ -47,34 +52,60 @@ def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
     return hits.select("qid", "chunk_id", F.when(F.col("strict"), cover_density("lists")).otherwise(loose).alias("lexical"))
 
 
+def trigram_candidates(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(qid, chunk_id) of the pairs that may reach the floor, and all that do: an equi-join on trigrams with a count filter.
+
+    A pair of that word similarity has in common floor x n of the n trigrams of the question at least. Half of those
+    that are needed may be left out of the join, if the others are still counted: those that most questions
+    have are. The chunks are dealt out by chunk_id before their trigrams are made, so a chunk's trigrams are counted where they are.
+    """
+    asked = questions.select("qid", F.array_distinct(trigram_array(F.col("question"))).alias("grams")).where("size(grams) > 0")
+    needed = asked.withColumn("need", F.ceil(F.size("grams") * F.lit(floor) - 1e-9).cast("int"))
+    grams = needed.select("qid", "need", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("questions"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("questions", "gram"))
+    left_out = F.floor(F.col("need") / 2)
+    posted = grams.join(common, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - left_out).select("qid", "gram", (F.col("need") - left_out).alias("least"))
+    held = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", F.explode(F.array_distinct(trigram_array(F.col("text")))).alias("gram"))
+    met = held.join(sized(posted), "gram").groupBy("chunk_id", "qid", "least").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") >= F.col("least")).select("qid", "chunk_id")
+
+
 def trigram_signal(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(qid, chunk_id, trigram) for the pairs whose word similarity reaches the floor. The questions, a stated set, are
-    sent to the tasks that hold the chunks."""
-    asked = [(r["qid"], frozenset(trigrams(r["question"] or ""))) for r in questions.select("qid", "question").collect()]
-    kind = questions.schema["qid"].dataType.simpleString()
-    chunk_kind = chunks.schema["chunk_id"].dataType.simpleString()
+    """(qid, chunk_id, trigram) for the pairs whose word similarity reaches the floor. Only what the trigram index lets through is
+    compared, extent by extent."""
+    pairs = trigram_candidates(questions, chunks, floor).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    return pairs.select("qid", "chunk_id", word_similarity_at(floor)("question", "text").alias("trigram")).where(F.col("trigram").cast("double") >= floor)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = []
-            for c, text in zip(frame["chunk_id"], frame["text"], strict=True):
-                own = trigrams(text or "")
-                held = frozenset(own)
-                found += [(q, c, s) for q, wanted in asked if (s := extent_similarity(wanted, own, held, floor))]
-            yield pd.DataFrame(found, columns=["qid", "chunk_id", "trigram"]).astype({"trigram": "float32"})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, f"qid {kind}, chunk_id {chunk_kind}, trigram float").where(F.col("trigram").cast("double") >= floor)
+def _ranks(signals: DataFrame, signal: str) -> DataFrame:
+    """(_qid, _value, rank): the rank, with ties, of each value that a signal has for a question, from counts of the values."""
+    counts = signals.groupBy(F.col("qid").alias("_qid"), F.col(signal).alias("_value")).agg(F.count("*").alias("_n"))
+    above = W.partitionBy("_qid").orderBy(F.desc("_value")).rowsBetween(W.unboundedPreceding, -1)
+    return counts.select("_qid", "_value", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias(f"{signal}_rank"))
 
 
 def fuse(signals: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:
     """Ranks of (qid, chunk_id, lexical, trigram): lexical_rank and trigram_rank, null where a signal is silent, the fused
-    score, and the first k of each question by score, then chunk_id."""
-    fired = signals.where((F.col("lexical") > 0) | (F.coalesce(F.col("trigram").cast("double"), F.lit(0.0)) >= floor))
-    place = lambda c: F.rank().over(W.partitionBy("qid").orderBy(F.desc_nulls_last(c)))
-    ranked = fired.withColumn("lexical_rank", F.when(F.col("lexical") > 0, place("lexical"))).withColumn("trigram_rank", F.when(F.col("trigram").cast("double") >= floor, place("trigram")))
-    scored = ranked.withColumn("score", F.round(fused(LEXICAL_WEIGHT, F.col("lexical_rank"), DAMPING) + fused(TRIGRAM_WEIGHT, F.col("trigram_rank"), DAMPING), 12))
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= clamped(k))
+    score, and the first k of each question by score, then chunk_id.
+
+    What only the lexical signal found can't be among the first k unless it is among the lexical signal's first k of its
+    kind, so that alone is ranked and fused, beside all that the trigram signal found.
+    """
+    k = clamped(k)
+    loud = F.coalesce(F.col("trigram").cast("double"), F.lit(0.0)) >= floor
+    fired = signals.where((F.col("lexical") > 0) | loud)
+    order = W.partitionBy("qid").orderBy(F.desc("lexical"), "chunk_id")
+    plain = fired.where(~loud).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+    kept = plain.unionByName(fired.where(loud))
+    for signal, speaks in (("lexical", F.col("lexical") > 0), ("trigram", loud)):
+        # values that equal as numbers are one, so no value is joined as a float
+        mine = signals.where(speaks).withColumn(signal, F.col(signal).cast("double"))
+        key = F.when(speaks, F.col(signal).cast("double"))
+        kept = kept.withColumn("_key", key).join(_ranks(mine, signal), (F.col("qid") == F.col("_qid")) & (F.col("_key") == F.col("_value")), "left").drop("_qid", "_value", "_key")
+    scored = kept.withColumn("score", F.round(fused(LEXICAL_WEIGHT, F.col("lexical_rank"), DAMPING) + fused(TRIGRAM_WEIGHT, F.col("trigram_rank"), DAMPING), 12))
+    best = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:

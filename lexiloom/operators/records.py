@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiloom.functions.similarity import verbatim
+from lexiloom.sources.stored import cut
 
 
 def spread(rows: DataFrame, by: list[str], value: str, index: str) -> DataFrame:
@@ -69,17 +70,60 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def span_tree(spans: DataFrame, deepest: int = 1_000) -> DataFrame:
-    """Spans (trace_id, span_id, parent_span_id, started, ended) with their depth (roots: 0) and ``offset``: the time that
-    earlier siblings took. A tree deeper than ``deepest`` is an error."""
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Spans (trace_id, span_id, parent_span_id, started, ended) with ``depth`` (roots: 0), ``root``, ``offset``, the time that
+    earlier siblings took, and ``fault``: null, ``orphan`` for spans below one whose parent isn't there, which counts as a
+    root, or ``cycle`` for spans on or below a cycle, which have neither depth nor root.
+
+    Every span points at its parent, and then at what its pointer points at, until that is a root: twice as far with each
+    join, so a tree of any depth takes as many joins as its depth has binary digits. Every pass, the open spans of all depths
+    above a bound remain; when none of them closes, what is left is cyclic. Spans that repeat get the same depth.
+    """
     siblings = W.partitionBy("trace_id", "parent_span_id").orderBy("started", "span_id").rowsBetween(W.unboundedPreceding, -1)
     timed = spans.withColumn("duration", F.col("ended") - F.col("started")).withColumn("offset", F.coalesce(F.sum("duration").over(siblings), F.lit(0)))
-    depth = spans.sparkSession.sql(
-        f"WITH RECURSIVE tree(trace_id, span_id, depth) MAX RECURSION LEVEL {int(deepest)} AS (SELECT trace_id, span_id, 0 FROM {{own}} WHERE parent_span_id IS NULL "
-        "UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM tree t JOIN {own} s ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id) SELECT * FROM tree",
-        own=spans.select("trace_id", "span_id", "parent_span_id"),
-    )
-    return timed.join(depth, ["trace_id", "span_id"])
+    own = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("parent"))
+    there = own.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span"))
+    known = own.join(there, F.col("trace_id").eqNullSafe(F.col("_trace")) & (F.col("parent") == F.col("_span")), "left")
+    root = F.col("_span").isNull()
+    now = cut(known.select("trace_id", "span_id", F.when(root, F.col("span_id")).otherwise(F.col("parent")).alias("to"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("closed"), (root & F.col("parent").isNotNull()).alias("orphan")))
+    left = now.where(~F.col("closed")).count()
+    before = left + 1
+    while 0 < left < before:
+        far = now.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("closed").alias("_closed"), F.col("orphan").alias("_orphan"))
+        met = now.join(far, ~F.col("closed") & F.col("trace_id").eqNullSafe(F.col("_trace")) & (F.col("to") == F.col("_span")), "left")
+        move = lambda one, other: F.when(F.col("closed"), F.col(one)).otherwise(other).alias(one)
+        now = cut(met.select("trace_id", "span_id", move("to", F.col("_to")), move("depth", F.col("depth") + F.col("_depth")), move("closed", F.col("_closed")), move("orphan", F.col("_orphan"))))
+        before, left = left, now.where(~F.col("closed")).count()
+    closed = F.col("closed")
+    fault = F.when(~closed, "cycle").when(F.col("orphan"), "orphan")
+    tree = now.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span"), F.when(closed, F.col("depth")).cast("int").alias("depth"), F.when(closed, F.col("to")).alias("root"), fault.alias("fault"))
+    return timed.join(tree, F.col("trace_id").eqNullSafe(F.col("_trace")) & F.col("span_id").eqNullSafe(F.col("_span"))).drop("_trace", "_span")
+
+
+def corpus_verbatim(claims: DataFrame, chunks: DataFrame, least: int = 5) -> DataFrame:
+    """(claim_id, run, chunk_id, claim_at, chunk_at): the longest run of tokens that each claim (claim_id, tokens) has in common with any
+    of the chunks (chunk_id, tokens), where, and in which chunk, the first of equals by claim_at, chunk_id and chunk_at.
+    Claims without a common run of ``least`` tokens are left out, as are null and empty ones.
+
+    Every such run starts with a run of ``least`` tokens, a seed. Of the chunks only the stretches made of seeds that some claim
+    has are kept, and stretches of the same tokens are one. Claims and stretches are joined on seeds; seeds in a row on
+    one diagonal are a run. So a claim is read against the whole corpus, and no pair is read that has no seed in common.
+    """
+    seeds = lambda tokens: F.when(F.size(tokens) >= least, F.transform(F.sequence(F.lit(0), F.size(tokens) - least), lambda i: F.array_join(F.slice(tokens, i + 1, least), " "))).otherwise(F.array().cast("array<string>"))
+    asked = claims.select("claim_id", F.posexplode(seeds(F.col("tokens"))).alias("claim_at", "seed"))
+    wanted = asked.select(F.col("seed").alias("_seed")).distinct()
+    placed = chunks.select("chunk_id", F.posexplode(seeds(F.col("tokens"))).alias("at", "seed")).join(wanted, F.col("seed") == F.col("_seed"), "left_semi")
+    row = F.row_number().over(W.partitionBy("chunk_id").orderBy("at"))
+    stretches = placed.withColumn("_island", F.col("at") - row).groupBy("chunk_id", "_island").agg(F.min("at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "seed"))).alias("s"))
+    # stretches of the same tokens: the first chunk's stands for all
+    one = stretches.select(F.col("s.seed").alias("seeds"), "chunk_id", "first").groupBy("seeds").agg(F.min(F.struct("chunk_id", "first")).alias("where"))
+    posted = one.select("where", F.posexplode("seeds").alias("at", "seed"))
+    met = asked.join(posted, "seed").select("claim_id", "claim_at", "where", "at", (F.col("at") - F.col("claim_at")).alias("diagonal"))
+    order = F.row_number().over(W.partitionBy("claim_id", "where", "diagonal").orderBy("claim_at"))
+    runs = met.withColumn("_island", F.col("claim_at") - order).groupBy("claim_id", "where", "diagonal", "_island").agg(F.count("*").alias("n"), F.min("claim_at").alias("claim_at"), F.min("at").alias("at"))
+    found = runs.select("claim_id", F.struct((-(F.col("n") + least - 1)).alias("less"), "claim_at", F.col("where.chunk_id").alias("chunk_id"), (F.col("where.first") + F.col("at")).alias("chunk_at")).alias("r"))
+    best = found.groupBy("claim_id").agg(F.min("r").alias("r"))
+    return best.select("claim_id", (-F.col("r.less")).cast("int").alias("run"), "r.chunk_id", F.col("r.claim_at").alias("claim_at"), F.col("r.chunk_at").cast("int").alias("chunk_at"))
 
 
 def compare_to_spread(value: Column, low: Column, high: Column) -> Column:

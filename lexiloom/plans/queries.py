@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from lexiloom.functions import metrics as M
 from lexiloom.functions import text as X
 from lexiloom.functions.analysis import analyze
+from lexiloom.functions.analysis import cover_density as density_of
 from lexiloom.functions.embedding import HashedEmbedder, embed
-from lexiloom.operators import answers, chunking, dense, evaluation, lexical, records, retrievers, showcase
+from lexiloom.functions.similarity import trigram_array
+from lexiloom.operators import answers, chunking, dense, evaluation, lexical, records, retrievers, showcase, terms
 from lexiloom.plans.registry import query, table
 from lexiloom.streaming import policies
 
@@ -48,12 +50,13 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant is what has the label of the asking vector."""
+    """Relevant is what has the label of the asking vector: counted by label, flagged among the ten found."""
     v = _vectors(spark, sf_dir)
-    labels = v.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-    asking = v.where(F.col("id") % ASKING == 0).select(F.col("id").alias("qid"), "label")
-    relevant = asking.join(labels, (F.col("label") == F.col("_label")) & (F.col("qid") != F.col("_id"))).groupBy("qid", "label").agg(F.collect_list("_id").alias("relevant"))
-    return evaluation.per_question(evaluation.ranked_lists(_ranking(spark, sf_dir), relevant))
+    sizes = v.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
+    asking = v.where((F.col("id") % ASKING == 0) & F.col("label").isNotNull()).select(F.col("id").alias("qid"), "label")
+    facts = asking.join(sizes, F.col("label") == F.col("_label")).where("_n > 1").select("qid", "label", (F.col("_n") - 1).alias("n_relevant"))
+    found = _ranking(spark, sf_dir).join(v.select("id", F.col("label").alias("_found")), "id").join(asking.select("qid", "label"), "qid")
+    return evaluation.per_flagged(found.select("qid", "id", "position", (F.col("_found") == F.col("label")).alias("hit")), facts)
 
 
 _ITEMS = f"""{_TOP}, n AS (SELECT q.vec_id AS qid, q.label, count(*) AS n FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id AND e.label = q.label WHERE q.vec_id % {ASKING} = 0 GROUP BY ALL),
@@ -178,6 +181,34 @@ def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "ordinal", F.array_join(X.detect_terms(F.col("own"), _TERMS), ",").alias("jargon_terms"))
 
 
+# letters that keep their mark are letters, which DuckDB's word boundaries don't know
+_FOLDED = "translate(strip_accents(lower({})), 'ßæœøđłþðı', 'qqqqqqqqq')"
+
+
+@query(rf"""WITH {_PARAGRAPHS}, v AS (SELECT term, min(p) AS position, {_FOLDED.format('term')} AS folded FROM (SELECT regexp_extract(text, '^\p{{L}}+ \p{{L}}+') AS term, 2 * item_id AS p FROM benchmark UNION ALL SELECT regexp_extract(text, '^\p{{L}}+'), 2 * item_id + 1 FROM benchmark) WHERE term <> '' GROUP BY term),
+x AS (SELECT '\b(?:' || string_agg(folded, '|' ORDER BY length(folded) DESC, folded) || ')\b' AS re FROM (SELECT DISTINCT folded FROM v)), f AS (SELECT doc_id, ordinal, list_distinct(regexp_extract_all({_FOLDED.format('own')}, re)) AS found FROM o, x)
+SELECT doc_id, ordinal::INT AS ordinal, coalesce(string_agg(term, ',' ORDER BY position), '') AS terms FROM f LEFT JOIN v ON list_contains(found, folded) GROUP BY doc_id, ordinal""")
+def vocabulary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a large vocabulary that each paragraph uses: the first word, and the first two, of every benchmark text."""
+    b = table(spark, sf_dir, "benchmark")
+    first = lambda pattern, place: b.select(F.regexp_extract("text", pattern, 0).alias("term"), (F.col("item_id") * 2 + place).alias("position"))
+    vocabulary = first(r"^\p{L}+ \p{L}+", 0).unionByName(first(r"^\p{L}+", 1)).where("term <> ''").groupBy("term").agg(F.min("position").alias("position"))
+    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select(F.struct("doc_id", "ordinal").alias("chunk"), F.col("own").alias("text"))
+    return terms.used_terms(chunks, vocabulary, "chunk").select("chunk.doc_id", "chunk.ordinal", F.array_join("terms", ",").alias("terms"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> '') AS w FROM documents), q AS (SELECT item_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> '') AS w FROM benchmark),
+dg AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS d, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d), qg AS (SELECT item_id, unnest(range(0, len(w) - 4)) AS c, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM q),
+m AS (SELECT item_id, doc_id, c, d, c - row_number() OVER (PARTITION BY item_id, doc_id, d - c ORDER BY c) AS island FROM qg JOIN dg USING (g)), r AS (SELECT item_id, doc_id, count(*) + 4 AS run, min(c) AS claim_at, min(d) AS chunk_at FROM m GROUP BY item_id, doc_id, d - c, island)
+SELECT item_id, run::INT AS run, doc_id, claim_at::INT AS claim_at, chunk_at::INT AS chunk_at FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY run DESC, claim_at, doc_id, chunk_at) = 1""")
+def corpus_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of words of every benchmark text that stands in any document, from five words on."""
+    split = X.tokens(F.col("text")).alias("tokens")
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), split)
+    found = records.corpus_verbatim(claims, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), split))
+    return found.select(F.col("claim_id").alias("item_id"), "run", F.col("chunk_id").alias("doc_id"), "claim_at", "chunk_at")
+
+
 @query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
 def joined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct languages of each source as one text, in order."""
@@ -272,6 +303,23 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.cached(e, 86_400.0).select("event_id", "key", "hit")
 
 
+_CHUNK_TEXTS = f"""{_PARAGRAPHS}, k AS (SELECT printf('%d#%04d', doc_id, ordinal) AS chunk_id, concat_ws(' ', lag(coalesce(sentences[-1], own)) OVER (PARTITION BY doc_id ORDER BY line), own) AS text FROM o)"""
+_GRAMS = "SELECT {0}, row_number() OVER (PARTITION BY {0} ORDER BY wi, gi) AS pos, g FROM (SELECT {0}, wi, generate_subscripts(gs, 1) AS gi, unnest(gs) AS g FROM (SELECT {0}, wi, list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)) AS gs FROM (SELECT {0}, generate_subscripts(ws, 1) AS wi, unnest(ws) AS w FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {1}))))"
+
+
+@query(f"""WITH {_CHUNK_TEXTS}, cg AS ({_GRAMS.format('chunk_id', 'k')}), qg AS (SELECT DISTINCT item_id, g FROM ({_GRAMS.format('item_id', 'benchmark')})), qn AS (SELECT item_id, count(*) AS n FROM qg GROUP BY item_id),
+h AS (SELECT item_id, chunk_id, n FROM qg JOIN (SELECT DISTINCT chunk_id, g FROM cg) USING (g) JOIN qn USING (item_id) GROUP BY ALL HAVING count(*) >= 0.6 * n - 1e-9)
+SELECT item_id AS qid, count(*) AS chunks FROM h GROUP BY item_id""")
+def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many paragraphs hold six tenths of the trigrams of each benchmark text: what the count filter of the trigram index asks for, exactly."""
+    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    met = lexical.trigram_candidates(questions, chunks).join(chunks, "chunk_id").join(questions, "qid")
+    wanted = F.array_distinct(trigram_array(F.col("question")))
+    held = F.size(F.array_intersect(wanted, trigram_array(F.col("text"))))
+    return met.where(held >= 0.6 * F.size(wanted) - 1e-9).groupBy("qid").agg(F.count("*").alias("chunks"))
+
+
 @query()
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as questions, paragraphs as chunks: the pairs of a word similarity of 0.6 or more."""
@@ -279,6 +327,22 @@ def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.trigram_signal(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), chunks)
 
 
+@query(f"""WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents), q AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+p AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d), h AS (SELECT item_id, id, q.w, pos FROM q JOIN p ON p.w = q.w), s AS (SELECT item_id, id, n FROM h JOIN n USING (item_id) GROUP BY ALL HAVING count(DISTINCT w) = n),
+a AS (SELECT h.* FROM h JOIN s USING (item_id, id)), e AS (SELECT x.item_id, x.id, x.pos AS start, y.w, min(y.pos) AS nearest FROM (SELECT DISTINCT item_id, id, pos FROM a) x JOIN a y ON y.item_id = x.item_id AND y.id = x.id AND y.pos >= x.pos GROUP BY ALL),
+f AS (SELECT e.item_id, e.id, start, max(nearest) AS stop FROM e JOIN n USING (item_id) GROUP BY e.item_id, e.id, start, n HAVING count(*) = n), c AS (SELECT item_id, id, max(start) AS start, stop FROM f GROUP BY item_id, id, stop),
+o AS (SELECT c.*, (SELECT count(DISTINCT pos) FROM a WHERE a.item_id = c.item_id AND a.id = c.id AND a.pos BETWEEN c.start AND c.stop) AS own FROM c)
+SELECT item_id, id AS doc_id, round(sum(0.1::DOUBLE / (1 + stop - start + 1 - own)), 6) AS density FROM o GROUP BY item_id, id""")
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cover density of every benchmark text in the documents that hold all its words."""
+    words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    placed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(words(F.col("text"))).alias("pos", "lexeme"))
+    index = placed.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("lexeme"))
+    found = lexical.matches(asked, index).where("strict")
+    return found.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round(density_of(F.col("lists")).cast("double"), 6).alias("density"))
+
+
 @query()
 def lexical_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical retriever over paragraphs, with the benchmark texts as questions."""

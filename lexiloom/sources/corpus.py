@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 DOCUMENT = "doc_id string, title string, publisher string, year int, tier string, provenance string, filename string, sha256 string, rights string"
 FACT = "fact_id string, question string, phrasing string, expected_value string, chunk_ids array<string>, tolerance double"
@@ -86,47 +87,84 @@ def source_texts(documents: DataFrame, sources: str) -> DataFrame:
     return documents.join(files, F.col("filename") == F.col("_file")).drop("_file")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "raw"))
-    return whole.select((F.col("pos") + 1).alias("line"), "raw")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw): the lines of text files, numbered from 1 in each, whatever their size. Lines of each block of a file are
+    counted where they are read, and the counts of the blocks before are added; only line feeds end a line."""
+    read = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_id"))
+    blocks = read.groupBy(F.col("file_path").alias("_file"), F.col("file_block_start").alias("_start")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1))
+    offsets = blocks.select("_file", "_start", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("file_path", "file_block_start").orderBy("_id"))
+    return read.withColumn("_own", own).join(offsets, (F.col("file_path") == F.col("_file")) & (F.col("file_block_start") == F.col("_start"))).select(F.col("file_path").alias("file"), (F.col("_before") + F.col("_own")).alias("line"), "raw")
+
+
+def _parsed(lines: DataFrame, fields: str) -> DataFrame:
+    return lines.withColumn("row", F.from_json("raw", fields + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+
+
+def _again(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``again``: whether an earlier line has the same key, null being a key like any other."""
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("file", "line")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return rows.join(first.drop("_n"), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("again", F.coalesce(F.struct("file", "line") > F.col("_first"), F.lit(False)))
+
+
+def fact_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, place, problem): all that is wrong with the lines of a fact set, however many; place orders a line's problems."""
+    rows = _parsed(numbered_lines(spark, path), FACT)
+    blank = F.col("raw").rlike(r"^\s*$")
+    malformed = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | (F.coalesce("row.question", F.lit("")) == "") | F.col("row.expected_value").isNull()
+    whole = _again(rows.where(~blank & ~malformed).select("file", "line", "row.*"), "fact_id")
+    ids = F.col("chunk_ids")
+    each = F.array(
+        F.when(~F.coalesce(F.col("fact_id").rlike(_SLUG.pattern), F.lit(False)), "fact_id is not a slug"),
+        F.when(F.col("again"), F.concat(F.lit("fact_id "), F.coalesce("fact_id", F.lit("None")), F.lit(" again"))),
+        F.when(~F.coalesce(F.col("phrasing").isin("keyword", "natural"), F.lit(False)), "phrasing"),
+        F.when(ids.isNull() | (F.size(ids) == 0) | (F.size(F.array_distinct(ids)) < F.size(ids)), "chunk_ids"),
+        F.when(F.col("tolerance") <= 0, "tolerance"),
+    )
+    broken = rows.where(blank | malformed).select("file", "line", F.lit(0).alias("place"), F.when(blank, "blank").otherwise("malformed").alias("problem"))
+    return broken.unionByName(whole.select("file", "line", F.posexplode(each).alias("place", "problem")).where("problem is not null"))
+
+
+def question_problems(spark: SparkSession, path: str) -> DataFrame:
+    """The same for questions, whose blank lines are passed over."""
+    rows = _parsed(numbered_lines(spark, path).where(~F.col("raw").rlike(r"^\s*$")), _QUESTION)
+    malformed = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | F.col("row.question_id").isNull() | F.col("row.question").isNull()
+    broken = rows.where(malformed).select("file", "line", F.lit(0).alias("place"), F.lit("malformed").alias("problem"))
+    again = _again(rows.where(~malformed).select("file", "line", "row.question_id"), "question_id").where("again")
+    return broken.unionByName(again.select("file", "line", F.lit(1).alias("place"), F.concat(F.lit("question_id "), F.col("question_id"), F.lit(" again")).alias("problem")))
+
+
+#: Problems that an error spells out; the tables of problems have them all.
+TOLD = 1_000
+_QUESTION = "question_id string, question string, why string"
+
+
+def _refuse(problems: DataFrame) -> None:
+    """An error that names the first problems, if there are any."""
+    first = problems.orderBy("file", "line", "place").head(TOLD + 1)
+    if first:
+        files = len({r["file"] for r in first})
+        told = [(f"{r['file']}: " if files > 1 else "") + f"line {r['line']}: {r['problem']}" for r in first[:TOLD]]
+        raise CorpusError("\n".join(told + (["and more"] if len(first) > TOLD else [])))
 
 
 def load_facts(spark: SparkSession, path: str) -> DataFrame:
     """Facts of a JSON-lines file. A blank line, a malformed one, a fact id that isn't a slug or is there twice, no or
-    repeated chunk ids, a tolerance that isn't positive, or an empty file is an error that names its line."""
-    parsed = _lines(spark, path).withColumn("fact", F.from_json("raw", FACT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    rows, wrong, seen = parsed.orderBy("line").collect(), [], set()
-    for r in rows:
-        f = r["fact"]
-        if not r["raw"].strip():
-            wrong.append(f"line {r['line']}: blank")
-        elif f is None or f["_corrupt"] or not f["question"] or f["expected_value"] is None:
-            wrong.append(f"line {r['line']}: malformed")
-        else:
-            if not _SLUG.match(f["fact_id"] or ""):
-                wrong.append(f"line {r['line']}: fact_id is not a slug")
-            if f["fact_id"] in seen:
-                wrong.append(f"line {r['line']}: fact_id {f['fact_id']} again")
-            if f["phrasing"] not in ("keyword", "natural"):
-                wrong.append(f"line {r['line']}: phrasing")
-            if not f["chunk_ids"] or len(set(f["chunk_ids"])) < len(f["chunk_ids"]):
-                wrong.append(f"line {r['line']}: chunk_ids")
-            if f["tolerance"] is not None and f["tolerance"] <= 0:
-                wrong.append(f"line {r['line']}: tolerance")
-            seen.add(f["fact_id"])
-    if not rows or wrong:
-        raise CorpusError("\n".join(wrong) or "no facts")
-    return parsed.select("fact.*").drop("_corrupt")
+    repeated chunk ids, a tolerance that isn't positive, or an empty file is an error that names its line; ``fact_problems`` is
+    the table of these."""
+    _refuse(fact_problems(spark, path))
+    facts = _parsed(spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "raw"), FACT).select("row.*").drop("_corrupt")
+    if facts.isEmpty():
+        raise CorpusError("no facts")
+    return facts
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions (question_id, question, why) of a JSON-lines file; blank lines are passed over, malformed ones are errors."""
-    parsed = _lines(spark, path).where("trim(raw) <> ''").select("line", F.from_json("raw", "question_id string, question string, why string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("q"))
-    wrong = [f"line {r['line']}: malformed" for r in parsed.where("q is null or q._corrupt is not null or q.question_id is null or q.question is null").collect()]
-    wrong += [f"question_id {r['question_id']} again" for r in parsed.groupBy("q.question_id").count().where("count > 1").collect()]
-    if wrong:
-        raise CorpusError("\n".join(wrong))
-    return parsed.select("q.question_id", "q.question", "q.why")
+    """Questions (question_id, question, why) of a JSON-lines file; blank lines are passed over, malformed ones and ids that come
+    again are errors."""
+    _refuse(question_problems(spark, path))
+    return _parsed(spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "raw").where(~F.col("raw").rlike(r"^\s*$")), _QUESTION).select("row.question_id", "row.question", "row.why")
 
 
 def load_vocabulary(text: str) -> list[dict]:
