@@ -1,14 +1,17 @@
-"""Text analysis for full-text ranking: words, stop words of two languages, Portuguese stems, positions.
+"""Text analysis for full-text ranking: tokens of a text by type, stop words of two languages, Portuguese stems, positions.
 
-A text becomes an array of (lexeme, pos): runs of letters and digits, unaccented and in lower case, are numbered from
-1; English and Portuguese stop words leave gaps in the numbers; words of letters are stemmed by the published
-Snowball algorithm for Portuguese, others stay. The version is part of an artifact's identity.
+A text is cut into tokens: words, words with digits, hyphenated words with their parts, e-mail addresses, hosts, URLs with
+host and path, file names, numbers and versions; tags, entities and protocols are seen and left out. Tokens are numbered
+from 1. Words are lower-cased and unaccented, English and Portuguese stop words leave gaps in the numbers, and other words are
+stemmed by the published Snowball algorithm for Portuguese; tokens of any other type stay, in lower case. The version is part of
+an artifact's identity.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ANALYZER_VERSION = 1
+ANALYZER_VERSION = 2
 LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())]), False)
 
 # Stop words of English and Portuguese, unaccented.
@@ -35,7 +38,28 @@ PORTUGUESE = frozenset(
     ).split()
 )
 
-_RUN = re.compile(r"[^\W_]+")
+_PART = r"[^\W_]*[^\W\d_][^\W_]*"
+#: What a token can be at a place, the first that fits; numbers end where no letter goes on.
+_TOKEN = re.compile(
+    rf"""
+    (?P<tag></?[A-Za-z!?][^<>]*>)
+  | (?P<entity>&(?:[A-Za-z]+|\#[0-9]+|\#[xX][0-9A-Fa-f]+);)
+  | (?P<email>[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
+  | (?P<protocol>[A-Za-z]+://)
+  | (?P<host>(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}(?::[0-9]+)?)(?![^\W_])(?P<path>/[^\s<>"']*)?
+  | (?P<file>(?:~?/|[A-Za-z0-9][A-Za-z0-9._-]*/)[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?(?![^\W_]))
+  | (?P<sfloat>[-+]?\d+(?:\.\d+)?[eE][-+]?\d+(?![^\W_]))
+  | (?P<version>\d+\.\d+(?:\.\d+)+(?![^\W_]))
+  | (?P<float>[-+]?\d+\.\d+(?![^\W_]))
+  | (?P<int>[-+]\d+(?![^\W_]))
+  | (?P<hword>{_PART}(?:-{_PART})+)
+  | (?P<uint>\d+(?![^\W_]))
+  | (?P<word>[^\W_]+)
+    """,
+    re.X,
+)
+#: Types whose tokens are words: they alone lose marks and stop words and are stemmed.
+WORD_TYPES = frozenset({"asciiword", "word", "asciihword", "hword", "hword_asciipart", "hword_part"})
 _VOWELS = frozenset("aeiou")
 
 # Suffixes of the Snowball algorithm for Portuguese, in their unaccented forms where these exist.
@@ -119,12 +143,42 @@ def unaccent(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
+def _kind(word: str, ascii_: str, other: str, mixed: str) -> str:
+    if any(c.isdigit() for c in word):
+        return mixed
+    return ascii_ if word.isascii() else other
+
+
+def tokens_of(text: str) -> Iterator[tuple[str, str]]:
+    """(type, token) of every token that has a place; a compound comes before its parts, a URL before its host and path."""
+    for m in _TOKEN.finditer(text):
+        kind, token = m.lastgroup, m.group()
+        if kind in ("tag", "entity", "protocol"):
+            continue
+        if kind == "word":
+            yield _kind(token, "asciiword", "word", "numword"), token
+        elif kind == "hword":
+            yield _kind(token, "asciihword", "hword", "numhword"), token
+            for part in token.split("-"):
+                yield _kind(part, "hword_asciipart", "hword_part", "hword_numpart"), part
+        elif kind == "path":
+            yield "url", token
+            yield "host", m["host"]
+            yield "url_path", m["path"]
+        else:
+            yield kind, token
+
+
 def analyzed(text: str) -> list[tuple[str, int]]:
-    """(lexeme, position) of every word that isn't a stop word."""
+    """(lexeme, position) of every token that isn't a stop word."""
     out = []
-    for pos, word in enumerate(_RUN.findall(unaccent(text)), 1):
+    for pos, (kind, token) in enumerate(tokens_of(text), 1):
+        if kind not in WORD_TYPES:
+            out.append((token.lower(), pos))
+            continue
+        word = unaccent(token)
         if word not in ENGLISH and word not in PORTUGUESE:
-            out.append((stem(word) if word.isalpha() else word, pos))
+            out.append((stem(word), pos))
     return out
 
 

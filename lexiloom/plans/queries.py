@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiloom.functions import analysis
 from lexiloom.functions import metrics as M
 from lexiloom.functions import text as X
 from lexiloom.functions.analysis import analyze
@@ -351,11 +352,29 @@ def lexical_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "position", "chunk_id", "score", "lexical", "trigram", "lexical_rank", "trigram_rank")
 
 
-@query()
+def _stems() -> str:
+    """The stemmer over a table t of distinct words w: stems (w, stem). Regions are kept as the numbers of their letters."""
+    any_of = lambda suffixes: "(" + "|".join(sorted(suffixes, key=lambda x: (-len(x), x))) + ")$"
+    after = "'^.*?[aeiou][^aeiou](.*)$'"
+    standard = [*analysis._DELETE, "logia", "logias", "amente", "mente", "idade", "idades", "iva", "ivo", "ivas", "ivos", "ira", "iras"]
+    return rf"""g AS (SELECT w, regexp_extract(w, {after}, 1) AS one, CASE WHEN regexp_matches(w, '^.[^aeiou]') THEN regexp_extract(w, '^.[^aeiou]+[aeiou](.*)$', 1) WHEN regexp_matches(w, '^[aeiou]') THEN regexp_extract(w, '^[aeiou]+[^aeiou](.*)$', 1) ELSE regexp_extract(w, '^...(.*)$', 1) END AS verbs, regexp_extract(w, '{any_of(standard)}') AS suffix FROM t),
+h AS (SELECT *, length(one) AS n1, length(regexp_extract(one, {after}, 1)) AS n2, length(verbs) AS nv, left(w, length(w) - length(suffix)) AS rest FROM g),
+j AS (SELECT *, CASE WHEN suffix = '' THEN w WHEN suffix = 'amente' THEN CASE WHEN n1 >= 6 THEN rest ELSE w END WHEN suffix IN ('ira', 'iras') THEN CASE WHEN nv >= length(suffix) AND rest LIKE '%e' THEN rest || 'ir' ELSE w END WHEN n2 < length(suffix) THEN w WHEN suffix LIKE 'logia%' THEN rest || 'log' ELSE rest END AS cut FROM h),
+k AS (SELECT *, CASE WHEN cut = w THEN '' WHEN suffix = 'amente' THEN regexp_extract(cut, '(ativ|iv|os|ic|ad)$') WHEN suffix = 'mente' THEN regexp_extract(cut, '(ante|avel)$') WHEN suffix LIKE 'idade%' THEN regexp_extract(cut, '(abil|ic|iv)$') WHEN suffix LIKE 'iv%' THEN regexp_extract(cut, '(at)$') ELSE '' END AS also, length(w) - n2 AS r2, length(w) - nv AS rv FROM j),
+l AS (SELECT *, CASE WHEN also <> '' AND length(cut) - length(also) >= r2 THEN left(cut, length(cut) - length(also)) WHEN also = 'ativ' AND length(cut) - 2 >= r2 THEN left(cut, length(cut) - 2) ELSE cut END AS whole FROM k),
+m AS (SELECT *, CASE WHEN whole = w THEN left(w, length(w) - length(regexp_extract(verbs, '{any_of(analysis._VERB)}'))) ELSE whole END AS bare FROM l),
+n AS (SELECT *, CASE WHEN bare <> w THEN CASE WHEN bare LIKE '%ci' AND length(bare) - 1 >= rv THEN left(bare, length(bare) - 1) ELSE bare END ELSE left(w, length(w) - length(regexp_extract(verbs, '(os|a|i|o)$'))) END AS short FROM m),
+q AS (SELECT *, CASE WHEN short LIKE '%e' AND length(short) - 1 >= rv THEN left(short, length(short) - 1) ELSE short END AS last FROM n),
+stems AS (SELECT w, CASE WHEN last <> short AND regexp_matches(last, '(gu|ci)$') AND length(last) - 1 >= rv THEN left(last, length(last) - 1) ELSE last END AS stem FROM q)"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM conversations), p AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM c),
+t AS (SELECT DISTINCT w FROM p WHERE w NOT IN ({', '.join(f"'{x}'" for x in sorted(analysis.ENGLISH | analysis.PORTUGUESE))})), {_stems()}
+SELECT stem AS lexeme, count(*) AS n, sum(pos)::BIGINT AS positions FROM p JOIN stems USING (w) GROUP BY stem""")
 def analyzed_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each lexeme stands in the conversations."""
+    """How often each lexeme stands in the conversations, and the sum of its positions."""
     words = table(spark, sf_dir, "conversations").select(F.explode(analyze("text")).alias("w"))
-    return words.groupBy(F.col("w.lexeme").alias("lexeme")).agg(F.count("*").alias("n"))
+    return words.groupBy(F.col("w.lexeme").alias("lexeme")).agg(F.count("*").alias("n"), F.sum("w.pos").alias("positions"))
 
 
 @query()
