@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 
 from lexiloom.functions import text as X
 from lexiloom.functions.similarity import verbatim
-from lexiloom.operators import answers, evaluation, records, runs, showcase
+from lexiloom.operators import answers, chunking, evaluation, records, runs, showcase
 from lexiloom.plans.queries import _ITEMS, _items, _vectors
 from lexiloom.plans.registry import query, table
+from lexiloom.streaming import policies
 
 
 @query(f"""{_ITEMS}, v AS (SELECT qid, q_label % 3 = label % 3 AS matched FROM r WHERE place = 1),
@@ -96,19 +97,60 @@ def numbered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.numbered_context(t).select(F.col("qid").alias("conv_id"), F.array_join("context", ",").alias("context"), "prompt")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN quality = 0 THEN 'abstained' WHEN toxic = 1 THEN 'degraded' WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'answered' END AS ended FROM labels")
+@query("""WITH p AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS passages, CASE WHEN regexp_matches(text, '[0-9]') THEN 2 ELSE 1 END AS cited FROM documents)
+SELECT p.doc_id, CASE WHEN quality IS NULL THEN 'none' WHEN coalesce(passages, 0) = 0 THEN 'abstained' WHEN toxic = 1 THEN 'degraded' WHEN cited > passages THEN 'rejected' ELSE 'answered' END AS ended,
+CASE WHEN quality IS NOT NULL AND coalesce(passages, 0) > 0 AND coalesce(toxic, 0) <> 1 THEN 'small' END AS charged FROM p LEFT JOIN labels USING (doc_id)""")
 def answer_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ended = answers.decision(F.col("doc_id") % 5 != 0, F.col("quality"), F.col("toxic") == 1, F.col("doc_id") % 3 != 0)
-    return table(spark, sf_dir, "labels").select("doc_id", ended.alias("ended"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'refused' WHEN event_id % 7 <> 0 AND event_id % 3 = 0 THEN 'precomputed' WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'cache'
-WHEN value > 50 THEN CASE WHEN event_type = 'error' THEN 'live_degraded' ELSE 'live' END WHEN event_id % 3 = 0 THEN 'precomputed' WHEN event_id % 5 = 0 THEN 'cache' ELSE 'live_degraded' END AS served FROM events""")
+    """Documents as requests over their own paragraphs: those without a label have no generator, toxic ones make it fail (no payload), and an
+    answer cites the first paragraph, or the second if the text has a digit, which not every document has. What was generated
+    is charged, whether it is rejected or not."""
+    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents"))
+    context = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id")))["chunk_id"].alias("context"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").rlike("[0-9]"), 2).otherwise(1).alias("cited"))
+    asked = docs.join(context, "doc_id", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    payload = F.when((F.col("toxic") == 0) & (F.size("context") > 0), F.format_string('{"abstained": false, "claims": [{"text": "x", "citations": [%d]}]}', "cited"))
+    checked = answers.validate(asked.withColumn("payload", payload))
+    there = F.col("quality").isNotNull()
+    ended = answers.decision(there, F.size("context"), F.col("payload").isNull(), (F.col("status") == "ok") & (F.col("invalid_citations") == 0))
+    return checked.select("doc_id", ended.alias("ended"), F.when(there & F.col("payload").isNotNull(), "small").alias("charged"))
+
+
+_EVENTS = "e AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) / 1e6::DOUBLE AS s, strftime(ts, '%Y-%m-%d') AS day, user_id || '/' || event_type AS key FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, i AS (SELECT event_id, user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e),
+b AS (SELECT user_id, i, event_id, s, 1.0::DOUBLE AS had FROM i WHERE i = 1 UNION ALL SELECT i.user_id, i.i, i.event_id, i.s, least(1.0::DOUBLE, CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END + greatest(0, i.s - b.s) * (1 / 60.0::DOUBLE)) FROM b JOIN i ON i.user_id = b.user_id AND i.i = b.i + 1),
+j AS (SELECT event_id, key, us, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM e),
+c AS (SELECT key, i, event_id, us, us AS stored, false AS hit FROM j WHERE i = 1 UNION ALL SELECT j.key, j.i, j.event_id, j.us, CASE WHEN j.us - c.stored < 86400000000 THEN c.stored ELSE j.us END, j.us - c.stored < 86400000000 FROM c JOIN j ON j.key = c.key AND j.i = c.i + 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY ts, event_id) AS nth FROM e), f AS (SELECT *, CASE WHEN nth <= 3 THEN row_number() OVER (PARTITION BY day, nth <= 3 ORDER BY ts, event_id) END AS place FROM n),
+r AS (SELECT DISTINCT key FROM e WHERE day = (SELECT min(day) FROM e))
+SELECT f.event_id, CASE WHEN b.had < 1 THEN 'refused' WHEN event_type <> 'purchase' AND r.key IS NOT NULL AND f.day > (SELECT min(day) FROM e) THEN 'precomputed' WHEN event_type <> 'purchase' AND c.hit THEN 'cache'
+WHEN coalesce(place <= 150, false) THEN CASE WHEN event_type = 'error' THEN 'live_degraded' ELSE 'live' END WHEN r.key IS NOT NULL AND f.day > (SELECT min(day) FROM e) THEN 'precomputed' WHEN c.hit THEN 'cache' ELSE 'live_degraded' END AS served
+FROM f JOIN b USING (event_id) JOIN c USING (event_id) LEFT JOIN r ON r.key = f.key""")
 def served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as requests: some refused, some recorded or cached, every seventh asking to run again, the budget by value."""
-    i = F.col("event_id")
-    how = runs.served(i % 11 != 0, i % 3 == 0, i % 5 == 0, F.coalesce(F.col("value") > 50, F.lit(False)), i % 7 == 0, F.col("event_type") == "error")
-    return table(spark, sf_dir, "events").select("event_id", how.alias("served"))
+    """Events as requests, through the policies themselves: the token bucket of each user refuses, what was asked for on the first day is
+    recorded, an answer is cached for a day, and the day's budget (three for each user, 150 for all) is what is left for live answers;
+    purchases ask to run again, and errors degrade."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("client"), F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), X.utc_day(F.col("ts").cast("timestamp")).alias("day"), "event_type")
+    allowed = policies.token_bucket(e, 1).select("event_id", "allowed")
+    hits = policies.cached(e, 86_400.0).select("event_id", "hit")
+    budget = policies.admitted(e.select("event_id", "client", "day", "at"), 3, 150).select("event_id", F.col("reason").isNull().alias("budget"))
+    first = F.lit(e.agg(F.min("day")).first()[0])
+    recorded = e.where(F.col("day") == first).select("key").distinct().withColumn("recorded", F.lit(True))
+    all_ = e.join(allowed, "event_id").join(hits, "event_id").join(budget, "event_id").join(recorded, "key", "left")
+    how = runs.served(F.col("allowed"), F.coalesce("recorded", F.lit(False)) & (F.col("day") > first), F.col("hit"), F.col("budget"), F.col("event_type") == "purchase", F.col("event_type") == "error")
+    return all_.select("event_id", how.alias("served"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id::VARCHAR AS client, strftime(ts, '%Y-%m-%d') AS day, event_type = 'error' AS back, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT DISTINCT day, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0 AS total, MAP([]::VARCHAR[], []::INT[]) AS used, NULL::VARCHAR AS reason FROM e UNION ALL
+SELECT day, i, event_id, CASE WHEN back THEN greatest(total - 1, 0) WHEN reason IS NULL THEN total + 1 ELSE total END, CASE WHEN back AND mine > 0 THEN map_concat(used, MAP([client], [mine - 1])) WHEN NOT back AND reason IS NULL THEN map_concat(used, MAP([client], [mine + 1])) ELSE used END, reason
+FROM (SELECT *, CASE WHEN back THEN NULL WHEN mine >= 3 THEN 'client_daily' WHEN total >= 150 THEN 'global_daily' END AS reason FROM (SELECT e.*, w.total, w.used, coalesce(w.used[e.client], 0) AS mine FROM w JOIN e ON e.day = w.day AND e.i = w.i + 1)))
+SELECT event_id, day, reason FROM w WHERE i > 0""")
+def refunded_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily budget when every error gives its request back."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), X.utc_day(F.col("ts").cast("timestamp")).alias("day"), F.when(F.col("event_type") == "error", "refund").otherwise("request").alias("kind"))
+    return policies.admitted_with_refunds(e, 3, 150).select("event_id", "day", "reason")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'u' || user_id WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'peer' END ELSE 'u' || event_id END AS trusted, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'peer' END AS untrusted FROM events""")
