@@ -395,6 +395,15 @@ def test_bare_rights_notice_is_found(spark):
     assert [[x["family"] for x in r["licences"]] for r in got] == [["proprietary"], ["proprietary"], [], []]
 
 
+def test_licence_probabilities_are_calibrated():
+    """On labelled paragraphs that the model hasn't seen, the unknown class among them."""
+    temperature, error, right = licences.held_out()
+    rows = licences.labelled_paragraphs()
+    assert len(rows) > 1500 and 0.1 < temperature < 4 and error < 0.03 and right > 0.93
+    assert {f for _, f in rows} == {*licences.TEMPLATES, licences.UNKNOWN}
+    assert rows == licences.labelled_paragraphs()
+
+
 def test_every_licence_line_of_the_test_tables_is_found(spark):
     lines = ["All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
