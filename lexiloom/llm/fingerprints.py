@@ -104,7 +104,7 @@ def in_ranges(df: DataFrame, column: str, tie: str, ranges: int) -> DataFrame:
     """
     shares = [i / ranges for i in range(1, ranges)]
     null = F.coalesce(F.col(column), F.lit(-(1 << 63)))
-    bounds = df.agg(F.percentile_approx(null, shares, 10_000).alias("b")).first()["b"] if shares else None
+    bounds = df.agg(F.percentile_approx(null, shares, max(10_000, 4 * ranges)).alias("b")).first()["b"] if shares else None
     if not bounds:
         return df.withColumn("_range", F.lit(0).cast("long"))
     times = Counter(bounds)
@@ -119,6 +119,10 @@ def in_ranges(df: DataFrame, column: str, tie: str, ranges: int) -> DataFrame:
     return found.withColumn("_range", F.col("_bound").cast("long") * (1 << 32) + F.coalesce(part, F.lit(0))).drop("_bound")
 
 
+#: Rows, and bytes of texts, that a range has at most on the average, whatever the number of shuffle partitions.
+RANGE_ROWS, RANGE_BYTES = 20_000, 64_000_000
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str, count: int = SAMPLES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are.
 
@@ -127,7 +131,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str, count: int = SAMPLES) ->
     a null doc_id is below all others. A null or empty text has a fingerprint of zeros; rows that repeat are rows.
     """
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    ranged = in_ranges(docs, "doc_id", "_hash", 4 * partitions(spark))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranged = in_ranges(docs, "doc_id", "_hash", max(4 * partitions(spark), -(-rows // RANGE_ROWS), -(-size // RANGE_BYTES)))
     # descending doc_id, null last, then the part of a hot doc_id and the hash, both ascending
     place = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("_range").alias("part"), F.col("_hash").alias("hash"))
     slim = ranged.select("_range", place.alias("place")).groupBy("_range").agg(F.min("place").alias("first")).collect()  # a row for each range
