@@ -237,6 +237,44 @@ def test_language_from_text_only(spark, folder, rows):
     assert got[104]["lang_pred"] == got[105]["lang_pred"]
 
 
+def brute_profile(text):
+    """The sum of the bound letters of a text's trigrams, and whether it has a letter."""
+    padded = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    padded = re.sub(" +", " ", padded + " ")
+    letter = {c: language.letter_vector(ord(c)).astype(np.int64) for c in set(padded)}
+    total = np.zeros(language.DIM, np.int64)
+    for gram, n in Counter(padded[i : i + 3] for i in range(len(padded) - 2)).items():
+        total += n * np.roll(letter[gram[0]], 2) * np.roll(letter[gram[1]], 1) * letter[gram[2]]
+    return total, any(c.isalpha() for c in text or "")
+
+
+def test_predictions_against_plain_numpy(spark, folder, rows):
+    prototypes = {}
+    for doc, text, lang, *_ in rows:
+        if text is not None and lang is not None and zlib.crc32(str(doc if doc is not None else "").encode()) % 3 != 1:
+            prototypes[lang] = prototypes.get(lang, 0) + brute_profile(text)[0]
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in QUERIES["op3_language"](spark, folder).collect())
+    want = Counter()
+    for doc, text, *_ in rows:
+        own, any_letter = brute_profile(text)
+        cosines = {x: float(own @ p / np.linalg.norm(p) / max(1e-9, np.linalg.norm(own))) for x, p in sorted(prototypes.items())}
+        best = max(cosines, key=cosines.get)
+        want[(doc, best, round(min(1.0, max(0.0, cosines[best])), 9)) if any_letter else (doc, "und", 0.0)] += 1
+    assert got == want
+
+
+def test_held_out_accuracy(spark, tmp_path):
+    """Two invented languages of other syllables: of documents that nothing was learned from, 97 of 100 are told right."""
+    import random
+
+    r, kinds = random.Random(4), {"xa": ("ka", "lo", "mi", "ten", "ra", "su"), "xb": ("ke", "lu", "mo", "tin", "re", "so")}
+    prose = lambda syllables: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(12))
+    made = [(i, prose(kinds[x]), x, "s", 1) for i in range(400) for x in [("xa", "xb")[i % 2]]]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in QUERIES["op3_language"](spark, str(tmp_path)).collect() if r["held_out"]]
+    assert len(got) > 80 and sum(r["lang_pred"] == made[r["doc_id"]][2] for r in got) >= 0.97 * len(got)
+
+
 def test_bundle_equals_the_sum_of_bound_letters():
     b = language.Bundler(dim=64)
     text = "Ab, c!"
@@ -329,6 +367,23 @@ def test_packing_places_every_id_once(spark, docs, rows, tokenizer):
         assert at <= 2048
 
 
+def test_packing_pads_little_and_counts_as_the_library(spark, folder, rows, tokenizer):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    got = QUERIES["op4_packing"](spark, folder).collect()
+    want = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, *_ in rows)
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in filled.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+    total = sum(n * k for (_, n), k in want.items())
+    assert sum(r["length"] for r in got) == total and len(filled) <= -(-total // 2048) * 1.03 + 1
+
+
 # --- 5 sharding
 
 
