@@ -171,8 +171,9 @@ class _Join:
         return out if found[0] == found[1] else out.dropDuplicates(["node"])
 
 
-#: Tokens of the members of a group, and of its queries, that are compared at once; tokens of a slice of their matrix.
-BLOCK_TOKENS, SLICE = 400_000, 2_048
+#: Tokens, and sets, of the members of a group, and of its queries, that are compared at once; tokens of a slice of their matrix;
+#: queries whose overlaps are judged at once.
+BLOCK_TOKENS, BLOCK_SETS, SLICE, STRIP = 400_000, 4_000, 2_048, 256
 
 
 def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -197,9 +198,12 @@ def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
             common = np.zeros((len(q), len(m)), dtype=np.float32)
             for a in range(0, len(tokens), SLICE):
                 common += matrix(q_sets, tokens[a : a + SLICE]) @ matrix(m_sets, tokens[a : a + SLICE]).T
-            whole = np.rint(common).astype(np.int64)
-            sizes = np.array([len(x) for x in q_sets])[:, None] + np.array([len(x) for x in m_sets])[None, :]
-            linked = whole * rule.den >= (sizes - whole) * rule.num
+            q_sizes, m_sizes = (np.array([len(x) for x in sets]) for sets in (q_sets, m_sets))
+            linked = np.zeros(common.shape, dtype=bool)
+            for a in range(0, len(q), STRIP):
+                whole = np.rint(common[a : a + STRIP]).astype(np.int64)
+                linked[a : a + STRIP] = whole * rule.den >= (q_sizes[a : a + STRIP, None] + m_sizes[None, :] - whole) * rule.num
+            del common
             roots, parent = m["root"].to_numpy(), {}
 
             def find(x: int) -> int:
@@ -222,11 +226,12 @@ def _spanning(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between the queries (node, grp, root, n) of groups and the groups' members (node, grp, root, n).
 
-    A group's queries and members are dealt into blocks of about BLOCK_TOKENS, and each block of queries meets each block
+    A group's queries and members are dealt into blocks of about BLOCK_TOKENS or BLOCK_SETS, and each block of queries meets each block
     of members in one task: no task holds a whole group.
     """
-    asked = queries.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("q_blocks"))
-    held = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("m_blocks"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    asked = queries.groupBy("grp").agg(blocks.alias("q_blocks"))
+    held = members.groupBy("grp").agg(blocks.alias("m_blocks"))
     shape = staged(asked.join(held, "grp").select(F.col("grp").alias("_grp"), "q_blocks", "m_blocks"), "shape")
     q = queries.join(shape, F.col("grp") == F.col("_grp")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("q_blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
     m = members.join(shape, F.col("grp") == F.col("_grp")).withColumn("j", F.pmod(F.xxhash64("node"), F.col("m_blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
