@@ -172,6 +172,26 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "chunk_id", "kind", "text")
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, role, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS own FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, list_filter(string_split(regexp_replace(own, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')[-1] AS last FROM t),
+c AS (SELECT conv_id, i AS ordinal, 1 AS page, 'spec' AS kind, 'Talk ' || conv_id || ' — turn: ' || turn || '; role: ' || role AS text FROM s UNION ALL SELECT conv_id, n + i, 1, 'procedure', 'Talk ' || conv_id || ' — step ' || (i + 1) || ': say ' || length(own) || ' signs as ' || role FROM s
+UNION ALL SELECT conv_id, 2 * n + i, 2, 'prose', concat_ws(' ', lag(last) OVER (PARTITION BY conv_id ORDER BY turn), own) FROM s)
+SELECT conv_id, ordinal::INT AS ordinal, printf('%d#%04d', conv_id, ordinal) AS chunk_id, page::INT AS page, 'Talk ' || conv_id AS section, kind, text FROM c""")
+def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunker over a Markdown report of each conversation: a table of its turns, numbered steps that run over two lines, and on
+    a second page its texts as paragraphs."""
+    own = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    t = table(spark, sf_dir, "conversations").withColumn("own", own)
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.length("own").alias("signs"))))
+    part = lambda of, between: F.array_join(F.transform("turns", of), between)
+    rows = part(lambda x: F.concat(F.lit("| "), x["turn"].cast("string"), F.lit(" | "), x["role"], F.lit(" |")), "\n")
+    steps = part(lambda x, i: F.concat((i + 1).cast("string"), F.lit(". say "), x["signs"].cast("string"), F.lit(" signs\n   as "), x["role"]), "\n")
+    head = F.concat(F.lit("# Talk "), F.col("conv_id").cast("string"), F.lit("\n<!-- page: 1 -->\n\n| turn | role |\n|---|---|\n"))
+    markdown = F.concat(head, rows, F.lit("\n\n"), steps, F.lit("\n\n<!-- page: 2 -->\n"), part(lambda x: x["text"], "\n\n"), F.lit("\n"))
+    docs = t.groupBy("conv_id").agg(turns.alias("turns")).select(F.col("conv_id").alias("doc_id"), markdown.alias("text"))
+    return chunking.chunk_documents(docs).select(F.col("doc_id").cast("long").alias("conv_id"), "ordinal", "chunk_id", "page", "section", "kind", "text")
+
+
 _TERMS = ["valve", "licensed", "model", "data", "river", "training"]
 
 
