@@ -1,8 +1,9 @@
-"""Text columns: folding, normal forms, tokens, numbers, keys. All but ``fold_exact`` stay in the JVM."""
+"""Text columns: folding, normal forms, tokens, numbers, keys. All but the two ``_exact`` functions stay in the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,47 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
+#: Hangul syllables decompose by arithmetic into letters of three rows.
+_HANGUL, _LEADS, _VOWELS_, _TAILS = 0xAC00, *("".join(chr(start + i) for i in range(n)) for start, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+@lru_cache
+def _fold_tables() -> tuple[str, str, str, list[str]]:
+    """Of all characters but Hangul syllables, by case folding and canonical decomposition: those that fold to another one, what these
+    fold to (shorter by those that fold to nothing), those that fold to several, and what these fold to."""
+    one, to, gone, many, parts = [], [], [], [], []
+    for code in range(0x110000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or _HANGUL <= code < _HANGUL + 19 * 588:
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if not unicodedata.combining(x))
+        if len(folded) > 1:
+            many.append(c)
+            parts.append(folded)
+        elif not folded:
+            gone.append(c)
+        elif folded != c:
+            one.append(c)
+            to.append(folded)
+    return "".join(one + gone), "".join(to), "".join(many), parts
+
+
+def fold_full(text: Column) -> Column:
+    """What ``fold_exact`` gives, for all of Unicode, in the JVM: characters that fold to one or to none are translated together; a
+    text that has others is taken apart, and only then."""
+    source, target, many, parts = _fold_tables()
+    listed = F.array(*[F.lit(p) for p in parts])
+    code = lambda c: F.ascii(c) - _HANGUL
+    letter = lambda row, i: F.substring(F.lit(row), i + 1, F.lit(1))
+    at = lambda n: F.floor(n).cast("int")
+    jamo = lambda c: F.concat(letter(_LEADS, at(code(c) / 588)), letter(_VOWELS_, at(code(c) % 588 / 28)), F.when(code(c) % 28 > 0, letter(_TAILS, at(code(c) % 28 - 1))).otherwise(""))
+    syllable = lambda c: code(c).between(0, 19 * 588 - 1)
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c == "", c).when(syllable(c), jamo(c)).when(F.contains(F.lit(many), c), F.get(listed, F.instr(F.lit(many), c) - 1)).otherwise(c)), "")
+    swapped = F.translate(text, source, target)
+    escaped = "".join(f"\\x{{{ord(c):x}}}" for c in many)
+    return F.when(swapped.rlike(rf"[\x{{ac00}}-\x{{d7a3}}{escaped}]"), apart(swapped)).otherwise(swapped)
+
+
 @F.pandas_udf(T.StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without combining marks; null stays null."""

@@ -241,6 +241,12 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, replace(strip_accents(lower(text)), 'ß', 'ss') AS folded FROM documents")
+def fold_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folding that knows all of Unicode."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.fold_full(F.col("text")).alias("folded"))
+
+
 @query(r"SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS question FROM conversations")
 def normalize_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normalize_question(F.col("text")).alias("question"))

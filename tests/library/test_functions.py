@@ -104,3 +104,11 @@ def test_exact_question_and_tolerance_on_words(spark):
     assert [r[0] for r in df.select(X.normalize_question_exact("a")).collect()] == ["\u00e7a strasse ss", None]
     with pytest.raises(Exception, match="a tolerance needs a number"):
         df.select(X.value_matches(F.lit("three"), F.col("b"), F.lit(0.5))).collect()
+
+
+def test_full_fold_on_all_code_points(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(map(chr, codes[i : i + 500])) for i in range(0, len(codes), 500)] + ["", "Straße ﬁn 각각 e\u0301 İ", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", X.fold_full(F.col("t")).alias("f"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["f"] for r in df.collect()] == [r[0] for r in df.select(X.fold_exact("t")).collect()]
