@@ -72,9 +72,12 @@ class VectorIndex:
         rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("size(vector) > 0")
         n = rows.count()
         wanted = min(CELLS, cells or max(1, n // CELL))
+        if wanted == 1:  # one cell has all vectors, and needs no centre
+            self.centres, self.radii, self.slices = np.zeros((1, 1)), np.array([np.pi]), np.array([max(1, -(-n // SLICE))])
+            self.rows = rows.withColumn("cell", F.lit(0)).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(int(self.slices[0]))))
+            return
         some = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
-        self.centres = _unit(some["vector"]) if len(some) else np.zeros((1, 1))
-        centres = self.centres
+        self.centres = centres = _unit(some["vector"])
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -94,6 +97,9 @@ class VectorIndex:
         """(qid, vector, cell, slice, block) of the cells that a query (qid, vector, kth, block) meets: the ``nearest``, or all whose
         bound reaches kth."""
         centres, radii, slices = self.centres, self.radii, self.slices
+        if len(centres) == 1:
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(slices[0]) - 1).cast("long"))).alias("slice")
+            return asked.select("qid", "vector", "block", F.lit(0).alias("cell"), every)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

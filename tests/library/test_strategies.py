@@ -71,6 +71,19 @@ def test_draws_and_lookup(spark, chunks):
     assert showcase.for_record(chunks).columns == ["chunk_id", "tier", "title", "page"]
 
 
+def test_draws_in_tasks(spark, chunks):
+    asked = spark.createDataFrame([(1, "valve clearance"), (2, "zzz"), (3, "bolt")], "qid int, question string")
+
+    def generate(question, prompt):
+        if question == "bolt":
+            raise RuntimeError("quota")
+        return f'{{"abstained": false, "claims": [{{"text": "{len(prompt) > 0}", "citations": [1]}}]}}', 5, 2
+
+    got = showcase.draw_in_tasks(retrievers.available(chunks), asked, chunks, generate, n=2, tasks=3).collect()
+    assert sorted((r["qid"], r["sample"], r["payload"] is None, r["tokens_in"], r["generate_ms"] is None) for r in got) == [("1", 0, False, 5, False), ("1", 1, False, 5, False), ("2", 0, False, 0, True), ("2", 1, False, 0, True), ("3", 0, True, 0, False), ("3", 1, True, 0, False)]
+    assert all(list(r["context"])[:1] == ["a"] for r in got if r["qid"] == "1") and showcase.draw_in_tasks({}, asked, chunks, generate).count() == 0
+
+
 def test_command_line_parses():
     args = parser().parse_args(["ingest", "c", "a", "--embedder", "hashed"])
     assert (args.corpus, args.artifact, args.embedder) == ("c", "a", "hashed")
