@@ -44,6 +44,54 @@ def matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(strict, F.col("qid") == F.col("_qid")).drop("_qid").where(~F.col("strict") | (F.col("held") == F.col("wanted")))
 
 
+#: Chunks of a block of an impact index, on the average; blocks that a question opens before it has a bound.
+BLOCK_CHUNKS, PROBED = 64, 4
+
+
+class ImpactIndex:
+    """Postings in blocks with upper bounds, for the first k of a question by the number of times its lexemes stand in a chunk.
+
+    Chunks of like length lie in a block, so that what a block can give at most is not far above what its chunks give. A
+    question opens its PROBED most promising blocks first, which gives its k-th best count at least, and then those alone
+    whose bound reaches that. So a question of common words doesn't score every chunk, and no window sees all its hits.
+    """
+
+    def __init__(self, index: DataFrame) -> None:
+        """index (chunk_id, lexeme, positions), as ``postings`` gives it."""
+        rows = index.select("chunk_id", "lexeme", F.size("positions").alias("times"))
+        sizes = rows.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.floor(F.log2(F.sum("times").cast("double")) * 4).cast("int").alias("class"))
+        parts = sizes.groupBy(F.col("class").alias("_class")).agg(F.ceil(F.count("*") / BLOCK_CHUNKS).alias("parts"))
+        dealt = sizes.join(F.broadcast(parts), F.col("class") == F.col("_class"))  # a row for each quarter of a binary order of length
+        placed = dealt.select("_chunk", F.struct("class", F.pmod(F.xxhash64("_chunk"), F.col("parts")).alias("part")).alias("block"))
+        self.rows = rows.join(placed, F.col("chunk_id") == F.col("_chunk")).drop("_chunk")
+        self.bounds = self.rows.groupBy("block", "lexeme").agg(F.max("times").alias("most"))
+
+    def promised(self, lexemes: DataFrame) -> DataFrame:
+        """(qid, block, upper): what each block can give a question (qid, lexeme) at most."""
+        return sized(lexemes).join(self.bounds, "lexeme").groupBy("qid", "block").agg(F.sum("most").alias("upper"))
+
+    def _scored(self, lexemes: DataFrame, opened: DataFrame) -> DataFrame:
+        asked = opened.select("qid", "block").join(lexemes, "qid").select("qid", F.col("block").alias("_block"), F.col("lexeme").alias("_lexeme"))
+        return asked.join(self.rows, (F.col("block") == F.col("_block")) & (F.col("lexeme") == F.col("_lexeme"))).groupBy("qid", "chunk_id").agg(F.sum("times").alias("hits"))
+
+    def opened(self, lexemes: DataFrame, k: int = 10) -> DataFrame:
+        """(qid, block, upper) of the blocks that can hold one of a question's first k."""
+        every = self.promised(lexemes)
+        best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("upper"), "block"))
+        some = self._scored(lexemes, every.withColumn("_n", best).where(F.col("_n") <= PROBED))
+        place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("hits")))
+        kth = some.withColumn("_n", place).where(F.col("_n") == k).select(F.col("qid").alias("_qid"), F.col("hits").alias("_kth"))
+        return every.join(kth, F.col("qid") == F.col("_qid"), "left").where(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth"))).select("qid", "block", "upper")
+
+    def search(self, lexemes: DataFrame, k: int = 10) -> DataFrame:
+        """(qid, position, chunk_id, hits): the first k by hits, of equal ones by chunk_id, exactly. Lexemes of a question that
+        repeat count once; chunks without any of them are left out."""
+        lexemes = lexemes.select("qid", "lexeme").distinct()
+        order = W.partitionBy("qid").orderBy(F.desc("hits"), "chunk_id")
+        found = self._scored(lexemes, self.opened(lexemes, k)).withColumn("position", F.row_number().over(order))
+        return found.where(F.col("position") <= k).select("qid", "position", "chunk_id", "hits")
+
+
 def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, chunk_id, lexical): the chunks that match each question (qid, question), with their cover density. A question of
     stop words has none."""

@@ -354,6 +354,18 @@ def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.trigram_signal(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), chunks)
 
 
+@query(f"""WITH d AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents), q AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark),
+h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS position FROM h)
+SELECT item_id, position::INT AS position, doc_id, hits FROM r WHERE position <= 10""")
+def impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every benchmark text the ten documents in which its words stand most often, by blocks with upper bounds."""
+    words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    placed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(words(F.col("text"))).alias("pos", "lexeme"))
+    index = placed.groupBy("chunk_id", "lexeme").agg(F.collect_list("pos").alias("positions"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words(F.col("text"))).alias("lexeme"))
+    return lexical.ImpactIndex(index).search(asked).select(F.col("qid").alias("item_id"), "position", F.col("chunk_id").alias("doc_id"), "hits")
+
+
 @query(f"""WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents), q AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
 p AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d), h AS (SELECT item_id, id, q.w, pos FROM q JOIN p ON p.w = q.w), s AS (SELECT item_id, id, n FROM h JOIN n USING (item_id) GROUP BY ALL HAVING count(DISTINCT w) = n),
 a AS (SELECT h.* FROM h JOIN s USING (item_id, id)), e AS (SELECT x.item_id, x.id, x.pos AS start, y.w, min(y.pos) AS nearest FROM (SELECT DISTINCT item_id, id, pos FROM a) x JOIN a y ON y.item_id = x.item_id AND y.id = x.id AND y.pos >= x.pos GROUP BY ALL),

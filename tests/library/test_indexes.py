@@ -62,6 +62,26 @@ def test_fused_ranks_equal_windows_over_all(spark):
         assert [(x["chunk_id"], x["position"]) for x in sorted((x for x in got if x["qid"] == q), key=lambda x: x["position"])] == [(c, i) for i, (_, c) in enumerate(sorted(scored)[:7], 1)]
 
 
+def test_impact_blocks_give_the_first_and_skip_others(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 5)
+    r, common = random.Random(10), ["de", "a", "o", "que"]
+    texts = [[r.choice(common + WORDS) for _ in range(r.choice([4, 6, 8, 60, 90]))] for _ in range(200)]
+    rows = [(c, w, [i for i, x in enumerate(t) if x == w]) for c, t in enumerate(texts) for w in set(t)]
+    asked = [(1, "de"), (1, "a"), (1, "a"), (2, "motor"), (2, "nowhere"), (3, "nowhere"), *[(4, w) for w in WORDS]]
+    index = lexical.ImpactIndex(spark.createDataFrame(rows, "chunk_id int, lexeme string, positions array<int>"))
+    lexemes = spark.createDataFrame(asked, "qid int, lexeme string")
+    got = {}
+    for x in index.search(lexemes, 10).collect():
+        got.setdefault(x["qid"], {})[x["position"]] = (-x["hits"], x["chunk_id"])
+    for q in (1, 2, 4):
+        wanted = {w for i, w in asked if i == q}
+        best = sorted((-n, c) for c, t in enumerate(texts) if (n := sum(w in wanted for w in t)))[:10]
+        assert [got[q][i] for i in sorted(got[q])] == best
+    assert 3 not in got
+    share = index.opened(lexemes.distinct(), 10).count() / index.promised(lexemes.distinct()).count()
+    assert share < 0.5
+
+
 def brute_density(lists):
     """Every shortest interval of positions that has all lexemes."""
     if not lists or any(not x for x in lists):
