@@ -85,7 +85,8 @@ def _by_position():
 
 def with_cost(answers: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
     """answers (model, tokens_in, tokens_out) with tokens_total and cost_usd, exact decimals; null for an unknown model;
-    missing and negative counts are 0. Prices are those of a million tokens, in and out, by model."""
+    missing and negative counts are 0. Prices are those of a million tokens, in and out, by model; the table of them that is
+    sent to all tasks has a row for each entry of the dictionary."""
     table = answers.sparkSession.createDataFrame([(m, f"{i}", f"{o}") for m, (i, o) in prices.items()], "model string, p_in string, p_out string")
     count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("decimal(18,0)")
     price = lambda c: F.col(c).cast("decimal(12,6)")
