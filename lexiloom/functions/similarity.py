@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,24 @@ def trigrams(text: str) -> list[str]:
 
 def word_similarity(query: str, text: str, floor: float = 0.0) -> float:
     """The greatest share |Q & E| / |Q | E| over runs E of the text's trigrams, Q being the query's; 0 if below floor."""
-    found = trigrams(text)
-    return extent_similarity(frozenset(trigrams(query)), found, frozenset(found), floor)
+    found, wanted = trigrams(text), frozenset(trigrams(query))
+    return extent_similarity(wanted, found, frozenset(found), floor or _some_share(wanted, found))
+
+
+def _some_share(wanted: frozenset[str], found: list[str]) -> float:
+    """The best share of runs from thirty-odd starts: what the best of all runs has at least, so that few starts are left to look at."""
+    best = 0.0
+    for start in range(0, len(found), max(1, len(found) // 32)):
+        hits, strangers = set(), set()
+        for t in islice(found, start, None):
+            if t in wanted:
+                hits.add(t)
+                best = max(best, len(hits) / (len(wanted) + len(strangers)))
+            else:
+                strangers.add(t)
+                if len(wanted) < best * (len(wanted) + len(strangers)):
+                    break
+    return best
 
 
 def extent_similarity(wanted: frozenset[str], found: list[str], held: frozenset[str], floor: float = 0.0) -> float:
@@ -128,6 +145,124 @@ def word_similarity_at(floor: float) -> Callable[..., Column]:
 
     return F.pandas_udf(run, T.FloatType())
 
+#: Cells of the table of a batch's texts by trigrams, characters of a batch, places between starts of runs that are bounded together, and
+#: of starts that are looked at together.
+CELLS, CHARACTERS, STRIDE, STRIP = 4_000_000, 1_000_000, 32, 64
+
+
+def _padded(text: str | None) -> str:
+    """The words of a text so that its windows of three characters, but those of two blanks at the end, are its trigrams."""
+    return f"  {'   '.join(_RUN.findall((text or '').lower()))} "
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of padded texts as numbers, in order and with repeats, and for each the place of its text."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    whole = (signs[1:-1] != 32) | (signs[2:] != 32)
+    return ((signs[:-2] << 42) | (signs[1:-1] << 21) | signs[2:])[whole], owner[:-2][whole]
+
+
+def _before(found: np.ndarray) -> np.ndarray:
+    """For each place where its value stood last, -1 where it is new."""
+    order = np.argsort(found, kind="stable")
+    before, again = np.full(len(found), -1), found[order[1:]] == found[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    return before
+
+
+def _reach(found: np.ndarray, hits: np.ndarray, most: np.ndarray, sizes: np.ndarray, least: np.ndarray, floor: float) -> np.ndarray:
+    """Which queries can have a run of ``found`` that reaches the floor: hits (place, query) tells the query's trigrams, ``most`` how many of
+    its ``sizes`` the text holds, ``least`` how many it needs.
+
+    A run with h of the query's has no more than h (1 + floor) / floor - size distinct trigrams. So it lies in the longest
+    run of so many, and STRIDE more, from the start before its own; what that holds of the query's bounds h, which bounds it again.
+    """
+    n, slope = len(found), (1 + floor) / floor
+    before, alive = _before(found), np.zeros(len(most), bool)
+    for first in range(0, n, STRIDE * STRIP):
+        starts = np.arange(first, min(n, first + STRIDE * STRIP), STRIDE)
+        last, width, widest = starts[-1], 512, (most * slope - sizes).max() + STRIDE
+        while last + width < n and np.count_nonzero(before[last : last + width] < last) <= widest:
+            width *= 2
+        places = np.arange(first, min(n, last + width))
+        new = (before[places] < starts[:, None]) & (places >= starts[:, None])
+        distinct, mine = np.cumsum(new, axis=1, dtype=np.int32), hits[places]
+        open_ = np.flatnonzero(~alive)
+        for group in np.array_split(open_[np.argsort((most * slope - sizes)[open_])], max(1, len(open_) // 5)):
+            held, bound = most[group], np.inf
+            while len(group):
+                tighter = (held * slope - sizes[group]).max() + STRIDE + 1e-6
+                if tighter > bound - 4:
+                    alive[group] = True
+                    break
+                bound = tighter
+                held = ((new & (distinct <= bound)).astype(np.float32) @ mine[:, group]).max(axis=0)
+                group, held = group[held >= least[group]], held[held >= least[group]]
+    return alive
+
+
+def _batches(texts: list[str], width: int) -> list[slice]:
+    cuts, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > start and (size + len(t) > CHARACTERS or (i - start + 1) * width > CELLS):
+            cuts.append(slice(start, i))
+            start, size = i, 0
+        size += len(t)
+    return [*cuts, slice(start, len(texts))]
+
+
+def meeting(floor: float, extents: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of texts (chunk_id, text) and queries (qid, question): the pairs (qid, chunk_id, held, trigram) whose text holds
+    ``floor`` of the query's distinct trigrams at least, and how many; with ``extents`` only those of that word similarity, which is
+    null without.
+
+    Texts by trigrams times trigrams by queries counts what all pairs have in common; what passes is bounded by runs of few distinct
+    trigrams, and only what is left is compared extent by extent.
+    """
+
+    def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        wanted = [np.unique(_codes([_padded(q)])[0]) for q in queries["question"].to_pylist()]
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *wanted]))
+        sizes = np.array([len(w) for w in wanted])
+        least = np.maximum(1, np.ceil(sizes * floor - 1e-9))
+        asks = np.zeros((len(known), len(wanted)), np.float32)
+        for i, w in enumerate(wanted):
+            asks[np.searchsorted(known, w), i] = 1
+        sets: dict[int, frozenset[int]] = {}
+        texts, rows, asked, counts, values = [_padded(t) for t in chunks["text"].to_pylist()], [], [], [], []
+        for part in _batches(texts, len(known)) if len(known) and texts else []:
+            found, owner = _codes(texts[part])
+            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[place] == found
+            table = np.zeros((part.stop - part.start, len(known)), np.float32)
+            table[owner[hit], place[hit]] = 1
+            held = table @ asks
+            row, query = np.nonzero(held >= least)
+            if not extents:
+                rows, asked, counts = [*rows, row + part.start], [*asked, query], [*counts, held[row, query]]
+                continue
+            ends = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
+            for r in np.unique(row):
+                a, b, own = ends[r], ends[r + 1], query[row == r] if len(row) < 64 else query[np.searchsorted(row, r) : np.searchsorted(row, r, "right")]
+                if floor:
+                    hits = np.where(hit[a:b, None], asks[np.ix_(place[a:b], own)], np.float32(0))
+                    own = own[_reach(found[a:b], hits, held[r, own], sizes[own], least[own], floor)]
+                if not len(own):
+                    continue
+                order = found[a:b].tolist()
+                inside = frozenset(order)
+                for q in own.tolist():
+                    value = extent_similarity(sets.setdefault(q, frozenset(wanted[q].tolist())), order, inside, floor)
+                    if value:
+                        rows, asked, counts, values = [*rows, [r + part.start]], [*asked, [q]], [*counts, [held[r, q]]], [*values, value]
+        flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0), *parts]).astype(kind))
+        picked, by = chunks.take(flat(rows, np.int64)), queries.take(flat(asked, np.int64))
+        shares = pa.array(np.array(values, np.float32)) if extents else pa.nulls(len(picked), pa.float32())
+        return pa.table({"qid": by["qid"], "chunk_id": picked["chunk_id"], "held": flat(counts, np.int32), "trigram": shares})
+
+    return run
+
 
 def common_run(left: list[str], right: list[str]) -> int:
     """Length of the longest run of tokens that both hold: one row of the table for each token of the shorter one."""

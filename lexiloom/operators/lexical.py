@@ -10,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from lexiloom.functions.analysis import analyze, cover_density
 from lexiloom.functions.metrics import fused
-from lexiloom.functions.similarity import trigram_array, word_similarity_at, word_similarity_of
+from lexiloom.functions.similarity import meeting, word_similarity_of
 from lexiloom.operators.dense import clamped
+from lexiloom.sources.stored import cut
 
 LEXICAL_WEIGHT, TRIGRAM_WEIGHT, DAMPING, FLOOR = 0.7, 0.3, 60, 0.6
 #: Rows of a question index that are sent to all executors, after they have been counted; larger ones are shuffled.
 SENT_ROWS = 500_000
+#: Questions that meet a slice of chunks together, and bytes of text of a slice, on the average.
+QUESTIONS, SLICE_BYTES = 256, 8_000_000
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -26,22 +30,46 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, lexeme, positions) of chunks (chunk_id, text)."""
-    words = chunks.select("chunk_id", F.explode(analyze(F.coalesce("text", F.lit("")))).alias("w"))
-    return words.groupBy("chunk_id", F.col("w.lexeme").alias("lexeme")).agg(F.sort_array(F.collect_list("w.pos")).alias("positions"))
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, lexeme, positions) of chunks (chunk_id, text), or of those lexemes alone that ``only`` (lexeme) has. Texts are dealt out by chunk_id before they are analyzed, so that a
+    chunk's words are put together where they are, as is what a question hits of them."""
+    words = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", F.explode(analyze(F.coalesce("text", F.lit("")))).alias("w")).select("chunk_id", "w.lexeme", "w.pos")
+    if only is not None:
+        words = words.join(sized(only.select("lexeme").distinct()), "lexeme")
+    return words.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def _hits(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, chunk_id, wanted, held[, total]): of questions' lexemes (qid, lexeme, wanted) those that each chunk holds, counted, and the
+    number of their positions, if the index has these. Nothing is shuffled where a chunk's lexemes lie together."""
+    total = [F.sum(F.size("positions")).alias("total")] if "positions" in index.columns else []
+    return sized(asked).join(index, "lexeme").groupBy("qid", "chunk_id", "wanted").agg(F.count("*").alias("held"), *total)
+
+
+def _asked(lexemes: DataFrame) -> DataFrame:
+    return lexemes.join(lexemes.groupBy("qid").agg(F.count("*").alias("wanted")), "qid")
+
+
+def strict_matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, chunk_id, wanted, held, total, strict, lists) of the chunks that hold all of a question's distinct lexemes (qid, lexeme);
+    lists has the positions of each. Lexemes are counted first: positions are put together for the pairs that are left."""
+    hits = _hits(_asked(lexemes), index)
+    whole = cut(hits.where(F.col("held") == F.col("wanted")).withColumn("strict", F.lit(True)))
+    places = sized(whole.select("qid", "chunk_id").join(lexemes, "qid")).join(index, ["chunk_id", "lexeme"])
+    return whole.join(places.groupBy("qid", "chunk_id").agg(F.collect_list("positions").alias("lists")), ["qid", "chunk_id"])
 
 
 def matches(lexemes: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, chunk_id, lists, held, wanted, strict): of questions' distinct lexemes (qid, lexeme) and an index (chunk_id,
-    lexeme, positions) the chunks that hold all of a question's, or, where no chunk does, those that hold one. An index without
-    positions gives no lists: then lexemes are only counted, before anything is shuffled."""
-    wanted = lexemes.groupBy("qid").agg(F.count("*").alias("wanted"))
-    lists = [F.collect_list("positions").alias("lists")] if "positions" in index.columns else []
-    hits = sized(lexemes).join(index, "lexeme").groupBy("qid", "chunk_id").agg(*lists, F.count("*").alias("held"))
-    hits = hits.join(wanted, "qid")
-    strict = hits.groupBy(F.col("qid").alias("_qid")).agg((F.max(F.col("held") - F.col("wanted")) == 0).alias("strict"))
-    return hits.join(strict, F.col("qid") == F.col("_qid")).drop("_qid").where(~F.col("strict") | (F.col("held") == F.col("wanted")))
+    """(qid, chunk_id, held, wanted, strict): of questions' distinct lexemes (qid, lexeme) and an index (chunk_id,
+    lexeme[, positions]) the chunks that hold all of a question's, or, where no chunk does, those that hold one. With positions there
+    are ``total``, their number, and ``lists``, null where the match isn't strict."""
+    if "positions" not in index.columns:
+        hits = _hits(_asked(lexemes), index)
+        strict = hits.groupBy(F.col("qid").alias("_qid")).agg((F.max(F.col("held") - F.col("wanted")) == 0).alias("strict"))
+        return hits.join(strict, F.col("qid") == F.col("_qid")).drop("_qid").where(~F.col("strict") | (F.col("held") == F.col("wanted")))
+    strict = strict_matches(lexemes, index)
+    loose = _hits(_asked(lexemes).join(strict.select("qid").distinct(), "qid", "left_anti"), index).withColumn("strict", F.lit(False))
+    return strict.unionByName(loose, allowMissingColumns=True)
 
 
 #: Chunks of a block of an impact index, on the average; blocks that a question opens before it has a bound.
@@ -92,38 +120,48 @@ class ImpactIndex:
         return found.where(F.col("position") <= k).select("qid", "position", "chunk_id", "hits")
 
 
+def asked_lexemes(questions: DataFrame) -> DataFrame:
+    """(qid, lexeme): the distinct lexemes of questions (qid, question)."""
+    return questions.select("qid", F.explode(F.array_distinct(analyze(F.coalesce("question", F.lit("")))["lexeme"])).alias("lexeme"))
+
+
 def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, chunk_id, lexical): the chunks that match each question (qid, question), with their cover density. A question of
     stop words has none."""
-    hits = matches(questions.select("qid", F.explode(F.array_distinct(analyze(F.coalesce("question", F.lit("")))["lexeme"])).alias("lexeme")), index)
-    loose = (0.1 * F.aggregate("lists", F.lit(0), lambda a, p: a + F.size(p))).cast("float")
+    hits = matches(asked_lexemes(questions), index)
+    loose = (0.1 * F.col("total")).cast("float")
     return hits.select("qid", "chunk_id", F.when(F.col("strict"), cover_density("lists")).otherwise(loose).alias("lexical"))
 
 
+def _met(questions: DataFrame, chunks: DataFrame, floor: float, extents: bool) -> DataFrame:
+    """``similarity.meeting`` over blocks of QUESTIONS questions and slices of SLICE_BYTES of text, each pair of them a group of its own."""
+    asked = questions.select("qid", "question").where("question <> ''")
+    texts = chunks.select("chunk_id", "text").where("text <> ''")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    slices = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SLICE_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    some = asked.withColumn("block", dealt("qid", blocks)).withColumn("slice", every(slices))
+    held = texts.withColumn("slice", dealt("chunk_id", slices)).withColumn("block", every(blocks))
+    kind = lambda df, c: T.StructField(c, df.schema[c].dataType)
+    result = T.StructType([kind(asked, "qid"), kind(texts, "chunk_id"), T.StructField("held", T.IntegerType()), T.StructField("trigram", T.FloatType())])
+    return held.groupBy("block", "slice").cogroup(some.groupBy("block", "slice")).applyInArrow(meeting(floor, extents), result)
+
+
 def trigram_candidates(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(qid, chunk_id) of the pairs that may reach the floor, and all that do: an equi-join on trigrams with a count filter.
+    """(qid, chunk_id, held) of the pairs that may reach the floor: a pair of that word similarity has in common floor x n of the n
+    distinct trigrams of the question at least, and exactly the pairs that do are given, with the number in common.
 
-    A pair of that word similarity has in common floor x n of the n trigrams of the question at least. Half of those
-    that are needed may be left out of the join, if the others are still counted: those that most questions
-    have are. The chunks are dealt out by chunk_id before their trigrams are made, so a chunk's trigrams are counted where they are.
+    All pairs are counted, as a product of the tables of chunks and questions by trigrams, a slice of chunks against a block of
+    questions at a time: in prose most trigrams are common, and a join on them has far more rows than there are pairs.
     """
-    asked = questions.select("qid", F.array_distinct(trigram_array(F.col("question"))).alias("grams")).where("size(grams) > 0")
-    needed = asked.withColumn("need", F.ceil(F.size("grams") * F.lit(floor) - 1e-9).cast("int"))
-    grams = needed.select("qid", "need", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("questions"))
-    place = F.row_number().over(W.partitionBy("qid").orderBy("questions", "gram"))
-    left_out = F.floor(F.col("need") / 2)
-    posted = grams.join(common, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - left_out).select("qid", "gram", (F.col("need") - left_out).alias("least"))
-    held = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", F.explode(F.array_distinct(trigram_array(F.col("text")))).alias("gram"))
-    met = held.join(sized(posted), "gram").groupBy("chunk_id", "qid", "least").agg(F.count("*").alias("n"))
-    return met.where(F.col("n") >= F.col("least")).select("qid", "chunk_id")
+    return _met(questions, chunks, floor, False).select("qid", "chunk_id", "held")
 
 
 def trigram_signal(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(qid, chunk_id, trigram) for the pairs whose word similarity reaches the floor. Only what the trigram index lets through is
-    compared, extent by extent."""
-    pairs = trigram_candidates(questions, chunks, floor).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
-    return pairs.select("qid", "chunk_id", word_similarity_at(floor)("question", "text").alias("trigram")).where(F.col("trigram").cast("double") >= floor)
+    """(qid, chunk_id, trigram) for the pairs whose word similarity reaches the floor. Only what can have a run of trigrams that
+    reaches it is compared, extent by extent."""
+    return _met(questions, chunks, floor, True).where(F.col("trigram").cast("double") >= floor).select("qid", "chunk_id", "trigram")
 
 
 def _ranks(signals: DataFrame, signal: str) -> DataFrame:
@@ -162,9 +200,12 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, tiers: tuple[
         if not tiers or set(tiers) - {"A", "B"}:
             raise ValueError("tiers are A, B or both")
         chunks = chunks.where(F.col("tier").isin(*tiers))
-    text = text_signal(questions, postings(chunks))
-    near = trigram_signal(questions, chunks)
+    # both are read several times, so they are stored: postings of the questions' lexemes alone, and the pairs that trigrams find
+    text = text_signal(questions, cut(postings(chunks, asked_lexemes(questions))))
+    near = cut(trigram_signal(questions, chunks))
     both = text.join(near, ["qid", "chunk_id"], "full").withColumn("lexical", F.coalesce("lexical", F.lit(0.0).cast("float")))
     # of what only the text signal found, the raw similarity is reported too: it is below the floor and ranks nothing
     best = fuse(both, k).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    # few rows, and each takes long: dealt out by number, which keeps them from being put together in one task
+    best = best.repartition(int(best.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "chunk_id")
     return best.withColumn("trigram", F.coalesce("trigram", word_similarity_of("question", "text"))).drop("text", "question")

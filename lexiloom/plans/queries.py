@@ -12,7 +12,6 @@ from lexiloom.functions import text as X
 from lexiloom.functions.analysis import analyze
 from lexiloom.functions.analysis import cover_density as density_of
 from lexiloom.functions.embedding import HashedEmbedder, embed
-from lexiloom.functions.similarity import trigram_array
 from lexiloom.operators import answers, chunking, dense, evaluation, lexical, records, retrievers, showcase, terms
 from lexiloom.plans.registry import query, table
 from lexiloom.streaming import policies
@@ -341,10 +340,7 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many paragraphs hold six tenths of the trigrams of each benchmark text: what the count filter of the trigram index asks for, exactly."""
     chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    met = lexical.trigram_candidates(questions, chunks).join(chunks, "chunk_id").join(questions, "qid")
-    wanted = F.array_distinct(trigram_array(F.col("question")))
-    held = F.size(F.array_intersect(wanted, trigram_array(F.col("text"))))
-    return met.where(held >= 0.6 * F.size(wanted) - 1e-9).groupBy("qid").agg(F.count("*").alias("chunks"))
+    return lexical.trigram_candidates(questions, chunks).groupBy("qid").agg(F.count("*").alias("chunks"))
 
 
 @query()
@@ -375,10 +371,11 @@ SELECT item_id, id AS doc_id, round(sum(0.1::DOUBLE / (1 + stop - start + 1 - ow
 def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cover density of every benchmark text in the documents that hold all its words."""
     words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-    placed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(words(F.col("text"))).alias("pos", "lexeme"))
-    index = placed.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("lexeme"))
-    found = lexical.matches(asked, index).where("strict")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").repartition("chunk_id")
+    placed = docs.select("chunk_id", F.posexplode(words(F.col("text"))).alias("pos", "lexeme")).join(lexical.sized(asked.select("lexeme").distinct()), "lexeme")
+    index = placed.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    found = lexical.strict_matches(asked, index)
     return found.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round(density_of(F.col("lists")).cast("double"), 6).alias("density"))
 
 
