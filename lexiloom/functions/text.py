@@ -47,8 +47,8 @@ def _fold_tables() -> tuple[str, str, str, list[str]]:
 
 
 def fold_full(text: Column) -> Column:
-    """What ``fold_exact`` gives, for all of Unicode, in the JVM: characters that fold to one or to none are translated together; a
-    text that has others is taken apart, and only then."""
+    """What ``fold_exact`` gives, for all of Unicode, in the JVM: a text of ASCII alone is lower-cased; in others characters that
+    fold to one or to none are translated together; a text that has others is taken apart, and only then."""
     source, target, many, parts = _fold_tables()
     listed = F.array(*[F.lit(p) for p in parts])
     code = lambda c: F.ascii(c) - _HANGUL
@@ -59,7 +59,7 @@ def fold_full(text: Column) -> Column:
     apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c == "", c).when(syllable(c), jamo(c)).when(F.contains(F.lit(many), c), F.get(listed, F.instr(F.lit(many), c) - 1)).otherwise(c)), "")
     swapped = F.translate(text, source, target)
     escaped = "".join(f"\\x{{{ord(c):x}}}" for c in many)
-    return F.when(swapped.rlike(rf"[\x{{ac00}}-\x{{d7a3}}{escaped}]"), apart(swapped)).otherwise(swapped)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(swapped.rlike(rf"[\x{{ac00}}-\x{{d7a3}}{escaped}]"), apart(swapped)).otherwise(swapped)
 
 
 @F.pandas_udf(T.StringType())
