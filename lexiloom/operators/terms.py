@@ -16,7 +16,7 @@ from lexiloom.functions.text import fold
 _PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 #: Rows of a vocabulary that is sent to all executors, after it has been counted; a larger one is shuffled.
 SENT_ROWS = 200_000
-_GRAM = "array<struct<at:int,length:int,gram:string,word:boolean>>"
+_GRAM = "array<struct<at:int,length:int,gram:string>>"
 
 
 def pieces(text: Column) -> Column:
@@ -41,9 +41,10 @@ def used_terms(chunks: DataFrame, vocabulary: DataFrame, key: str = "chunk_id")
     distinct = F.broadcast(distinct) if distinct.limit(SENT_ROWS + 1).count() <= SENT_ROWS else distinct
     numbered = chunks.select(F.monotonically_increasing_id().alias("_row"), key, pieces(F.col("text")).alias("_pieces"))
     grams = [_grams(n) for n in lengths]
-    every = F.filter(F.flatten(F.array(*grams)), lambda g: g["word"]) if grams else F.array().cast(_GRAM)
-    rows = numbered.select("_row", key, F.explode_outer(every).alias("g"))
-    met = rows.join(distinct, F.col("g.gram") == F.col("folded"), "left").groupBy("_row", key)
+    # a run that is no term stands for the chunk itself; of the others only terms are put together again
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("gram")))
+    rows = numbered.select("_row", key, F.explode(F.concat(itself, *grams)).alias("g"))
+    met = rows.join(distinct, F.col("g.gram") == F.col("folded"), "left").where(F.col("folded").isNotNull() | (F.col("g.at") < 0)).groupBy("_row", key)
     found = met.agg(F.array_sort(F.collect_list(F.when(F.col("folded").isNotNull(), F.struct(F.col("g.at").alias("at"), (-F.col("g.length")).alias("less"), "terms")))).alias("found"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<position:bigint,term:string>>").alias("terms"))
     kept = F.aggregate("found", start, lambda a, m: F.when(m["at"] >= a["end"], F.struct((m["at"] - m["less"]).alias("end"), F.concat(a["terms"], m["terms"].cast("array<struct<position:bigint,term:string>>")).alias("terms"))).otherwise(a))
@@ -51,7 +52,8 @@ def used_terms(chunks: DataFrame, vocabulary: DataFrame, key: str = "chunk_id")
 
 
 def _grams(n: int) -> Column:
-    """Every run of n pieces that starts with a word: where, how long, as text."""
-    last = F.size("_pieces") - n
-    some = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice("_pieces", i + 1, n), "").alias("gram"), F.get("_pieces", i).rlike(r"^[\p{L}\p{N}_]").alias("word")))
-    return F.when(last >= 0, some).otherwise(F.array().cast(_GRAM))
+    """Every run of n pieces that starts with a word: where, how long, as text. Words are every other piece."""
+    first, last = F.when(F.get("_pieces", F.lit(0)).rlike(r"^[\p{L}\p{N}_]"), 0).otherwise(1), F.size("_pieces") - n
+    text = (lambda i: F.get("_pieces", i)) if n == 1 else (lambda i: F.array_join(F.slice("_pieces", i + 1, n), ""))
+    some = F.transform(F.sequence(first, last, F.lit(2)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("length"), text(i).alias("gram")))
+    return F.when(last >= first, some).otherwise(F.array().cast(_GRAM))
