@@ -16,7 +16,7 @@ from lexiloom.functions.analysis import analyze, cover_density
 from lexiloom.functions.metrics import fused
 from lexiloom.functions.similarity import meeting, word_similarity_of
 from lexiloom.operators.dense import clamped
-from lexiloom.sources.stored import cut
+from lexiloom.sources.stored import cut, forget, stored
 
 LEXICAL_WEIGHT, TRIGRAM_WEIGHT, DAMPING, FLOOR = 0.7, 0.3, 60, 0.6
 #: Rows of a question index that are sent to all executors, after they have been counted; larger ones are shuffled.
@@ -85,37 +85,50 @@ class ImpactIndex:
     """
 
     def __init__(self, index: DataFrame) -> None:
-        """index (chunk_id, lexeme, positions), as ``postings`` gives it."""
-        rows = index.select("chunk_id", "lexeme", F.size("positions").alias("times"))
-        sizes = rows.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.floor(F.log2(F.sum("times").cast("double")) * 4).cast("int").alias("class"))
-        parts = sizes.groupBy(F.col("class").alias("_class")).agg(F.ceil(F.count("*") / BLOCK_CHUNKS).alias("parts"))
-        dealt = sizes.join(F.broadcast(parts), F.col("class") == F.col("_class"))  # a row for each quarter of a binary order of length
-        placed = dealt.select("_chunk", F.struct("class", F.pmod(F.xxhash64("_chunk"), F.col("parts")).alias("part")).alias("block"))
-        self.rows = rows.join(placed, F.col("chunk_id") == F.col("_chunk")).drop("_chunk")
-        self.bounds = self.rows.groupBy("block", "lexeme").agg(F.max("times").alias("most"))
+        """index (chunk_id, lexeme, positions), as ``postings`` gives it, or with ``times``, their number, in their place.
+
+        A chunk's lexemes travel as one row, once, to its block; what is stored is a row for each block and lexeme. Nothing is shuffled
+        before that where a chunk's lexemes lie together.
+        """
+        times = F.col("times") if "times" in index.columns else F.size("positions")
+        terms = F.collect_list(F.struct("lexeme", "times")).alias("terms")
+        whole = index.select("chunk_id", "lexeme", times.cast("long").alias("times")).groupBy("chunk_id").agg(F.sum("times").alias("size"), terms)
+        chunks = stored(whole.select("chunk_id", F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int").alias("class"), "terms"))
+        parts = chunks.groupBy(F.col("class").alias("_class")).agg(F.ceil(F.count("*") / BLOCK_CHUNKS).alias("parts"))
+        dealt = chunks.join(F.broadcast(parts), F.col("class") == F.col("_class"))  # a row for each quarter of a binary order of length
+        placed = dealt.select("chunk_id", "terms", F.struct("class", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).alias("part")).alias("block")).repartition("block")
+        rows = placed.select("block", "chunk_id", F.explode("terms").alias("t")).select("block", "chunk_id", "t.lexeme", "t.times")
+        self.rows = stored(rows.groupBy("block", "lexeme").agg(F.max("times").alias("most"), F.collect_list(F.struct("chunk_id", "times")).alias("held")))
+        forget(chunks)
+        self.bounds = self.rows.select("block", "lexeme", "most")
 
     def promised(self, lexemes: DataFrame) -> DataFrame:
         """(qid, block, upper): what each block can give a question (qid, lexeme) at most."""
         return sized(lexemes).join(self.bounds, "lexeme").groupBy("qid", "block").agg(F.sum("most").alias("upper"))
 
     def _scored(self, lexemes: DataFrame, opened: DataFrame) -> DataFrame:
-        asked = opened.select("qid", "block").join(lexemes, "qid").select("qid", F.col("block").alias("_block"), F.col("lexeme").alias("_lexeme"))
-        return asked.join(self.rows, (F.col("block") == F.col("_block")) & (F.col("lexeme") == F.col("_lexeme"))).groupBy("qid", "chunk_id").agg(F.sum("times").alias("hits"))
+        """(qid, chunk_id, hits) of the blocks opened (qid, block). Where these are few, blocks stay where they are; else both are shuffled."""
+        opened = opened.select("qid", "block")
+        if opened.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+            met = sized(lexemes).join(self.rows, "lexeme").join(F.broadcast(opened), ["qid", "block"])
+        else:
+            met = opened.join(lexemes, "qid").join(self.rows, ["block", "lexeme"])
+        return met.select("qid", F.explode("held").alias("h")).groupBy("qid", F.col("h.chunk_id").alias("chunk_id")).agg(F.sum("h.times").alias("hits"))
 
     def opened(self, lexemes: DataFrame, k: int = 10) -> DataFrame:
         """(qid, block, upper) of the blocks that can hold one of a question's first k."""
-        every = self.promised(lexemes)
+        every = stored(self.promised(lexemes))
         best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("upper"), "block"))
-        some = self._scored(lexemes, every.withColumn("_n", best).where(F.col("_n") <= PROBED))
+        some = self._scored(lexemes, stored(every.withColumn("_n", best).where(F.col("_n") <= PROBED)))
         place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("hits")))
         kth = some.withColumn("_n", place).where(F.col("_n") == k).select(F.col("qid").alias("_qid"), F.col("hits").alias("_kth"))
-        return every.join(kth, F.col("qid") == F.col("_qid"), "left").where(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth"))).select("qid", "block", "upper")
+        return stored(every.join(kth, F.col("qid") == F.col("_qid"), "left").where(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth"))).select("qid", "block", "upper"))
 
     def search(self, lexemes: DataFrame, k: int = 10) -> DataFrame:
         """(qid, position, chunk_id, hits): the first k by hits, of equal ones by chunk_id, exactly. Lexemes of a question that
         repeat count once; chunks without any of them are left out."""
         lexemes = lexemes.select("qid", "lexeme").distinct()
-        order = W.partitionBy("qid").orderBy(F.desc("hits"), "chunk_id")
+        order = W.partitionBy("qid").orderBy(F.desc("hits"), F.asc_nulls_last("chunk_id"))
         found = self._scored(lexemes, self.opened(lexemes, k)).withColumn("position", F.row_number().over(order))
         return found.where(F.col("position") <= k).select("qid", "position", "chunk_id", "hits")
 

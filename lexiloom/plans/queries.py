@@ -356,9 +356,10 @@ SELECT item_id, position::INT AS position, doc_id, hits FROM r WHERE position <=
 def impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every benchmark text the ten documents in which its words stand most often, by blocks with upper bounds."""
     words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-    placed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(words(F.col("text"))).alias("pos", "lexeme"))
-    index = placed.groupBy("chunk_id", "lexeme").agg(F.collect_list("pos").alias("positions"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words(F.col("text"))).alias("lexeme"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").repartition("chunk_id")
+    held = docs.select("chunk_id", F.explode(words(F.col("text"))).alias("lexeme")).join(lexical.sized(asked.select("lexeme").distinct()), "lexeme")
+    index = held.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("times"))
     return lexical.ImpactIndex(index).search(asked).select(F.col("qid").alias("item_id"), "position", F.col("chunk_id").alias("doc_id"), "hits")
 
 

@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as stored rows, without what made it: under the folder that spark.checkpoint.dir names; where that is unset and all
-    runs on one machine (tests), under one of our own."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """A folder of our own under the one that spark.checkpoint.dir names; where that is unset and all runs on one machine (tests),
+    under one of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as stored rows, without what made it, in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder: for tables that are large, or of which a reader needs a few columns."""
+    path = f"{_folder(df.sparkSession)}/lexiloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of ``stored`` that df is, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,6 +11,7 @@ from lexiloom.functions import text as X
 from lexiloom.functions.analysis import cover_density
 from lexiloom.functions.similarity import trigram_array, trigrams, word_similarity
 from lexiloom.operators import dense, evaluation, lexical, records, terms
+from lexiloom.plans import QUERIES
 from lexiloom.sources import corpus
 
 WORDS = ["casa", "carro", "motor", "óleo", "mesa", "car", "or", "x1", "Velho", "válvula", "de", "a"]
@@ -82,6 +83,30 @@ def test_impact_blocks_give_the_first_and_skip_others(spark, monkeypatch):
     assert share < 0.5
 
 
+@pytest.mark.parametrize("sent", [500_000, 3])
+def test_impact_topk_indexes_asked_words_as_counts(spark, monkeypatch, tmp_path, sent):
+    """Words that no question has are neither shuffled nor stored, positions aren't gathered, and a document without an id counts."""
+    monkeypatch.setattr(lexical, "SENT_ROWS", sent)
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 5)
+    docs = [*enumerate(sentences(11, 80)), (3, "motor motor"), (None, "Motor motor casa"), (80, None), (81, "nothing asked")]
+    items = [("a", "motor motor CASA"), ("b", "óleo absent"), ("c", None), ("d", "absent")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, init = [], lexical.ImpactIndex.__init__
+    monkeypatch.setattr(lexical.ImpactIndex, "__init__", lambda self, index: (made.append((self, index)), init(self, index))[1])
+    got = {}
+    for r in QUERIES["impact_topk"](spark, str(tmp_path)).collect():
+        got.setdefault(r["item_id"], {})[r["position"]] = (-r["hits"], r["doc_id"] is None, r["doc_id"])
+    for item, text in items:
+        wanted, hits = set((text or "").lower().split()), {}
+        for doc, t in docs:
+            hits[doc] = hits.get(doc, 0) + sum(w in wanted for w in (t or "").lower().split())
+        best = sorted(((-n, d is None, d) for d, n in hits.items() if n), key=lambda x: (*x[:2], x[2] or 0))[:10]
+        assert [got.get(item, {})[i] for i in sorted(got.get(item, {}))] == best
+    (index, given), = made
+    assert "positions" not in given.columns and {r["lexeme"] for r in index.rows.collect()} == {"motor", "casa", "óleo"}
+
+
 def brute_density(lists):
     """Every shortest interval of positions that has all lexemes."""
     if not lists or any(not x for x in lists):
