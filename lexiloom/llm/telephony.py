@@ -3,7 +3,8 @@
 ``media`` columns hold RIFF/WAVE files of 8-bit companded samples (format tags 7 mu-law, 6 A-law) or of IMA ADPCM
 blocks (tag 0x11). Companded samples become 16-bit PCM by a table of 256 entries. ADPCM is sequential within a
 block and independent between blocks, so a step of all blocks of a batch is one numpy operation. PCM is resampled
-by a polyphase windowed-sinc filter of whole-number weights, so that equal samples give equal bytes anywhere.
+by a polyphase windowed-sinc filter of whole-number weights, so that equal samples give equal bytes anywhere. PCM of
+twice the rate is packed without loss: its two phases apart, the odd one as differences from what the even one lets expect.
 """
 
 from __future__ import annotations
@@ -196,17 +197,22 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     padded = np.pad(pcm.astype(np.int32), (_TAPS - 1, _TAPS + 1))
     out = np.empty(n, dtype=np.int16)
     weights = _weights(up, down)
-    for phase in range(up):  # outputs of a phase share their weights
-        which = np.arange(phase, n, up, dtype=np.int64)
-        place = which * down
-        starts, fraction = place // up, int(phase * down % up)
-        total = np.full(len(which), 1 << (_BITS - 1), dtype=np.int32 if _BITS <= 14 else np.int64)
-        for k, w in enumerate(weights[fraction].tolist()):
-            total += w * padded[starts + k]
-        out[which] = np.clip(total >> _BITS, -32768, 32767)
+    for phase in range(min(up, n)):  # outputs of a phase share their weights, and their inputs lie at equal distances
+        first, fraction = divmod(phase * down, up)
+        count = len(range(phase, n, up))
+        out[phase::up] = _filtered(padded[first:], weights[fraction], count, down)
     return out
 
 
+def _filtered(padded: np.ndarray, weights: np.ndarray, count: int, step: int = 1) -> np.ndarray:
+    """For each of count places of padded samples, step apart, the weighted sum of those from there on, rounded and clipped."""
+    total = np.full(count, 1 << (_BITS - 1), dtype=np.int32 if _BITS <= 14 else np.int64)
+    for k, w in enumerate(weights.tolist()):
+        if w:
+            total += w * padded[k : k + (count - 1) * step + 1 : step]
+    return np.clip(total >> _BITS, -32768, 32767)
+
+
 def to_media(payload: bytes, tag: int = MULAW) -> bytes:
     """A payload as it is, as the samples (or blocks) of a WAVE file."""
     return wav(payload, tag, RATE, BLOCK if tag == ADPCM else 1)
@@ -255,6 +261,51 @@ def pcm_file(media: bytes, rate: int = PCM_RATE) -> bytes:
     return wav(resample(pcm, own, rate).astype("<i2").tobytes(), 1, rate)
 
 
+def _between(even: np.ndarray, count: int) -> np.ndarray:
+    """The first count samples half-way after each of the even ones, as resampling to twice the rate gives them."""
+    padded = np.pad(even.astype(np.int32), (_TAPS - 1, _TAPS + 1))
+    return _filtered(padded, _weights(2, 1)[1], count) if count else np.zeros(0, np.int32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """16-bit values as all their low bytes, then all their high ones."""
+    return np.ascontiguousarray(x.astype("<i2").view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def _joined(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(2, -1).T).reshape(-1).view("<i2")
+
+
+def pack_pcm(pcm: np.ndarray, rate: int) -> tuple[bytes, bytes]:
+    """16-bit PCM of any kind in two strings from which unpack_pcm makes the same samples.
+
+    The first has format, rate, the number of samples and those at even places: as 8-bit codes where a table of mu-law or A-law has all
+    of them, else as byte planes. The second has, for those at odd places, their differences (modulo 2 ** 16) from the samples between
+    the even ones, as byte planes. PCM resampled to twice its rate has differences of zero, which any compression takes to nothing;
+    other PCM has others, and is kept all the same.
+    """
+    even, odd = pcm[::2], pcm[1::2]
+    tag, body = 1, b""
+    for law in (MULAW, ALAW):
+        codes = compress(even, law)
+        if (expand(codes, law) == even).all():
+            tag, body = law, codes.tobytes()
+            break
+    else:
+        body = _planes(even)
+    return struct.pack("<HIQ", tag, rate, len(pcm)) + body, _planes(odd.astype(np.int32) - _between(even, len(odd)))
+
+
+def unpack_pcm(even: bytes, odd: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples of packed PCM."""
+    tag, rate, n = struct.unpack_from("<HIQ", even)
+    body = even[struct.calcsize("<HIQ") :]
+    out = np.empty(n, dtype=np.int16)
+    out[::2] = _joined(body) if tag == 1 else expand(np.frombuffer(body, np.uint8), tag)
+    out[1::2] = _joined(odd) + _between(out[::2], n // 2)  # the 16 low bits are the sample
+    return rate, out
+
+
 def with_media(df: DataFrame, payload: str, tag: int = MULAW, media: str = "media") -> DataFrame:
     """df with a media column of WAVE files whose data is the binary payload column as it is; null stays null."""
     return df.withColumn(media, F.pandas_udf(_maker(tag), "binary")(F.col(f"`{payload}`")))
@@ -293,13 +344,13 @@ def padded(text: str = "text") -> Column:
     return F.concat(raw, F.substring(F.lit(bytes(PAD)), F.lit(1), zeros))
 
 
-_HEARD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, heard string, pcm binary"
+_HEARD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, heard string, even binary, odd binary"
 #: Media whose PCM leaves a worker at once, in bytes.
 SENT_BYTES = 8_000_000
 
 
 def heard(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
-    """Digests and features of media files (doc_id, n_bytes, media) and their PCM at that rate. A null doc_id is kept as such."""
+    """Digests and features of media files (doc_id, n_bytes, media) and their PCM at that rate, packed. A null doc_id is kept as such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -307,6 +358,7 @@ def heard(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
                 batch = whole.slice(a, b - a)
                 media = batch.column("media").to_pylist()
                 data = [read_wav(m)[3] for m in media]
+                packed = [pack_pcm(resample(pcm, own, rate), rate) for own, pcm in map(pcm_of, media)]
                 columns = {
                     "doc_id": batch.column("doc_id"),
                     "n_bytes": batch.column("n_bytes"),
@@ -316,21 +368,39 @@ def heard(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
                     "media_bytes": pa.array(map(len, media), pa.int64()),
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
                     "heard": features(media),
-                    "pcm": pa.array([pcm_file(m, rate) for m in media], pa.binary()),
+                    "even": pa.array([even for even, _ in packed], pa.binary()),
+                    "odd": pa.array([odd for _, odd in packed], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
     return stored.mapInArrow(run, _HEARD)
 
 
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def measured(stored: DataFrame) -> DataFrame:
+    """What ``heard`` gave, with size and crc32 of the WAVE file of the PCM that is read back at the end of the feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feature = []
+            for text, even, odd in zip(*(batch.column(c) for c in ("heard", "even", "odd")), strict=True):
+                rate, pcm = unpack_pcm(even.as_py(), odd.as_py())
+                file = wav(pcm.astype("<i2").tobytes(), 1, rate)
+                feature.append(f"{text.as_py()};pcm={len(file)}:{zlib.crc32(file):08x}")
+            kept = batch.select([c.split()[0] for c in _READ.split(", ")[:-1]])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(feature, pa.string())], [*kept.schema.names, "feature"])
+
+    return stored.mapInArrow(run, _READ)
+
+
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as mu-law audio: stored as media files, read back, expanded and measured; their resampled PCM
-    is stored too, and its size and crc32, of what was read back, end the feature.
+    """Every document's bytes as mu-law audio: stored as media files, read back, expanded and measured; all samples of their resampled
+    PCM are stored too, packed without loss, and its size and crc32, of what was read back, end the feature.
 
     A null or empty text is a payload of 64 zeros; rows that repeat are rows; a null doc_id stays null.
     """
     payloads = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded().alias("payload"))
     media = _stored(with_media(payloads, "payload").drop("payload"), new_folder(spark, "media"))
-    stored = _stored(heard(media), new_folder(spark, "pcm"))
-    feature = F.concat("heard", F.lit(";pcm="), F.octet_length("pcm").cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0"))
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return measured(_stored(heard(media), new_folder(spark, "pcm")))

@@ -116,6 +116,37 @@ def test_store_pcm(spark):
         assert np.frombuffer(data, "<i2").tolist() == brute_resample(pcm, 8000, telephony.PCM_RATE)
 
 
+def test_packed_pcm_is_whole():
+    """Any samples come back, whatever made them; resampled mu-law has no differences."""
+    r = np.random.default_rng(3)
+    raw = r.integers(0, 256, 333, dtype=np.uint8)
+    kinds = [r.integers(-32768, 32768, n).astype(np.int16) for n in (0, 1, 2, 3, 31, 500)]
+    kinds += [np.array([32767, -32768] * 20, np.int16), np.array([-32768, 32767, -32768] * 9, np.int16)]
+    for law in (telephony.MULAW, telephony.ALAW):
+        kinds += [telephony.expand(raw, law), telephony.resample(telephony.expand(raw, law), 8000, 16000), telephony.resample(telephony.expand(raw, law), 8000, 11025)]
+    kinds.append(telephony.resample(kinds[5], 8000, 16000))
+    for pcm in kinds:
+        rate, back = telephony.unpack_pcm(*telephony.pack_pcm(pcm, 16000))
+        assert (rate, back.dtype, back.tolist()) == (16000, np.int16, pcm.tolist())
+    even, odd = telephony.pack_pcm(telephony.resample(telephony.mulaw_table()[raw], 8000, 16000), 16000)
+    assert len(even) < 333 + 20 and len(odd) == 2 * 333 and not any(odd)
+
+
+def test_stored_pcm_takes_no_more_room_than_its_source(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    words = ["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(2000)]
+    docs = [(i, " ".join(words[k] for k in r.integers(0, 2000, 400))) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(telephony, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    got = {x["doc_id"]: x["feature"] for x in telephony.op1_telephony(spark, str(tmp_path)).collect()}
+    taken = {name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("media", "pcm")}
+    assert taken["pcm"] < 1.2 * taken["media"]
+    for doc, text in docs[::50]:
+        payload = text.encode() + bytes(-len(text) % 64)
+        file = telephony.pcm_file(telephony.to_media(payload))
+        assert got[doc].endswith(f";pcm={len(file)}:{zlib.crc32(file):08x}") and len(file) == 44 + 4 * len(payload)
+
+
 def test_feature_is_of_what_was_stored(spark, folder, rows):
     got = {r["doc_id"]: r for r in QUERIES["op1_telephony"](spark, folder).collect()}
     for doc, text, *_ in [r for r in rows if len(r[1] or "") < 2000]:
