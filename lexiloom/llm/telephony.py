@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import documents, new_folder
-from lexiloom.llm.workers import blocks
+from lexiloom.llm.workers import blocks, release
 
 MULAW, ALAW, ADPCM = 7, 6, 0x11
 #: Samples a second of telephony, and of the PCM that is made from it.
@@ -372,6 +372,8 @@ def heard(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
                     "odd": pa.array([odd for _, odd in packed], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
+                del batch, media, data, packed, columns
+        release()
 
     return stored.mapInArrow(run, _HEARD)
 
@@ -391,6 +393,7 @@ def measured(stored: DataFrame) -> DataFrame:
                 feature.append(f"{text.as_py()};pcm={len(file)}:{zlib.crc32(file):08x}")
             kept = batch.select([c.split()[0] for c in _READ.split(", ")[:-1]])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(feature, pa.string())], [*kept.schema.names, "feature"])
+        release()
 
     return stored.mapInArrow(run, _READ)
 
