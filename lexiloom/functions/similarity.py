@@ -64,11 +64,11 @@ def extent_similarity(wanted: frozenset[str], found: list[str], held: frozenset[
     the best so far, so most starts end after a few steps. A text that holds too few of the query's is done at once.
     """
     reachable, q = len(wanted & held), len(wanted)
-    if not reachable or reachable < floor * q:
+    if not reachable or reachable < floor * q - 1e-9:
         return 0.0
     least = max(0.0, floor - 1e-9)
     best = least
-    for start in _starts(wanted, found, floor * q, reachable / floor - q) if floor else range(len(found)):
+    for start in _starts(wanted, found, floor * q - 1e-9, reachable / floor - q + 1e-9) if floor else range(len(found)):
         if found[start] not in wanted:
             continue
         hits, strangers = set(), set()
@@ -145,9 +145,10 @@ def word_similarity_at(floor: float) -> Callable[..., Column]:
 
     return F.pandas_udf(run, T.FloatType())
 
-#: Cells of the table of a batch's texts by trigrams, characters of a batch, places between starts of runs that are bounded together, and
-#: of starts that are looked at together.
-CELLS, CHARACTERS, STRIDE, STRIP = 4_000_000, 1_000_000, 32, 64
+
+#: Cells of the table of a batch's texts by trigrams, characters of a batch, places of a block (runs that start in one are bounded together),
+#: starts whose runs are measured together, and blocks whose places are put together.
+CELLS, CHARACTERS, STRIDE, STRIP, NEAR = 4_000_000, 1_000_000, 96, 64, 128
 
 
 def _padded(text: str | None) -> str:
@@ -155,51 +156,123 @@ def _padded(text: str | None) -> str:
     return f"  {'   '.join(_RUN.findall((text or '').lower()))} "
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of padded texts as numbers, in order and with repeats, and for each the place of its text."""
-    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    whole = (signs[1:-1] != 32) | (signs[2:] != 32)
-    return ((signs[:-2] << 42) | (signs[1:-1] << 21) | signs[2:])[whole], owner[:-2][whole]
+def _codes(texts: list[str], letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of padded texts as numbers, in order and with repeats, and for each the place of its text. With ``letters``, a number for each
+    code point, numbers are small, and trigrams whose letters have one number are told apart no more."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    whole = np.flatnonzero((signs[1:-1] != 32) | (signs[2:] != 32))
+    low, base = (signs.astype(np.int64), 1 << 21) if letters is None else (letters[signs], int(letters.max()) + 1)
+    return ((low[:-2] * base + low[1:-1]) * base + low[2:])[whole], owner[whole]
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """A number from 1 for each letter of the texts, 0 for all other code points."""
+    found = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+    numbers = np.zeros(0x110000, np.int32 if len(found) < 1_000 else np.int64)
+    numbers[found] = np.arange(1, len(found) + 1)
+    return numbers
 
 
 def _before(found: np.ndarray) -> np.ndarray:
     """For each place where its value stood last, -1 where it is new."""
-    order = np.argsort(found, kind="stable")
-    before, again = np.full(len(found), -1), found[order[1:]] == found[order[:-1]]
-    before[order[1:][again]] = order[:-1][again]
+    bits = len(found).bit_length()
+    order = np.sort((found.astype(np.int64) << bits) | np.arange(len(found))) if not len(found) or int(found.max()) >> (62 - bits) == 0 else None
+    if order is None:
+        at = np.argsort(found, kind="stable")
+        again = found[at[1:]] == found[at[:-1]]
+    else:
+        at, value = order & ((1 << bits) - 1), order >> bits
+        again = value[1:] == value[:-1]
+    before = np.full(len(found), -1)
+    before[at[1:][again]] = at[:-1][again]
     return before
 
 
-def _reach(found: np.ndarray, hits: np.ndarray, most: np.ndarray, sizes: np.ndarray, least: np.ndarray, floor: float) -> np.ndarray:
-    """Which queries can have a run of ``found`` that reaches the floor: hits (place, query) tells the query's trigrams, ``most`` how many of
-    its ``sizes`` the text holds, ``least`` how many it needs.
+class _Windows:
+    """Bounds on runs of many texts at once. ``found`` are trigrams as numbers, text after text, ``place`` their columns of ``asks``, and
+    ``ends`` tells where texts end.
 
-    A run with h of the query's has no more than h (1 + floor) / floor - size distinct trigrams. So it lies in the longest
-    run of so many, and STRIDE more, from the start before its own; what that holds of the query's bounds h, which bounds it again.
+    Runs that start in a block of STRIDE places and have no more than d distinct trigrams lie in the block's window: up to where d + 1 distinct ones
+    have stood since the next block's start. A run with h of a query's trigrams that reaches the floor has no more than
+    h (1 + floor) / floor - size distinct ones. So what a text holds of the query's bounds the window, what the window
+    holds bounds h, and that bounds the window again.
     """
-    n, slope = len(found), (1 + floor) / floor
-    before, alive = _before(found), np.zeros(len(most), bool)
-    for first in range(0, n, STRIDE * STRIP):
-        starts = np.arange(first, min(n, first + STRIDE * STRIP), STRIDE)
-        last, width, widest = starts[-1], 512, (most * slope - sizes).max() + STRIDE
-        while last + width < n and np.count_nonzero(before[last : last + width] < last) <= widest:
-            width *= 2
-        places = np.arange(first, min(n, last + width))
-        new = (before[places] < starts[:, None]) & (places >= starts[:, None])
-        distinct, mine = np.cumsum(new, axis=1, dtype=np.int32), hits[places]
-        open_ = np.flatnonzero(~alive)
-        for group in np.array_split(open_[np.argsort((most * slope - sizes)[open_])], max(1, len(open_) // 5)):
-            held, bound = most[group], np.inf
-            while len(group):
-                tighter = (held * slope - sizes[group]).max() + STRIDE + 1e-6
-                if tighter > bound - 4:
-                    alive[group] = True
-                    break
-                bound = tighter
-                held = ((new & (distinct <= bound)).astype(np.float32) @ mine[:, group]).max(axis=0)
-                group, held = group[held >= least[group]], held[held >= least[group]]
-    return alive
+
+    def __init__(self, found: np.ndarray, place: np.ndarray, ends: np.ndarray, floor: float) -> None:
+        self.place, self.before, self.floor = place, _before(found), floor
+        starts = np.concatenate([[0], ends[:-1]])
+        blocks = -(-(ends - starts) // STRIDE)
+        self.text = np.repeat(np.arange(len(ends)), blocks)
+        self.start = starts[self.text] + STRIDE * (np.arange(len(self.text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        self.end = ends[self.text]
+        self.next = np.minimum(self.start + STRIDE, self.end)
+
+    def distinct(self, held: np.ndarray, size: int) -> np.ndarray:
+        """How many distinct trigrams a run can have that reaches the floor with so many of the query's."""
+        return np.floor(held.astype(np.float64) * ((1 + self.floor) / self.floor) - size + 1e-6).astype(np.int64) if self.floor else np.full(len(held), 1 << 40)
+
+    def open(self, held: np.ndarray, sizes: np.ndarray, least: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, query, where the window ends) of the windows that can have a run that reaches the floor; held (text, query) tells
+        what a text holds of a query's trigrams."""
+        wanted = held >= least
+        width, n, out = 4 * min(int(self.distinct(held.max(axis=0), sizes).max()), 1 << 20) + STRIDE, len(self.place), [(np.zeros(0, np.int64),) * 3]
+        known = max(int(c.max()) for c in columns if len(c)) + 1
+        later, strip = np.full(known + 1, n, np.int32), max(1, 2 * CELLS // max(known, width))
+        for last in range(len(self.text), 0, -strip):
+            first = max(0, last - strip)
+            own, start, after, end = self.text[first:last], self.start[first:last], self.next[first:last], self.end[first:last]
+            # where each trigram stands next, from the start of each block on: the least place is written last, and a few blocks at a time
+            # stay in a processor's cache
+            small = (end - start).max() < 65_535
+            ahead = np.empty((known + 1, last - first), np.uint16 if small else np.int32)
+            for b in range(last - first, 0, -NEAR):
+                a = max(0, b - NEAR)
+                near = np.full((known + 1, b - a), n, np.int32)
+                near[:, -1] = later
+                places = np.arange(start[a], after[b - 1], dtype=np.int32)[::-1]
+                near.reshape(-1)[self.place[places] * np.int64(b - a) + np.repeat(np.arange(b - a), after[a:b] - start[a:b])[::-1]] = places
+                np.minimum.accumulate(near[:, ::-1], axis=1, out=near[:, ::-1])
+                later = near[:, 0].copy()
+                near -= start[a:b].astype(np.int32)
+                ahead[:, a:b] = np.minimum(near, 65_535) if small else near
+            # where new ones arrive, from the next block's start on
+            lengths = np.minimum(end - after, width)
+            since = np.repeat(after.astype(np.int32), lengths)
+            ramp = np.arange(len(since), dtype=np.int32) + np.repeat((after - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+            new = np.flatnonzero(self.before[ramp] < since)
+            offset = np.searchsorted(new, np.cumsum(lengths) - lengths)
+            many, arrivals = np.diff(offset, append=len(new)), np.append(ramp[new], n)
+
+            def ends(rows: np.ndarray | slice, most: np.ndarray, q: int) -> np.ndarray:
+                d = self.distinct(most, sizes[q])
+                return np.where(d < many[rows], arrivals[np.clip(offset[rows] + d, 0, len(arrivals) - 1)], end[rows]) - start[rows]  # noqa: B023
+
+            mine = wanted[own]
+            for q in np.flatnonzero(mine.any(axis=0)):
+                table, most = ahead.take(columns[q], axis=0), held[own, q]
+                inside = np.add.reduce((table < np.where(mine[:, q], ends(slice(None), most, q), 0).astype(ahead.dtype)).view(np.uint8), axis=0, dtype=np.uint8 if len(table) < 256 else np.int32)
+                rows = np.flatnonzero(inside >= least[q])
+                while len(rows) and (inside[rows] < most[rows]).any():
+                    most = inside.copy()
+                    inside[rows] = np.count_nonzero(table[:, rows] < ends(rows, most[rows], q), axis=0)
+                    rows = rows[inside[rows] >= least[q]]
+                if len(rows):
+                    out.append((rows + first, np.full(len(rows), q), ends(rows, most[rows], q) + start[rows]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _best_share(before: np.ndarray, hit: np.ndarray, start: int, after: int, limit: int, size: int) -> float:
+    """The greatest share |Q & E| / |Q | E| over runs E that start at a hit from start on, before ``after``, and end before limit; ``hit`` tells
+    which places have one of the ``size`` trigrams of Q, ``before`` where a place's trigram stood last."""
+    best, starts = 0.0, start + np.flatnonzero(hit[start:after])
+    places = np.concatenate([np.arange(start, after), after + np.flatnonzero(before[after:limit] < after)])
+    for i in range(0, len(starts), STRIP):
+        begin = starts[i : i + STRIP, None]
+        new = (before[places] < begin) & (places >= begin)
+        hits = np.cumsum(new & hit[places], axis=1)
+        best = max(best, float((hits / (size + np.cumsum(new, axis=1) - hits)).max()))
+    return best
 
 
 def _batches(texts: list[str], width: int) -> list[slice]:
@@ -212,54 +285,78 @@ def _batches(texts: list[str], width: int) -> list[slice]:
     return [*cuts, slice(start, len(texts))]
 
 
+def _finder(known: np.ndarray, base: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The place of each of some trigrams among the known ones, sorted, and their number where it is none of them."""
+    if base**3 <= 1 << 24:
+        table = np.full(base**3, len(known), np.int32)
+        table[known] = np.arange(len(known))
+        return lambda found: table[found]
+
+    def search(found: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(known, found)
+        return np.where(known[np.minimum(place, len(known) - 1)] == found, place, len(known))
+
+    return search
+
+
 def meeting(floor: float, extents: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A function of texts (chunk_id, text) and queries (qid, question): the pairs (qid, chunk_id, held, trigram) whose text holds
     ``floor`` of the query's distinct trigrams at least, and how many; with ``extents`` only those of that word similarity, which is
     null without.
 
-    Texts by trigrams times trigrams by queries counts what all pairs have in common; what passes is bounded by runs of few distinct
-    trigrams, and only what is left is compared extent by extent.
+    Texts by trigrams times trigrams by queries counts what all pairs have in common; what passes is bounded by windows of few distinct
+    trigrams, for all texts of a batch at once, and only the runs of windows that are left are measured.
     """
 
     def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
-        wanted = [np.unique(_codes([_padded(q)])[0]) for q in queries["question"].to_pylist()]
-        known = np.unique(np.concatenate([np.zeros(0, np.int64), *wanted]))
-        sizes = np.array([len(w) for w in wanted])
+        asked = [_padded(q) for q in queries["question"].to_pylist()]
+        letters = _letters(asked)
+        codes = [np.unique(_codes([q], letters)[0]) for q in asked]
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
+        columns, sizes = [np.searchsorted(known, c) for c in codes], np.array([len(c) for c in codes])
         least = np.maximum(1, np.ceil(sizes * floor - 1e-9))
-        asks = np.zeros((len(known), len(wanted)), np.float32)
-        for i, w in enumerate(wanted):
-            asks[np.searchsorted(known, w), i] = 1
-        sets: dict[int, frozenset[int]] = {}
-        texts, rows, asked, counts, values = [_padded(t) for t in chunks["text"].to_pylist()], [], [], [], []
+        place_of = _finder(known, int(letters.max()) + 1)
+        asks = np.zeros((len(known) + 1, len(codes)), np.float32)  # the last row is that of all other trigrams
+        for i, c in enumerate(columns):
+            asks[c, i] = 1
+        sets: dict[int, np.ndarray] = {}
+        texts, rows, by, counts, values = [_padded(t) for t in chunks["text"].to_pylist()], [], [], [], []
         for part in _batches(texts, len(known)) if len(known) and texts else []:
-            found, owner = _codes(texts[part])
-            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            hit = known[place] == found
-            table = np.zeros((part.stop - part.start, len(known)), np.float32)
-            table[owner[hit], place[hit]] = 1
+            found, owner = _codes(texts[part], letters)
+            place = place_of(found)
+            table = np.zeros((part.stop - part.start, len(known) + 1), np.float32)
+            table[owner, place] = 1
             held = table @ asks
-            row, query = np.nonzero(held >= least)
+            met = held >= least
             if not extents:
-                rows, asked, counts = [*rows, row + part.start], [*asked, query], [*counts, held[row, query]]
+                row, query = np.nonzero(met)
+                rows, by, counts = [*rows, row + part.start], [*by, query], [*counts, held[row, query]]
+                continue
+            some = np.flatnonzero(met.any(axis=1))
+            if not len(some):
+                continue
+            kept = met.any(axis=1)[owner]
+            windows = _Windows(found[kept], place[kept], np.cumsum(np.bincount(owner, minlength=len(table))[some]), floor)
+            block, query, limit = windows.open(held[some], sizes, least, columns)
+            if not len(block):
                 continue
-            ends = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
-            for r in np.unique(row):
-                a, b, own = ends[r], ends[r + 1], query[row == r] if len(row) < 64 else query[np.searchsorted(row, r) : np.searchsorted(row, r, "right")]
-                if floor:
-                    hits = np.where(hit[a:b, None], asks[np.ix_(place[a:b], own)], np.float32(0))
-                    own = own[_reach(found[a:b], hits, held[r, own], sizes[own], least[own], floor)]
-                if not len(own):
-                    continue
-                order = found[a:b].tolist()
-                inside = frozenset(order)
-                for q in own.tolist():
-                    value = extent_similarity(sets.setdefault(q, frozenset(wanted[q].tolist())), order, inside, floor)
-                    if value:
-                        rows, asked, counts, values = [*rows, [r + part.start]], [*asked, [q]], [*counts, [held[r, q]]], [*values, value]
+            order = np.lexsort((block, query, windows.text[block]))
+            block, query, limit = block[order], query[order], limit[order]
+            pairs = windows.text[block] * len(codes) + query
+            cuts, last = np.flatnonzero(np.diff(pairs, prepend=-1)), -1
+            for a, b in zip(cuts, [*cuts[1:], len(pairs)], strict=True):
+                r, q = int(some[windows.text[block[a]]]), int(query[a])
+                if r != last:
+                    order = _codes([texts[part][r]])[0]
+                    before, last, shift = _before(order), r, int(windows.end[block[a]]) - len(order)
+                hit = np.isin(order, sets[q] if q in sets else sets.setdefault(q, np.unique(_codes([asked[q]])[0])))
+                value = max(_best_share(before, hit, windows.start[w] - shift, windows.next[w] - shift, end - shift, sizes[q]) for w, end in zip(block[a:b], limit[a:b], strict=True))
+                if value > max(0.0, floor - 1e-9):
+                    rows, by, counts, values = [*rows, [r + part.start]], [*by, [q]], [*counts, [held[r, q]]], [*values, value]
         flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0), *parts]).astype(kind))
-        picked, by = chunks.take(flat(rows, np.int64)), queries.take(flat(asked, np.int64))
+        picked, askers = chunks.take(flat(rows, np.int64)), queries.take(flat(by, np.int64))
         shares = pa.array(np.array(values, np.float32)) if extents else pa.nulls(len(picked), pa.float32())
-        return pa.table({"qid": by["qid"], "chunk_id": picked["chunk_id"], "held": flat(counts, np.int32), "trigram": shares})
+        return pa.table({"qid": askers["qid"], "chunk_id": picked["chunk_id"], "held": flat(counts, np.int32), "trigram": shares})
 
     return run
 

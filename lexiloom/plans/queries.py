@@ -14,12 +14,18 @@ from lexiloom.functions.analysis import cover_density as density_of
 from lexiloom.functions.embedding import HashedEmbedder, embed
 from lexiloom.operators import answers, chunking, dense, evaluation, lexical, records, retrievers, showcase, terms
 from lexiloom.plans.registry import query, table
+from lexiloom.sources.stored import stored
 from lexiloom.streaming import policies
 
 #: Of a table that is searched, the rows whose id is divisible by this ask.
 ASKING = 50
 
 
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, text) of all paragraphs, stored: a search reads them more than once, and they are put together once."""
+    return stored(chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -338,7 +344,7 @@ h AS (SELECT item_id, chunk_id, n FROM qg JOIN (SELECT DISTINCT chunk_id, g FROM
 SELECT item_id AS qid, count(*) AS chunks FROM h GROUP BY item_id""")
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many paragraphs hold six tenths of the trigrams of each benchmark text: what the count filter of the trigram index asks for, exactly."""
-    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    chunks = _paragraphs(spark, sf_dir)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return lexical.trigram_candidates(questions, chunks).groupBy("qid").agg(F.count("*").alias("chunks"))
 
@@ -346,7 +352,7 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as questions, paragraphs as chunks: the pairs of a word similarity of 0.6 or more."""
-    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    chunks = _paragraphs(spark, sf_dir)
     return lexical.trigram_signal(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), chunks)
 
 
@@ -383,7 +389,7 @@ def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexical_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical retriever over paragraphs, with the benchmark texts as questions."""
-    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    chunks = _paragraphs(spark, sf_dir)
     found = lexical.retrieve(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), chunks)
     return found.select("qid", "position", "chunk_id", "score", "lexical", "trigram", "lexical_rank", "trigram_rank")
 
@@ -471,7 +477,7 @@ def span_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three signals fused by rank over paragraphs, with the hashed embedder."""
-    chunks = chunking.paragraph_chunks(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    chunks = _paragraphs(spark, sf_dir)
     own = HashedEmbedder()
     vectors = chunks.select("chunk_id", F.lit(own.model_key).alias("model_key"), embed(F.col("text"), own).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))

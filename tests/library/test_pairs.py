@@ -44,3 +44,46 @@ def test_only_strict_matches_have_lists(spark):
     asked = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (8, "z")], "qid int, lexeme string")
     got = lexical.matches(asked, spark.createDataFrame(rows, "chunk_id int, lexeme string, positions array<int>")).collect()
     assert {(r["qid"], r["chunk_id"]): (r["held"], r["total"], r["strict"], r["lists"] and sorted(r["lists"])) for r in got} == {(7, 1): (2, 3, True, [[1, 4], [2]]), (8, 3): (1, 3, False, None)}
+
+
+def best_of_all_runs(query, text):
+    wanted, found, best = set(trigrams(query)), trigrams(text), 0.0
+    for i in range(len(found)):
+        run = set()
+        for t in found[i:]:
+            run.add(t)
+            best = max(best, len(run & wanted) / len(run | wanted))
+    return best
+
+
+def test_a_share_that_rounds_up_is_found():
+    """A floor that is a share itself can be a little more than it, times the query's size."""
+    for q, t in [("óleo x1 de motor válvula", "ing car válvula motor"), (sentences(3, 12, 6)[8], sentences(2, 60, 25)[7])]:
+        assert word_similarity(q, t) == pytest.approx(best_of_all_runs(q, t)) and best_of_all_runs(q, t) > 0.3
+
+
+@pytest.mark.parametrize("cells, characters", [(10, 60), (4_000, 300), (4_000_000, 1_000_000)])
+@pytest.mark.parametrize("stride", [2, 96])
+def test_windows_of_texts_in_strips_lose_no_run(monkeypatch, stride, cells, characters):
+    for name, value in {"STRIDE": stride, "CELLS": cells, "CHARACTERS": characters}.items():
+        monkeypatch.setattr(similarity, name, value)
+    texts, asked = [*sentences(25, 8, 25), "", "日本 語 " * 5, "casa " * 20], [*sentences(26, 5, 6), "", "日本 語"]
+    shares = {(q, c): best_of_all_runs(t, u) for q, t in enumerate(asked) for c, u in enumerate(texts)}
+    for floor in (0.0, 0.4, 0.6, 1.0):
+        found = similarity.meeting(floor, True)(pa.table({"chunk_id": range(len(texts)), "text": texts}), pa.table({"qid": range(len(asked)), "question": asked}))
+        want = {pair: s for pair, s in shares.items() if s >= floor - 1e-9 and s}
+        assert {(r["qid"], r["chunk_id"]): pytest.approx(r["trigram"], abs=1e-6) for r in found.to_pylist()} == want and want
+
+
+def test_few_windows_are_left_to_measure(monkeypatch):
+    """Of texts that hold most of a question's trigrams, but apart, hardly one is measured run by run."""
+    measured, share = [], similarity._best_share
+    monkeypatch.setattr(similarity, "_best_share", lambda *a: (measured.append(a), share(*a))[1])
+    r, letters = random.Random(27), "aeiorst"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(400)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts, asked = [some(200) for _ in range(100)], [some(30) for _ in range(10)]
+    texts[7] = f"{some(90)} {asked[3]} {some(90)}"
+    meet = lambda extents: similarity.meeting(0.6, extents)(pa.table({"chunk_id": range(100), "text": texts}), pa.table({"qid": range(10), "question": asked}))
+    assert (3, 7) in {(x["qid"], x["chunk_id"]) for x in meet(True).to_pylist()}
+    assert len(meet(False)) > 300 and len(measured) < 30
