@@ -121,7 +121,14 @@ def _starts(wanted: frozenset[str], found: list[str], hits: float, strangers: fl
 
 @F.pandas_udf(T.FloatType())
 def word_similarity_of(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if q is None or t is None else word_similarity(q, t) for q, t in zip(query, text, strict=True)], dtype="float32")
+    """Of long texts too: the best of some runs is a floor, and what can reach it is measured."""
+    return pd.Series([None if q is None or t is None else _measured(q, t) for q, t in zip(query, text, strict=True)], dtype="float32")
+
+
+def _measured(query: str, text: str) -> float:
+    floor = max(0.0, _some_share(frozenset(trigrams(query)), trigrams(text)) - 1e-9)
+    found = meeting(floor, True)(pa.table({"chunk_id": [0], "text": [text]}), pa.table({"qid": [0], "question": [query]}))
+    return found["trigram"][0].as_py() if len(found) else 0.0
 
 
 def word_similarity_at(floor: float) -> Callable[..., Column]:

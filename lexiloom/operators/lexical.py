@@ -7,12 +7,17 @@ word similarity. Ranks come from counts of the values of a signal, so no task so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from lexiloom.functions.analysis import analyze, cover_density
+from lexiloom.functions.analysis import analyze, analyzed, cover_density, occurrences
 from lexiloom.functions.metrics import fused
 from lexiloom.functions.similarity import meeting, word_similarity_of
 from lexiloom.operators.dense import clamped
@@ -146,8 +151,8 @@ def text_signal(questions: DataFrame, index: DataFrame) -> DataFrame:
     return hits.select("qid", "chunk_id", F.when(F.col("strict"), cover_density("lists")).otherwise(loose).alias("lexical"))
 
 
-def _met(questions: DataFrame, chunks: DataFrame, floor: float, extents: bool) -> DataFrame:
-    """``similarity.meeting`` over blocks of QUESTIONS questions and slices of SLICE_BYTES of text, each pair of them a group of its own."""
+def _dealt(questions: DataFrame, chunks: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], more: list[T.StructField]) -> DataFrame:
+    """(qid, chunk_id, *more) that run makes of blocks of QUESTIONS questions and slices of SLICE_BYTES of text, each pair of them a group of its own."""
     asked = questions.select("qid", "question").where("question <> ''")
     texts = chunks.select("chunk_id", "text").where("text <> ''")
     blocks = max(1, -(-asked.count() // QUESTIONS))
@@ -157,8 +162,13 @@ def _met(questions: DataFrame, chunks: DataFrame, floor: float, extents: bool) -
     some = asked.withColumn("block", dealt("qid", blocks)).withColumn("slice", every(slices))
     held = texts.withColumn("slice", dealt("chunk_id", slices)).withColumn("block", every(blocks))
     kind = lambda df, c: T.StructField(c, df.schema[c].dataType)
-    result = T.StructType([kind(asked, "qid"), kind(texts, "chunk_id"), T.StructField("held", T.IntegerType()), T.StructField("trigram", T.FloatType())])
-    return held.groupBy("block", "slice").cogroup(some.groupBy("block", "slice")).applyInArrow(meeting(floor, extents), result)
+    result = T.StructType([kind(asked, "qid"), kind(texts, "chunk_id"), *more])
+    return held.groupBy("block", "slice").cogroup(some.groupBy("block", "slice")).applyInArrow(run, result)
+
+
+def _met(questions: DataFrame, chunks: DataFrame, floor: float, extents: bool) -> DataFrame:
+    """``similarity.meeting`` over blocks of questions and slices of text."""
+    return _dealt(questions, chunks, meeting(floor, extents), [T.StructField("held", T.IntegerType()), T.StructField("trigram", T.FloatType())])
 
 
 def trigram_candidates(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
@@ -177,19 +187,110 @@ def trigram_signal(questions: DataFrame, chunks: DataFrame, floor: float = FLOOR
     return _met(questions, chunks, floor, True).where(F.col("trigram").cast("double") >= floor).select("qid", "chunk_id", "trigram")
 
 
-def _ranks(signals: DataFrame, signal: str) -> DataFrame:
-    """(_qid, _value, rank): the rank, with ties, of each value that a signal has for a question, from counts of the values."""
-    counts = signals.groupBy(F.col("qid").alias("_qid"), F.col(signal).alias("_value")).agg(F.count("*").alias("_n"))
+#: What ``_signals`` gives beside qid and chunk_id.
+SIGNALS = [T.StructField("strict", T.BooleanType()), T.StructField("total", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("lists", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("trigram", T.FloatType())]
+#: Occurrences of lexemes that are summed over all questions of a block at a time.
+SUMMED = 20_000
+
+
+def _sums(text: np.ndarray, place: np.ndarray, asks: np.ndarray, n: int) -> np.ndarray:
+    """Of n texts' occurrences (text, place), in order, how many each question (a column of asks) has."""
+    sums = np.zeros((n, asks.shape[1]), np.int32)
+    for i in range(0, len(text), SUMMED):
+        own = text[i : i + SUMMED]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[starts]] += np.add.reduceat(asks[place[i : i + SUMMED]], starts, axis=0)
+    return sums
+
+
+def _signals(k: int, floor: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of chunks (chunk_id, text) and questions (qid, question). It gives the pairs that the trigram signal finds; those that hold all
+    of a question's lexemes, with ``lists`` of their positions; and where no chunk here does, of all others the first k
+    by ``total``, the number of places of the question's lexemes, and then chunk_id. Beside these, without a chunk_id, it gives how often
+    (``n``, 0 in rows of pairs) each total comes here, so that a rank can be told without the pairs themselves.
+    """
+
+    def run(chunks: pa.Table, questions: pa.Table) -> pa.Table:
+        chunks = chunks.take(pc.sort_indices(chunks, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+        rows, asked = np.arange(len(chunks)), np.arange(len(questions))
+        near = meeting(floor, True)(pa.table({"chunk_id": rows, "text": chunks["text"]}), pa.table({"qid": asked, "question": questions["question"]}))
+        shares = np.full((len(rows), len(asked)), np.nan, np.float32)
+        shares[near["chunk_id"].to_numpy(), near["qid"].to_numpy()] = near["trigram"].to_numpy()
+        loud = shares.astype(np.float64) >= floor
+        lexemes = [list(dict.fromkeys(x for x, _ in analyzed(q))) for q in questions["question"].to_pylist()]
+        places = {x: i for i, x in enumerate(dict.fromkeys(x for own in lexemes for x in own))}
+        wanted, asks = np.array([len(own) for own in lexemes]), np.zeros((max(1, len(places)), len(lexemes)), np.int32)
+        for q, own in enumerate(lexemes):
+            asks[[places[x] for x in own], q] = 1
+        text, place, position = occurrences(chunks["text"].to_pylist(), places)
+        order = np.lexsort((position, place, text))
+        text, place, position = text[order], place[order], position[order]
+        new = np.flatnonzero(np.diff(text * len(asks) + place, prepend=-1))
+        total, strict = _sums(text, place, asks, len(rows)), (_sums(text[new], place[new], asks, len(rows)) == wanted) & (wanted > 0)
+        out: list[tuple] = []  # row, question, strict, total, n
+        for q in asked:
+            own, hits = total[:, q], np.flatnonzero(total[:, q])
+            whole = np.flatnonzero(strict[:, q])
+            pairs = np.union1d(whole, np.flatnonzero(loud[:, q]))
+            if not len(whole) and len(hits):
+                counts = np.bincount(own[hits])
+                out += [(None, q, False, t, int(counts[t])) for t in np.flatnonzero(counts).tolist()]
+                plain = hits[~loud[hits, q]]
+                if len(plain) > k:
+                    least = np.partition(own[plain], len(plain) - k)[len(plain) - k]
+                    above = plain[own[plain] > least]
+                    plain = np.concatenate([above, plain[own[plain] == least][: k - len(above)]])
+                pairs = np.concatenate([pairs, plain])
+            out += [(int(r), q, bool(strict[r, q]), int(own[r]), 0) for r in pairs]
+        ends = np.append(new, len(text))
+        first = np.searchsorted(text[new], np.arange(len(rows) + 1))
+
+        def lists(r: int, q: int) -> list[np.ndarray]:
+            mine = range(first[r], first[r + 1])
+            return [position[ends[i] : ends[i + 1]] for i in mine if asks[place[new[i]], q]]
+
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        row, q = pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())
+        trigram = [None if r is None or not loud[r, i] else float(shares[r, i]) for r, i in zip(columns[0], columns[1], strict=True)]
+        made = {"qid": questions["qid"].take(q), "chunk_id": chunks["chunk_id"].take(row), "strict": pa.array(columns[2], pa.bool_()), "total": pa.array(columns[3], pa.int32()), "n": pa.array(columns[4], pa.int64())}
+        found = pa.array([lists(r, i) if s else None for r, i, s in zip(*columns[:3], strict=True)], pa.list_(pa.list_(pa.int32())))
+        return pa.table({**made, "lists": found, "trigram": pa.array(trigram, pa.float32())})
+
+    return run
+
+
+def signals(questions: DataFrame, chunks: DataFrame, k: int, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """Pairs (qid, chunk_id, lexical, trigram) and counts (qid, lexical, n). Pairs are those that the trigram signal finds, and of others those that
+    can be among a question's first k; counts tell how many pairs in all have each value of the lexical signal.
+
+    What a question's lexemes hit is counted as a product of tables, like trigrams, where a slice of chunks meets a block of questions: a
+    join on them has a row for each lexeme of nearly every pair.
+    """
+    # a question of which one chunk somewhere holds all lexemes has strict matches alone
+    lexical = F.when(F.col("strict"), cover_density("lists")).otherwise((0.1 * F.col("total")).cast("float"))
+    every = stored(_dealt(questions, chunks, _signals(k, floor), SIGNALS).withColumn("lexical", lexical).drop("lists"))
+    whole = every.where("strict").select(F.col("qid").alias("_qid")).distinct().withColumn("whole", F.lit(True))
+    marked = every.join(whole, F.col("qid") == F.col("_qid"), "left").withColumn("silent", F.coalesce("whole", F.lit(False)) & ~F.col("strict"))
+    pairs = marked.where("n = 0").withColumn("lexical", F.when(F.col("silent"), F.lit(0.0).cast("float")).otherwise(F.col("lexical")))
+    counts = marked.where("not silent and (n > 0 or strict)").select("qid", "lexical", F.greatest("n", F.lit(1)).alias("n"))
+    return pairs.where("lexical > 0 or trigram is not null").select("qid", "chunk_id", "lexical", "trigram"), counts
+
+
+def _ranks(counts: DataFrame, signal: str) -> DataFrame:
+    """(_qid, _value, rank): the rank, with ties, of each value that a signal has for a question, from counts (qid, signal, n) of the values."""
+    # values that equal as numbers are one, so no value is joined as a float
+    counts = counts.groupBy(F.col("qid").alias("_qid"), F.col(signal).cast("double").alias("_value")).agg(F.sum("n").alias("_n"))
     above = W.partitionBy("_qid").orderBy(F.desc("_value")).rowsBetween(W.unboundedPreceding, -1)
     return counts.select("_qid", "_value", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias(f"{signal}_rank"))
 
 
-def fuse(signals: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:
+def fuse(signals: DataFrame, k: int = 10, floor: float = FLOOR, counts: DataFrame | None = None) -> DataFrame:
     """Ranks of (qid, chunk_id, lexical, trigram): lexical_rank and trigram_rank, null where a signal is silent, the fused
     score, and the first k of each question by score, then chunk_id.
 
     What only the lexical signal found can't be among the first k unless it is among the lexical signal's first k of its
-    kind, so that alone is ranked and fused, beside all that the trigram signal found.
+    kind, so that alone is ranked and fused, beside all that the trigram signal found. Where the signals are no more than that,
+    ``counts`` (qid, lexical, n) tells how many have each value in all.
     """
     k = clamped(k)
     loud = F.coalesce(F.col("trigram").cast("double"), F.lit(0.0)) >= floor
@@ -198,8 +299,7 @@ def fuse(signals: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:
     plain = fired.where(~loud).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
     kept = plain.unionByName(fired.where(loud))
     for signal, speaks in (("lexical", F.col("lexical") > 0), ("trigram", loud)):
-        # values that equal as numbers are one, so no value is joined as a float
-        mine = signals.where(speaks).withColumn(signal, F.col(signal).cast("double"))
+        mine = counts if signal == "lexical" and counts is not None else signals.where(speaks).withColumn("n", F.lit(1))
         key = F.when(speaks, F.col(signal).cast("double"))
         kept = kept.withColumn("_key", key).join(_ranks(mine, signal), (F.col("qid") == F.col("_qid")) & (F.col("_key") == F.col("_value")), "left").drop("_qid", "_value", "_key")
     scored = kept.withColumn("score", F.round(fused(LEXICAL_WEIGHT, F.col("lexical_rank"), DAMPING) + fused(TRIGRAM_WEIGHT, F.col("trigram_rank"), DAMPING), 12))
@@ -207,18 +307,21 @@ def fuse(signals: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
-    """The lexical retriever over questions (qid, question) and chunks (chunk_id, text, and tier if tiers are given)."""
+def ranked(questions: DataFrame, chunks: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
+    """``retrieve`` without the similarities that rank nothing."""
     if tiers is not None:
         if not tiers or set(tiers) - {"A", "B"}:
             raise ValueError("tiers are A, B or both")
         chunks = chunks.where(F.col("tier").isin(*tiers))
-    # both are read several times, so they are stored: postings of the questions' lexemes alone, and the pairs that trigrams find
-    text = text_signal(questions, cut(postings(chunks, asked_lexemes(questions))))
-    near = cut(trigram_signal(questions, chunks))
-    both = text.join(near, ["qid", "chunk_id"], "full").withColumn("lexical", F.coalesce("lexical", F.lit(0.0).cast("float")))
+    pairs, counts = signals(questions, chunks, clamped(k))
+    return fuse(pairs, k, counts=counts)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
+    """The lexical retriever over questions (qid, question) and chunks (chunk_id, text, and tier if tiers are given)."""
     # of what only the text signal found, the raw similarity is reported too: it is below the floor and ranks nothing
-    best = fuse(both, k).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    best = sized(cut(ranked(questions, chunks, k, tiers)))
+    best = chunks.select("chunk_id", "text").join(best, "chunk_id").join(questions.select("qid", "question"), "qid")
     # few rows, and each takes long: dealt out by number, which keeps them from being put together in one task
     best = best.repartition(int(best.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "chunk_id")
     return best.withColumn("trigram", F.coalesce("trigram", word_similarity_of("question", "text"))).drop("text", "question")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexiloom.functions.analysis import analyzed, tokens_of
+from lexiloom.functions.analysis import analyzed, occurrences, tokens_of
 
 
 @pytest.mark.parametrize(
@@ -41,3 +41,10 @@ def test_positions_count_every_token():
     assert analyzed("a fat  cat sat on a mat - it ate a fat rats") == [("fat", 2), ("cat", 3), ("sat", 4), ("mat", 7), ("fat", 11), ("rats", 12)]
     assert analyzed("foo-bar-beta1 Ação") == [("foo-bar-beta1", 1), ("foo", 2), ("bar", 3), ("beta1", 4), ("aca", 5)]
     assert analyzed("http://Example.com/Stuff AÇÃO1 <b>") == [("example.com/stuff", 1), ("example.com", 2), ("/stuff", 3), ("ação1", 4)]
+
+
+def test_pieces_lose_no_token():
+    texts = ["", "a", "foo-bar. x", "http://a.com/b?c=d, <b class='x y'>bold</b> &amp; x@y.com 3.4.5 -7", "word... wórd, ¿qué? a/b/c.txt", "< b > c<d e> f", "foo-bar motores, motores"]
+    places = {x: i for i, x in enumerate(sorted({x for t in texts for x, _ in analyzed(t)})) if i % 3}
+    got = zip(*(x.tolist() for x in occurrences(texts, places)), strict=True)
+    assert list(got) == [(i, places[x], pos) for i, t in enumerate(texts) for x, pos in analyzed(t) if x in places]

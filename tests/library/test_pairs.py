@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -87,3 +88,30 @@ def test_few_windows_are_left_to_measure(monkeypatch):
     meet = lambda extents: similarity.meeting(0.6, extents)(pa.table({"chunk_id": range(100), "text": texts}), pa.table({"qid": range(10), "question": asked}))
     assert (3, 7) in {(x["qid"], x["chunk_id"]) for x in meet(True).to_pylist()}
     assert len(meet(False)) > 300 and len(measured) < 30
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_signals_of_slices_rank_as_all_pairs_do(spark, monkeypatch, k):
+    """Counted where slices meet questions, against the join of postings with questions; and no postings are made for it."""
+    rows = [*enumerate(sentences(28, 60, 14)), (60, None), (61, ""), (62, "casa <b motor> mesa, or"), (63, "motor motor motor")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, text string").cache()
+    asked = spark.createDataFrame([*enumerate(sentences(29, 9, 4)), (20, "casa motor nowhere"), (21, "motor"), (22, None), (23, "de a")], "qid int, question string").cache()
+    text = lexical.text_signal(asked, lexical.postings(chunks, lexical.asked_lexemes(asked)))
+    both = text.join(lexical.trigram_signal(asked, chunks), ["qid", "chunk_id"], "full").fillna(0.0, ["lexical"])
+    names = ["qid", "position", "chunk_id", "score", "lexical", "trigram", "lexical_rank", "trigram_rank"]
+    want = sorted(map(tuple, lexical.fuse(both, k).select(*names).collect()))
+    monkeypatch.setattr(lexical, "postings", None)
+    monkeypatch.setattr(lexical, "SLICE_BYTES", 900)
+    monkeypatch.setattr(lexical, "QUESTIONS", 5)
+    assert sorted(map(tuple, lexical.ranked(asked, chunks, k).select(*names).collect())) == want and want
+
+
+def test_a_long_text_is_measured_in_windows(monkeypatch):
+    """The similarity that is reported beside the first k doesn't look at every run of a long text."""
+    r = random.Random(30)
+    text = " ".join(r.choice(WORDS) for _ in range(300))
+    cases = [(q, text) for q in sentences(31, 4, 8)] + [("casa", ""), ("", "casa"), ("x1", "mesa " * 40 + "x1")]
+    want = [word_similarity(q, t) for q, t in cases]
+    monkeypatch.setattr(similarity, "extent_similarity", None)
+    got = similarity.word_similarity_of.func(pd.Series([q for q, _ in cases]), pd.Series([t for _, t in cases]))
+    assert got.tolist() == pytest.approx(want, abs=1e-6)
