@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -32,6 +33,15 @@ class Embedder(Protocol):
     def vectors(self, texts: list[str]) -> np.ndarray: ...
 
 
+#: Texts whose parts are counted together.
+COUNTED = 256
+
+
+@lru_cache(maxsize=200_000)
+def _hash(part: str) -> int:
+    return int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+
+
 @dataclass(frozen=True)
 class HashedEmbedder:
     model_key: str = "hashed-v1"
@@ -46,10 +56,12 @@ class HashedEmbedder:
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
-        for i, text in enumerate(texts):
-            for part in [*text.lower().split(), *trigrams(text)]:
-                h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1.0 if h >> 63 else -1.0
+        for i in range(0, len(texts), COUNTED):
+            parts = [[_hash(part) for part in [*text.lower().split(), *trigrams(text)]] for text in texts[i : i + COUNTED]]
+            hashes = np.array([h for x in parts for h in x], np.uint64)
+            cell = np.repeat(np.arange(len(parts)), [len(x) for x in parts]) * self.dimension + (hashes % np.uint64(self.dimension)).astype(np.int64)
+            signed = np.bincount(cell, np.where(hashes >> np.uint64(63), 1.0, -1.0), len(parts) * self.dimension)
+            out[i : i + COUNTED] = signed.reshape(len(parts), self.dimension)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

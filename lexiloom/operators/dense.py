@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -146,6 +147,35 @@ class VectorIndex:
         return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).withColumn("rank", F.rank().over(tied)).drop("_place")
 
 
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The first k (qid, id, cosine) of each query."""
+    q, order = found["qid"].to_numpy(), np.lexsort((found["id"].to_numpy(), -found["cosine"].to_numpy(), found["qid"].to_numpy()))
+    q = q[order]
+    return found.take(pa.array(order[np.arange(len(q)) - np.searchsorted(q, q) < k]))
+
+
+def _scan(vectors: DataFrame, asked: pa.Table, k: int, keep_self: bool) -> DataFrame:
+    """(qid, id, cosine): the first k of each part of the vectors for each of a few queries, where the vectors lie."""
+    search = _searching(k, keep_self)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:  # a filter before would make vectors that are computed twice
+            found = search(pa.Table.from_batches([batch.filter(pc.greater(pc.list_value_length(batch.column("vector")), 0))]), asked)
+            best = _first(pa.concat_tables([best, found]), k) if best is not None else found
+        if best is not None:
+            yield from best.to_batches()
+
+    return vectors.mapInArrow(run, "qid long, id long, cosine double")
+
+
 def top_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
-    """``VectorIndex.search`` over an index of these vectors alone."""
-    return VectorIndex(vectors).search(queries, k, keep_self)
+    """What ``VectorIndex.search`` gives over an index of these vectors alone. No more than CELLS queries are compared with all vectors in one
+    pass, as dealing these to cells would compare them with as many centres; the driver holds these queries, as it does centres."""
+    k, lists = clamped(k), lambda df, name: df.select(F.col("id").cast("long").alias(name), "vector")
+    asked = lists(queries, "qid").where("size(vector) > 0").limit(CELLS + 1).toArrow()
+    if len(asked) > CELLS:
+        return VectorIndex(vectors).search(queries, k, keep_self)
+    near = _scan(lists(vectors, "id"), asked, k, keep_self)
+    first, tied = W.partitionBy("qid").orderBy(F.desc("cosine"), "id"), W.partitionBy("qid").orderBy(F.desc("cosine"))
+    return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).withColumn("rank", F.rank().over(tied)).drop("_place")

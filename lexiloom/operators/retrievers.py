@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from lexiloom.functions.embedding import Embedder, embed
 from lexiloom.functions.metrics import fused
 from lexiloom.operators import dense, lexical
+from lexiloom.sources.stored import cut
 
 
 class Retriever(Protocol):
@@ -40,7 +41,14 @@ class Lexical:
         self.chunks = chunks
 
     def retrieve(self, questions: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
-        found = lexical.retrieve(questions, self.chunks, k, tiers)
+        return self._named(lexical.retrieve(questions, self.chunks, k, tiers))
+
+    def ranked(self, questions: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
+        """The same without the similarities that rank nothing."""
+        return self._named(lexical.ranked(questions, self.chunks, k, tiers))
+
+    @staticmethod
+    def _named(found: DataFrame) -> DataFrame:
         return found.select("qid", "position", "chunk_id", "score", _components(["lexical", "trigram", "lexical_rank", "trigram_rank"]))
 
 
@@ -54,9 +62,10 @@ class Dense:
 
     def retrieve(self, questions: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
         own = self.embeddings.where(F.col("model_key") == self.embedder.model_key)
-        rows = _tiered(self.chunks, tiers).join(own, "chunk_id").select("chunk_id", F.xxhash64("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+        # ids are hashed beside the vectors, which are neither sorted nor, where they lie by chunk_id, shuffled
+        rows = _tiered(self.chunks, tiers).select("chunk_id").hint("shuffle_hash").join(own, "chunk_id").select("chunk_id", F.xxhash64("chunk_id").alias("id"), F.col("embedding").alias("vector"))
         asked = questions.select("qid", F.xxhash64(F.col("qid").cast("string"), F.lit("question")).alias("id"), embed(F.coalesce("question", F.lit("")), self.embedder, query=True).alias("vector"))
-        found = dense.top_dense(rows.select("id", "vector"), asked.select("id", "vector"), k, keep_self=True)
+        found = lexical.sized(cut(dense.top_dense(rows.select("id", "vector"), asked.select("id", "vector"), k, keep_self=True)))
         keyed = found.withColumnRenamed("qid", "_asked").join(rows.select("id", "chunk_id"), "id").join(asked.select(F.col("id").alias("_asked"), "qid"), "_asked")
         order = W.partitionBy("qid").orderBy(F.desc("cosine"), "chunk_id")
         return keyed.withColumnRenamed("rank", "dense_rank").withColumn("position", F.row_number().over(order)).select("qid", "position", "chunk_id", F.col("cosine").alias("score"), _components(["cosine", "dense_rank"]))
@@ -73,7 +82,7 @@ class Hybrid:
         self.one, self.other, self.pool = one, other, pool
 
     def retrieve(self, questions: DataFrame, k: int = 10, tiers: tuple[str, ...] | None = None) -> DataFrame:
-        a = self.one.retrieve(questions, self.pool, tiers).select("qid", "chunk_id", F.col("components").alias("a"))
+        a = self.one.ranked(questions, self.pool, tiers).select("qid", "chunk_id", F.col("components").alias("a"))
         b = self.other.retrieve(questions, self.pool, tiers).select("qid", "chunk_id", F.col("components").alias("b"))
         both = a.join(b, ["qid", "chunk_id"], "full")
         ranks = {n: F.coalesce(F.try_element_at("a", F.lit(n)), F.try_element_at("b", F.lit(n))) for n in self.WEIGHTS}

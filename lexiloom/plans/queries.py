@@ -479,6 +479,7 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three signals fused by rank over paragraphs, with the hashed embedder."""
     chunks = _paragraphs(spark, sf_dir)
     own = HashedEmbedder()
-    vectors = chunks.select("chunk_id", F.lit(own.model_key).alias("model_key"), embed(F.col("text"), own).alias("embedding"))
+    # texts travel to where their ids are met, and become vectors there
+    vectors = chunks.repartition("chunk_id").select("chunk_id", F.lit(own.model_key).alias("model_key"), embed(F.col("text"), own).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return retrievers.available(chunks, vectors, own)["hybrid"].retrieve(asked).select("qid", "position", "chunk_id", "score")

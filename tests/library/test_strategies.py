@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.cli import parser
 from lexiloom.functions.embedding import HashedEmbedder, embed, embedder_for
-from lexiloom.operators import retrievers, showcase
+from lexiloom.operators import dense, retrievers, showcase
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -96,3 +96,17 @@ def test_the_rest_stands_without_the_training_half(tmp_path):
     shutil.rmtree(tmp_path / "lexiloom" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'dense_topk' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_few_queries_scan_vectors_as_cells_rank_them(spark, monkeypatch):
+    """One pass over vectors, whose ties and zeros rank as in an index of cells; more queries than centres go to the cells."""
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(4)]) for i in range(150)] + [(150, None), (151, [])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    asked = vectors.where("id % 15 = 0")
+    ranked = lambda df: sorted(map(tuple, df.select("qid", "id", "cosine", "rank").collect()))
+    want = ranked(dense.VectorIndex(vectors, 6).search(asked, 7))
+    made = []
+    monkeypatch.setattr(dense, "VectorIndex", lambda *a, index=dense.VectorIndex: (made.append(a), index(*a))[1])
+    assert ranked(dense.top_dense(vectors, asked, 7)) == want and len(want) == 70 and not made
+    monkeypatch.setattr(dense, "CELLS", 3)
+    assert ranked(dense.top_dense(vectors, asked, 7)) == want and made
